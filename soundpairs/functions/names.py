@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soundpairs.functions.times import ceil_phase, col, floor_phase, name_stamp, safe_iso
+from soundpairs.functions.times import ceil_phase, col, floor_phase, name_stamp, safe_iso, whole
 from soundpairs.schemas import FLATTENED, base_columns
 
 # fixed values of the archive and the live stream
@@ -59,9 +59,11 @@ def segment_url(node: Column | str, playlist: Column | str, i: Column | str,
 
 def clip_interval(w0, w1, s0, s1) -> Column:
     """Window cut to a playlist as struct(a, b); a null end is a live playlist."""
+    w0, w1, s0, s1 = col(w0), col(w1), col(s0), col(s1)
+    # greatest and least pass over nulls; a missing window or start has no interval
+    known = w0.isNotNull() & w1.isNotNull() & s0.isNotNull()
     return F.struct(
-        F.greatest(col(w0), col(s0)).alias("a"),
-        F.least(col(w1), F.coalesce(col(s1), col(w1))).alias("b"),
+        F.when(known, F.greatest(w0, s0)).alias("a"), F.when(known, F.least(w1, s1)).alias("b"),
     )
 
 
@@ -70,9 +72,8 @@ def segment_range(stream_ms, a_ms, b_ms) -> Column:
     stream_ms, a_ms, b_ms = col(stream_ms), col(a_ms), col(b_ms)
     step, zero = F.lit(SEGMENT_SECONDS * 1000).cast("long"), F.lit(0).cast("long")
     a, b = F.greatest(a_ms - stream_ms, zero), F.greatest(b_ms - stream_ms, zero)
-    first = (a - F.pmod(a, step)) / step + 1
-    last = (b + F.pmod(-b, step)) / step
-    found = F.struct(first.cast("long").alias("first"), last.cast("long").alias("last"))
+    first, last = whole(a, step) + 1, whole(b + step - 1, step)
+    found = F.struct(first.alias("first"), last.alias("last"))
     return F.when((b_ms > a_ms) & (last >= first), found)
 
 

@@ -23,6 +23,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def whole(a: Column, b: Column) -> Column:
+    """Integer quotient, cut toward zero."""
+    return F.call_function("div", a, b)
+
+
 def parse_ms(text: Column | str) -> Column:
     """ISO text to epoch ms, fraction cut to ms; anything else is null."""
     text = col(text)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from soundpairs.functions.names import CHUNK_SECONDS, chunk_name, chunk_starts
-from soundpairs.functions.times import day_start, minute_start
+from soundpairs.functions.times import day_start, minute_start, whole
 from soundpairs.operators.common import spread_null_ms, spread_null_text
 from soundpairs.session import join_settled
 
@@ -17,7 +17,7 @@ DEFAULT_PHASE = 2
 
 
 def _second(ms: Column) -> Column:
-    return ((ms - minute_start(ms)) / 1000).cast("long")
+    return whole(ms - minute_start(ms), F.lit(1000).cast("long"))
 
 
 def probe_rank(second: Column) -> Column:

@@ -126,7 +126,7 @@ def with_status(
 ) -> DataFrame:
     """Status, stage, message and clip path; the first matching rule wins.
 
-    Reads valid, center_ms, chunkFiles, plan_error, in_prior, in_stored, in_fresh,
+    Reads valid, center_ms, plan, plan_error, in_prior, in_stored, in_fresh,
     download_error, encode_error, upload_error.
     """
     none = F.lit(None).cast("string")
@@ -135,9 +135,9 @@ def with_status(
         (F.col("center_ms").isNull(), "error", "unexpected",
          F.concat(F.lit("Invalid date: "), clean_time_text("timestamp", lenient=False))),
         (F.col("in_prior"), "resume_skip_in_csv", "", none),
-        ((F.size("chunkFiles") <= 0) & F.col("plan_error").isNotNull(),
+        ((F.size("plan") <= 0) & F.col("plan_error").isNotNull(),
          "error_no_segments", "segments", F.col("plan_error")),
-        (F.size("chunkFiles") <= 0, "no_segments", "", none),
+        (F.size("plan") <= 0, "no_segments", "", none),
         (F.col("in_stored"), "skipped_exists_prelist", "", none),
         (F.col("in_fresh"), "skipped_exists_head", "", none),
         (F.col("download_error").isNotNull(), "error_download", "download", F.col("download_error")),

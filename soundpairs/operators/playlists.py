@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from soundpairs.functions.names import BASE_URL, clip_interval, enumerate_segments, segment_range
-from soundpairs.functions.times import col
+from soundpairs.functions.times import col, whole
 from soundpairs.operators.common import first_row, spread_null_text
 
 HOUR_S = 3600
@@ -78,7 +78,7 @@ def overlap(windows: DataFrame, segments: DataFrame, bucket_s: int | None = HOUR
     one = F.lit(1).cast("long")
 
     def slot(ms: Column) -> Column:
-        return ((ms - F.pmod(ms, size)) / size).cast("long")
+        return whole(ms - F.pmod(ms, size), size)
 
     left = windows.withColumn("_w", slot(F.col("w0"))).withColumn(
         "_bucket", F.explode(F.sequence("_w", slot(F.col("w1")), one)))

@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 
 from soundpairs import schemas
 from soundpairs.functions.names import CHUNK_SUFFIX
-from soundpairs.functions.times import parse_ms, to_utc_ms
+from soundpairs.functions.times import STAMP_FORMAT, parse_ms, to_utc_ms
 from soundpairs.operators.playlists import first_streams
 
-_NAME_PATTERN = r"^(\d{4}-\d{2}-\d{2})_(\d{2}-\d{2}-\d{2})_(.+)" + CHUNK_SUFFIX.replace(".", r"\.") + "$"
-
-
 def page_rows(files: DataFrame, limit: int = 250) -> DataFrame:
     """Rows (pos, detection fields) of pages (offset, results), up to the first short page.
 
@@ -114,14 +111,18 @@ def present(objects: DataFrame) -> DataFrame:
 
 
 def manifest(listing: DataFrame) -> DataFrame:
-    """Chunk paths to (site, start_ms, name, bytes); other names are left out."""
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    part = [F.regexp_extract("name", _NAME_PATTERN, i) for i in (1, 2, 3)]
-    stamp = F.concat(part[0], F.lit("T"), F.regexp_replace(part[1], "-", ":"), F.lit("Z"))
+    """Chunk paths to (site, start_ms, name, bytes); other names are left out.
+
+    A name is a 19-character stamp, ``_``, the site, the suffix: plain cuts, no patterns.
+    """
+    name = F.col("name")
+    stamp = F.try_to_timestamp(F.substring(name, 1, 19), F.lit(STAMP_FORMAT))
+    site = F.substring(name, F.lit(21), F.length(name) - F.lit(20 + len(CHUNK_SUFFIX)))
     return (
-        listing.select(name.alias("name"), F.col("length").alias("bytes"))
-        .where(F.col("name").rlike(_NAME_PATTERN))
-        .select(part[2].alias("site"), parse_ms(stamp).alias("start_ms"), "name", "bytes")
+        listing.select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("bytes"))
+        .where(name.endswith(CHUNK_SUFFIX) & (F.substring(name, 20, 1) == "_")
+               & (F.length(name) > 20 + len(CHUNK_SUFFIX)))
+        .select(site.alias("site"), F.unix_millis(stamp).alias("start_ms"), "name", "bytes")
         .where("start_ms is not null")
     )
 
@@ -172,7 +173,7 @@ def payloads(files: DataFrame, root: str = "") -> DataFrame:
     """(name, content) of landed objects; empty bodies and web pages are absent."""
     head = F.lower(F.ltrim(F.decode(F.substring("content", 1, 64), "ISO-8859-1")))
     page = head.startswith("<!doctype html") | head.startswith("<html")
-    below = F.regexp_extract("path", r"([^/]*)$", 1) if not root else F.replace(
+    below = F.substring_index("path", "/", -1) if not root else F.replace(
         F.col("path"), F.lit(root.rstrip("/") + "/"), F.lit(""))
     return files.where((F.length("content") > 0) & ~page).select(below.alias("name"), "content")
 

@@ -207,7 +207,7 @@ captioned as (
 def _near_sql(corpus, columns):
     return f"""select {columns} from (
   select q.vec_id as query_id, c.vec_id as neighbor_id, c.*,
-    round(list_cosine_similarity(q.v, c.v), 6) as sim,
+    round(list_cosine_similarity(q.v, c.v), 9) as sim,
     row_number() over (partition by q.vec_id
       order by round(list_cosine_similarity(q.v, c.v), 9) desc, c.vec_id) as rank
   from emb q join {corpus} c on c.vec_id <> q.vec_id) t where rank <= 5"""
@@ -216,7 +216,7 @@ def _near_sql(corpus, columns):
 @query("n_nearest", _VECTORS + _near_sql("emb", "query_id, neighbor_id, sim, rank, label, 'v1' as version"))
 def n_nearest(v):
     near = similarity.nearest(v.audio, v.audio, 5)
-    return similarity.attach(near, v.audio, meta=["label"], version="v1").withColumn("sim", F.round("sim", 6))
+    return similarity.attach(near, v.audio, meta=["label"], version="v1")
 
 
 @query("n_caption", _VECTORS + _near_sql("captioned", """query_id as audio_id, neighbor_id, sim, rank,
@@ -224,20 +224,19 @@ def n_nearest(v):
 def n_caption(v):
     got = similarity.caption_evidence(v.audio, v.captioned, 5)
     return got.withColumns({
-        "sim": F.round("sim", 6), "evidence": F.md5(F.col("evidence").cast("binary")),
+        "evidence": F.md5(F.col("evidence").cast("binary")),
         "caption": F.md5(F.col("caption").cast("binary"))})
 
 
 @query("j_score", _VECTORS + """
-select vec_id as audio_id, prompt_id, round(list_cosine_similarity(e.v, p.v), 6) as sim from emb e, prompts p""")
+select vec_id as audio_id, prompt_id, round(list_cosine_similarity(e.v, p.v), 9) as sim from emb e, prompts p""")
 def j_score(v):
-    return similarity.score(v.audio, v.prompts).withColumn("sim", F.round("sim", 6))
+    return similarity.score(v.audio, v.prompts)
 
 
 @query("n_nearest_approx")
 def n_nearest_approx(v):
-    near = similarity.nearest_approx(v.audio, v.audio, 5)
-    return near.withColumn("sim", F.round("sim", 6))
+    return similarity.nearest_approx(v.audio, v.audio, 5)
 
 
 def text_stats():
