@@ -50,31 +50,42 @@ def chunk_names(site: Column | str, starts: Column | str) -> Column:
 
 def segment_url(node: Column | str, playlist: Column | str, i: Column | str,
                 base: str = BASE_URL) -> Column:
-    """Index padded to at least three digits; ``lpad`` would cut longer ones."""
     return F.concat(
-        F.lit(base + "/"), col(node), F.lit("/hls/"), col(playlist),
-        F.format_string("/live%03d.ts", col(i)),
+        F.lit(base + "/"), col(node), F.lit("/hls/"), col(playlist), F.lit("/live"),
+        _padded(col(i)), F.lit(".ts"),
     )
 
 
+def _padded(i: Column) -> Column:
+    """At least three digits; ``lpad`` alone would cut longer ones."""
+    text = i.cast("string")
+    return F.when(i < 1000, F.lpad(text, 3, "0")).otherwise(text)
+
+
 def clip_interval(w0, w1, s0, s1) -> Column:
-    """Window cut to a playlist as struct(a, b); a null end is a live playlist."""
+    """Window cut to a playlist as struct(a, b); a null end is a live playlist.
+
+    Written as comparisons because ``greatest`` and ``least`` pass over nulls, while a missing
+    window or start has no interval.
+    """
     w0, w1, s0, s1 = col(w0), col(w1), col(s0), col(s1)
-    # greatest and least pass over nulls; a missing window or start has no interval
-    known = w0.isNotNull() & w1.isNotNull() & s0.isNotNull()
     return F.struct(
-        F.when(known, F.greatest(w0, s0)).alias("a"), F.when(known, F.least(w1, s1)).alias("b"),
+        F.when(w0 >= s0, w0).when(w0 < s0, s0).alias("a"),
+        F.when(s1 < w1, s1).otherwise(w1).alias("b"),
     )
 
 
 def segment_range(stream_ms, a_ms, b_ms) -> Column:
-    """1-based segment indices struct(first, last) under a..b; null when there is none."""
+    """1-based segment indices struct(first, last) under a..b; null when there is none.
+
+    An interval that ends after it begins, and after the stream begins, always has one.
+    """
     stream_ms, a_ms, b_ms = col(stream_ms), col(a_ms), col(b_ms)
     step, zero = F.lit(SEGMENT_SECONDS * 1000).cast("long"), F.lit(0).cast("long")
-    a, b = F.greatest(a_ms - stream_ms, zero), F.greatest(b_ms - stream_ms, zero)
-    first, last = whole(a, step) + 1, whole(b + step - 1, step)
+    first = whole(F.greatest(a_ms - stream_ms, zero), step) + 1
+    last = whole(b_ms - stream_ms + step - 1, step)
     found = F.struct(first.alias("first"), last.alias("last"))
-    return F.when((b_ms > a_ms) & (last >= first), found)
+    return F.when((b_ms > a_ms) & (b_ms > stream_ms), found)
 
 
 def enumerate_segments(node, playlist, first, last, base: str = BASE_URL) -> Column:

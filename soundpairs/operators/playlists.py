@@ -47,16 +47,28 @@ def stream_range() -> Column:
     return segment_range("stream_start", cut["a"], cut["b"])
 
 
-def direct_plan(det: DataFrame, streams: DataFrame) -> DataFrame:
-    """Stage 1: the row's own playlist alone. Adds ``plan`` (maybe empty) and ``plan_error``."""
+def stream_meets() -> Column:
+    """Whether ``stream_range`` has any segment, as plain comparisons.
+
+    Filters copy the expressions they test; this keeps them small.
+    """
+    w0, w1, start = F.col("w0"), F.col("w1"), F.col("stream_start")
+    end = F.coalesce(F.col("stream_end"), w1)
+    return F.coalesce((w1 > w0) & (w1 > start) & (end > w0) & (end > start), F.lit(False))
+
+
+def _own_plan() -> Column:
     spot = stream_range()
     step = F.struct(F.col("playlist"), spot["first"].alias("first"), spot["last"].alias("last"))
+    usable = stream_meets() & F.col("stream_error").isNull()
+    return F.when(usable, F.array(step)).otherwise(F.array()).cast(PLAN_TYPE)
+
+
+def direct_plan(det: DataFrame, streams: DataFrame) -> DataFrame:
+    """Stage 1: the row's own playlist alone. Adds ``plan`` (maybe empty) and ``plan_error``."""
     return (
-        lookup_streams(det, streams)
-        .withColumn("plan", F.when(spot.isNotNull() & F.col("stream_error").isNull(), F.array(step))
-                    .otherwise(F.array()).cast(PLAN_TYPE))
-        .withColumnRenamed("stream_error", "plan_error")
-        .drop("stream_start", "stream_end")
+        lookup_streams(det, streams).withColumn("plan", _own_plan())
+        .withColumnRenamed("stream_error", "plan_error").drop("stream_start", "stream_end")
     )
 
 
@@ -118,10 +130,11 @@ def overlap_plan(
     """
     named = by_playlist(overlap(windows, segments, bucket_s))
     spot = stream_range()
-    ranges = lookup_streams(named, streams).select(
+    looked = lookup_streams(named, streams)
+    ranges = looked.where(stream_meets() | F.col("stream_error").isNotNull()).select(
         *WINDOW, "first_start", "playlist", "stream_error",
         spot["first"].alias("first"), spot["last"].alias("last"),
-    ).where("first is not null or stream_error is not null")
+    )
     steps = F.array_sort(F.collect_list(
         F.struct("first_start", "playlist", "first", "last", "stream_error")))
     return (
@@ -146,21 +159,21 @@ def resolve_segments(
     and ``plan_error``. Only windows the first stage left open are overlapped, each distinct
     window once, however many detections share it.
     """
-    own = direct_plan(det, streams)
-    usable = F.col("w0").isNotNull() & F.col("feed_key").isNotNull()
+    own = lookup_streams(det, streams)
+    open_ = F.col("w0").isNotNull() & F.col("feed_key").isNotNull()
     if prefer_playlist:
-        open_ = usable & (F.size("plan") == 0) & F.col("plan_error").isNull()
-    else:
-        open_ = usable
+        open_ = open_ & ~stream_meets() & F.col("stream_error").isNull()
     done, todo = own.where(~open_), own.where(open_)
 
     found = overlap_plan(todo.select(*WINDOW).distinct(), streams, segments, bucket_s)
+    done = done.withColumns({"plan": _own_plan(), "plan_error": F.col("stream_error")})
     hit = (F.size("found") > 0) | F.col("found_error").isNotNull()
     second = todo.join(found, WINDOW, "left").withColumns({
-        "plan": F.when(hit, F.col("found")).otherwise(F.col("plan")),
-        "plan_error": F.when(hit, F.col("found_error")).otherwise(F.col("plan_error")),
-    }).drop("found", "found_error")
-    return done.unionByName(second)
+        "plan": F.when(hit, F.col("found")).otherwise(_own_plan()),
+        "plan_error": F.when(hit, F.col("found_error")).otherwise(F.col("stream_error")),
+    })
+    extra = ["stream_start", "stream_end", "stream_error"]
+    return done.drop(*extra).unionByName(second.drop(*extra, "found", "found_error"))
 
 
 def chunk_array(node, plan="plan", base: str = BASE_URL) -> Column:
