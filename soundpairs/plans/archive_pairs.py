@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from soundpairs.functions.names import chunk_names, chunk_starts, clip_name, flatten
@@ -53,23 +53,23 @@ def _with_clip(rows, starts, names, manifest, stored, fmt, out_dir) -> DataFrame
     Rows sharing site, window and phase share the answer, so presence is worked out once per
     such job, on three narrow columns, and joined back.
     """
-    clip = clip_name("site", "w0", "w1", fmt)
     jobs = (
         rows.where("site is not null and w0 is not null")
         .groupBy(*JOB, "w1").agg(F.min("pos").alias("job_pos"))
-        .withColumn("clip_key", clip)
     )
-    chunks = chunk_presence(jobs.select(*JOB, "w1", F.explode(starts).alias("start_ms")), manifest)
-    ready = present_chunks(chunks, JOB)
-    jobs = jobs.join(ready, JOB)
+    chunks = chunk_presence(jobs.withColumn("start_ms", F.explode(starts)), manifest)
+    # one clip has at most one job per phase, so this window never holds more than a few rows
+    clip = Window.partitionBy("site", "w0")
+    has_audio = F.size("present_ms") > 0
+    jobs = present_chunks(chunks, [*JOB, "w1", "job_pos"]).withColumns({
+        "clip_key": clip_name("site", "w0", "w1", fmt),
+        "_built": F.min(F.when(has_audio, F.col("job_pos"))).over(clip),
+    }).drop("w1", "job_pos")
     if stored is not None:
         known = distinct_keys(stored).withColumn("_stored", F.lit(True))
         jobs = jobs.join(known, "clip_key", "left")
     else:
-        jobs = jobs.withColumn("_stored", F.lit(None).cast("boolean"))
-    # one clip has at most one job per phase, so the second aggregate stays tiny per key
-    built = jobs.where(F.size("present_ms") > 0).groupBy("clip_key").agg(F.min("job_pos").alias("_built"))
-    jobs = jobs.join(built, "clip_key", "left").select(*JOB, "clip_key", "present_ms", "_stored", "_built")
+        jobs = jobs.withColumn("_stored", F.lit(False))
 
     keyed = rows.withColumns({
         "_site": spread_null_text(F.col("site"), F.col("pos")),
