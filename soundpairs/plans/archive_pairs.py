@@ -34,7 +34,7 @@ def archive_pairs(
         "center_ms": F.when(F.lit(buffer_s > 0), to_utc_ms("timestamp")),
     })
     rows = day_phase(window_bounds(rows, buffer_s), manifest, hints, default_phase)
-    starts = chunk_starts("w0", "w1", F.col("phase"))
+    starts = F.when(F.col("site").isNotNull(), chunk_starts("w0", "w1", F.col("phase")))
     names = F.coalesce(chunk_names("site", starts), F.array().cast("array<string>"))
     if list_only:
         rows = rows.withColumns({"outPath": F.lit(""), "chunkFiles": names})

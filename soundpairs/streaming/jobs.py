@@ -1,12 +1,14 @@
 """Streams over landed files.
 
-Every ``foreachBatch`` sink writes batch N to its own folder ``batch_id=N`` in overwrite
+Every ``foreachBatch`` sink writes batch N of a checkpoint to a folder of its own in overwrite
 mode: a batch run again after a lost driver or executor replaces its own output, so appends
-are exactly-once. Earlier batches are read back for the keys they hold (one column).
+are exactly-once. Where keys must stay unique, the other folders are read back for the keys
+they hold (one column); that also covers a run started over with a new checkpoint.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -39,40 +41,44 @@ def stream_pages(spark: SparkSession, path: str, max_files: int = 1000) -> DataF
     )
 
 
-def _earlier(batch: DataFrame, target: str, batch_id: int, key: str) -> DataFrame | None:
-    """The ``key`` column of the batches before this one, or None before the first."""
-    stored = T.StructType([batch.schema[key], T.StructField("batch_id", T.LongType())])
-    try:
-        done = batch.sparkSession.read.schema(stored).parquet(target)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return done.where(F.col("batch_id") < batch_id).select(key)
+class _Sink:
+    """Folders ``run=R/batch_id=N`` under the target; R stands for the checkpoint."""
 
+    def __init__(self, target: str, checkpoint: str):
+        self.target, self.checkpoint = target, checkpoint
+        self.run = f"r{zlib.crc32(checkpoint.encode()):08x}"
 
-def _start(sdf: DataFrame, body: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    return (
-        sdf.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.target}/run={self.run}/batch_id={batch_id}")
 
-def _write(batch: DataFrame, target: str, batch_id: int) -> None:
-    batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+    def others(self, batch: DataFrame, batch_id: int, key: str) -> DataFrame | None:
+        """The ``key`` column of everything but this batch, or None before the first."""
+        stored = T.StructType([
+            batch.schema[key], T.StructField("run", T.StringType()), T.StructField("batch_id", T.LongType())])
+        try:
+            done = batch.sparkSession.read.schema(stored).parquet(self.target)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return done.where((F.col("run") != self.run) | (F.col("batch_id") != batch_id)).select(key)
 
+    def only_new(self, batch: DataFrame, batch_id: int, key: str) -> DataFrame:
+        first = first_row(batch, [key], ["pos"])
+        seen = self.others(batch, batch_id, key)
+        return first if seen is None else first.join(seen, key, "left_anti")
 
-def _only_new(batch: DataFrame, key: str, target: str, batch_id: int) -> DataFrame:
-    first = first_row(batch, [key], ["pos"])
-    seen = _earlier(batch, target, batch_id, key)
-    return first if seen is None else first.join(seen, key, "left_anti")
+    def start(self, sdf: DataFrame, make: Callable[[DataFrame, int], DataFrame]) -> StreamingQuery:
+        return (
+            sdf.writeStream.foreachBatch(lambda batch, n: self.write(make(batch, n), n))
+            .option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
+        )
 
 
 def stream_dedupe(sdf: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Exact first-wins by id: inside the batch by position, across batches by arrival."""
-    def body(batch: DataFrame, batch_id: int) -> None:
-        _write(_only_new(has_id(batch), "id", target, batch_id), target, batch_id)
-    return _start(sdf, body, checkpoint)
+    sink = _Sink(target, checkpoint)
+    return sink.start(sdf, lambda batch, n: sink.only_new(has_id(batch), n, "id"))
 
 
 def watermark_dedupe(sdf: DataFrame, delay: str = "30 days") -> DataFrame:
@@ -94,13 +100,11 @@ def stream_resolve(
     sdf: DataFrame, streams: DataFrame, segments: DataFrame, target: str, checkpoint: str, **options
 ) -> StreamingQuery:
     """The full cascade per micro-batch; one pair row per detection."""
-    def body(batch: DataFrame, batch_id: int) -> None:
-        _write(playlist_pairs(batch, streams, segments, **options), target, batch_id)
-    return _start(sdf, body, checkpoint)
+    return _Sink(target, checkpoint).start(
+        sdf, lambda batch, n: playlist_pairs(batch, streams, segments, **options))
 
 
 def stream_append(sdf: DataFrame, target: str, checkpoint: str, key: str = "clip_key") -> StreamingQuery:
     """Append rows whose clip key the target does not hold yet."""
-    def body(batch: DataFrame, batch_id: int) -> None:
-        _write(_only_new(batch.where(F.col(key).isNotNull()), key, target, batch_id), target, batch_id)
-    return _start(sdf, body, checkpoint)
+    sink = _Sink(target, checkpoint)
+    return sink.start(sdf, lambda batch, n: sink.only_new(batch.where(F.col(key).isNotNull()), n, key))

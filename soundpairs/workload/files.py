@@ -241,7 +241,7 @@ def st_resolve(v):
         _landed_stream(v), v.streams, v.segments, target, scratch_path(v.spark, "ck"),
         stored=v.stored, fresh=v.fresh, prior=v.prior, url_root=URL_ROOT, prefix=PREFIX,
     ).awaitTermination()
-    done = v.spark.read.parquet(target).drop("batch_id")
+    done = v.spark.read.parquet(target).drop("run", "batch_id")
     return done.withColumns({a: F.array_join(a, ",") for a in ("playlistTimestamps", "chunkFiles")})
 
 
