@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from soundpairs.functions.names import CHUNK_SECONDS, chunk_name, chunk_starts
 from soundpairs.functions.times import day_start, minute_start, whole
 from soundpairs.operators.common import spread_null_ms, spread_null_text
-from soundpairs.session import join_settled
+from soundpairs.session import settled
 
 # fixed values: seconds of the minute tried first, then 0..59; phase when a day has none
 PROBE_FIRST = [2, 8, 21, 22, 32, 38, 51, 52]
@@ -26,17 +26,17 @@ def probe_rank(second: Column) -> Column:
     return F.when(listed > 0, listed).otherwise(F.lit(len(PROBE_FIRST) + 1) + second)
 
 
-def minute_probes(manifest: DataFrame) -> DataFrame:
-    """(site, minute_ms, probe_second): the chunk a probe of that minute finds first.
+def _probe_code(start: Column) -> Column:
+    """Rank and second in one long, so that its minimum is the chunk a probe finds first."""
+    return probe_rank(_second(start)) * 100 + _second(start)
 
-    Rank and second travel in one long, so the aggregate stays a hash aggregate with
-    map-side partials.
-    """
+
+def minute_probes(manifest: DataFrame) -> DataFrame:
+    """(site, minute_ms, probe_second): the chunk a probe of that minute finds first."""
     start = F.col("start_ms")
-    code = F.min(probe_rank(_second(start)) * 100 + _second(start))
     return (
         manifest.groupBy("site", minute_start(start).alias("minute_ms"))
-        .agg(code.alias("_code"))
+        .agg(F.min(_probe_code(start)).alias("_code"))
         .select("site", "minute_ms", F.pmod("_code", F.lit(100)).alias("probe_second"))
     )
 
@@ -62,20 +62,21 @@ def first_hits(det: DataFrame, manifest: DataFrame) -> DataFrame:
     """(site, day_ms, hit_pos, hit_phase): each day's first successful probe in input order.
 
     Rows of one minute share one probe, so the detections shrink to their minutes before
-    anything is shuffled.
+    anything is shuffled; the manifest meets those minutes only, unaggregated.
     """
     minutes = (
         det.where("site is not null and center_ms is not null")
         .groupBy("site", minute_start("center_ms").alias("minute_ms"))
         .agg(F.min("pos").alias("pos"))
     )
-    hit = F.min(F.struct("pos", (F.col("probe_second") % CHUNK_SECONDS).alias("phase")))
+    start = F.col("start_ms")
+    found = manifest.select("site", minute_start(start).alias("minute_ms"), _probe_code(start).alias("code"))
     return (
-        minutes.join(minute_probes(manifest), ["site", "minute_ms"])
+        found.join(minutes, ["site", "minute_ms"])
         .groupBy("site", day_start("minute_ms").alias("day_ms"))
-        .agg(hit.alias("hit"))
+        .agg(F.min(F.struct("pos", "code")).alias("hit"))
         .select("site", "day_ms", F.col("hit.pos").alias("hit_pos"),
-                F.col("hit.phase").alias("hit_phase"))
+                (F.col("hit.code") % 100 % CHUNK_SECONDS).alias("hit_phase"))
     )
 
 
@@ -93,7 +94,8 @@ def day_phase(
     """Add ``phase``: the day's first hit from that row on, before it the site's hint.
 
     Equal to carrying the first non-null probe over (site, day) in input order, but a busy
-    day is never gathered in one window partition. Runs one small job to size the hits.
+    day is never gathered in one window partition. The hits are worked out once and kept in
+    the shared folder; they are joined by broadcast only if that table is small.
     """
     hits = first_hits(det, manifest).withColumnsRenamed({"site": "_site", "day_ms": "_day"})
     keyed = det.withColumns({
@@ -104,7 +106,7 @@ def day_phase(
         site_hint(F.col("site"), hints, default)
     )
     return (
-        join_settled(keyed, hits, ["_site", "_day"])
+        keyed.join(settled(hits), ["_site", "_day"], "left")
         .withColumn("phase", F.when(F.col("center_ms").isNotNull(), phase))
         .drop("_site", "_day", "hit_pos", "hit_phase")
     )

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -41,19 +40,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Run ``df`` once and keep its rows in the shared folder (survives lost executors)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Run ``df`` once and go on from its rows, written to the shared folder.
 
-
-def join_settled(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", max_rows: int = 500_000
-) -> DataFrame:
-    """Join to a narrow summary table, broadcast only if its counted rows stay in bounds.
-
-    Beyond ``max_rows`` Spark shuffles both sides as usual (AQE splits hot keys).
+    This cuts the lineage, survives lost executors, and gives the planner a true size: the
+    table is broadcast only where it stays under ``spark.sql.autoBroadcastJoinThreshold``.
     """
-    right = settled(right)
-    if right.count() <= max_rows:
-        right = F.broadcast(right)
-    return left.join(right, keys, how)
+    path = scratch_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from soundpairs.functions.names import CHUNK_SUFFIX, clip_name
 from soundpairs.functions.times import DAY_MS, day_start, name_stamp, window_bounds
-from soundpairs.session import use_utc
+from soundpairs.session import scratch_path, use_utc
 
 SLOT_S = 21_600          # a playlist runs six hours
 LATER = 10**12           # positions of late copies
@@ -29,6 +29,17 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = use_utc(spark), sf_dir.rstrip("/")
 
+    def landed(self, *names: str) -> Views:
+        """Write the named views to the shared folder once and read them from there on."""
+        for name in names:
+            path = scratch_path(self.spark, name)
+            rows = getattr(self, name)
+            if name == "det":       # the events come as one small file; give every core some
+                rows = rows.repartition(self.spark.sparkContext.defaultParallelism)
+            rows.write.parquet(path)
+            self.__dict__[name] = self.spark.read.parquet(path)
+        return self
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
