@@ -6,40 +6,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from soundpairs.operators.common import first_row
+from soundpairs.session import settled
 
 
 def assemble_clips(
-    pairs: DataFrame, payloads: DataFrame, allow_partial: bool = False
+    pairs: DataFrame, payloads: DataFrame, allow_partial: bool = False,
+    max_broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """Raw PCM of each clip: its chunks joined in order, not trimmed to the window.
 
-    ``pairs`` has pos, clip_key, chunkFiles; ``payloads`` one row (name, content) per
-    object. Every clip is built once. The payloads, by far the larger side, are streamed
-    past a hash table of the wanted names and never sorted; a group holds the few chunks of
-    one window. A clip with a missing chunk has null content, unless partial clips are fine.
+    ``pairs`` has pos, clip_key, chunkFiles; ``payloads`` one row (name, content) per object
+    name. Every clip is built once. The wanted names are few against the store: counted and
+    under the bound they go to the payload scan, so that only wanted bytes are shuffled;
+    beyond it both sides meet by name in a hash join, which never sorts the payloads. A group
+    holds the few chunks of one window. A clip with a missing chunk has null content, unless
+    partial clips are fine.
     """
     clips = first_row(
         pairs.where(F.col("clip_key").isNotNull() & (F.size("chunkFiles") > 0))
         .select("pos", "clip_key", "chunkFiles"),
         ["clip_key"], ["pos"],
     )
-    wanted = clips.select(
-        "clip_key", F.size("chunkFiles").alias("wanted"),
+    wanted = settled(clips.select(
+        "clip_key", F.size("chunkFiles").cast("long").alias("wanted"),
         F.posexplode("chunkFiles").alias("i", "name"),
-    )
-    # needed names are few against the store, and each is bounded: one key cannot outgrow memory
-    got = payloads.select("name", "content").join(wanted.hint("shuffle_hash"), "name")
-    built = got.groupBy("clip_key", "wanted").agg(
+    ))
+    small = wanted.count() <= max_broadcast_rows
+    names = F.broadcast(wanted) if small else wanted.hint("shuffle_hash")
+    built = payloads.select("name", "content").join(names, "name").groupBy("clip_key").agg(
         F.array_sort(F.collect_list(F.struct("i", "content"))).alias("_parts"))
     joined = F.aggregate("_parts", F.lit(b""), lambda acc, p: F.concat(acc, p["content"]))
-    whole = (F.size("_parts") == F.col("wanted")) | F.lit(allow_partial)
-    found = built.select(
-        "clip_key", F.size("_parts").cast("long").alias("chunks"),
-        F.when(whole, joined).alias("content"),
-    )
+    found = built.select("clip_key", F.size("_parts").cast("long").alias("chunks"), joined.alias("content"))
+    whole = (F.col("chunks") == F.col("wanted")) | F.lit(allow_partial)
     return (
-        clips.select("clip_key", F.size("chunkFiles").cast("long").alias("wanted"))
+        wanted.where("i = 0").select("clip_key", "wanted")
         .join(found, "clip_key", "left")
-        .withColumn("chunks", F.coalesce("chunks", F.lit(0).cast("long")))
+        .withColumns({
+            "chunks": F.coalesce("chunks", F.lit(0).cast("long")),
+            "content": F.when(whole, F.col("content")),
+        })
         .withColumn("status", F.when(F.col("content").isNull(), "error_download").otherwise("built"))
     )

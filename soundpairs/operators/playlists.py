@@ -72,12 +72,21 @@ def direct_plan(det: DataFrame, streams: DataFrame) -> DataFrame:
     )
 
 
-def overlap(windows: DataFrame, segments: DataFrame, bucket_s: int | None = HOUR_S) -> DataFrame:
+def overlap(
+    windows: DataFrame, segments: DataFrame, bucket_s: int | None = HOUR_S, prune: bool = False
+) -> DataFrame:
     """Windows and segments of one feed that meet, both ends inclusive; null ends never match.
 
     Buckets turn a busy feed into many small equi-joins; a pair is kept only in the first
     bucket both sides share, so none doubles. ``bucket_s=None`` joins on the feed alone.
+    ``prune`` first finds the time span of the windows and filters the catalog scan by it:
+    worth a second look at the windows where they are few and recent.
     """
+    if prune:
+        spans = windows.agg(F.min("w0").alias("lo"), F.max("w1").alias("hi"))
+        segments = segments.where(
+            (F.col("start_ms") <= spans.select("hi").scalar())
+            & (F.col("end_ms") >= spans.select("lo").scalar()))
     segs = segments.select(
         "feed_key", F.col("playlist").alias("seg_playlist"),
         F.col("start_ms").alias("s0"), F.col("end_ms").alias("s1"),
@@ -122,13 +131,16 @@ def ordered_plan(ranges: DataFrame, keys: list[str] = WINDOW) -> DataFrame:
 
 
 def overlap_plan(
-    windows: DataFrame, streams: DataFrame, segments: DataFrame, bucket_s: int | None = HOUR_S
+    windows: DataFrame, streams: DataFrame, segments: DataFrame, bucket_s: int | None = HOUR_S,
+    prune: bool = False,
 ) -> DataFrame:
     """Stage 2 for distinct windows (feed_key, w0, w1): ``found``, ``found_error``.
 
     Segments only name the playlists; the index range comes from each playlist's stream.
+    Copies of a segment name nothing new and fold together before they are shuffled.
     """
-    named = by_playlist(overlap(windows, segments, bucket_s))
+    once = segments.select("feed_key", "playlist", "start_ms", "end_ms").distinct()
+    named = by_playlist(overlap(windows, once, bucket_s, prune))
     spot = stream_range()
     looked = lookup_streams(named, streams)
     ranges = looked.where(stream_meets() | F.col("stream_error").isNotNull()).select(
@@ -151,7 +163,7 @@ def overlap_plan(
 
 def resolve_segments(
     det: DataFrame, streams: DataFrame, segments: DataFrame,
-    prefer_playlist: bool = True, bucket_s: int | None = HOUR_S,
+    prefer_playlist: bool = True, bucket_s: int | None = HOUR_S, prune: bool = False,
 ) -> DataFrame:
     """The cascade: own playlist, then overlapping playlists, then own playlist regardless.
 
@@ -165,7 +177,7 @@ def resolve_segments(
         open_ = open_ & ~stream_meets() & F.col("stream_error").isNull()
     done, todo = own.where(~open_), own.where(open_)
 
-    found = overlap_plan(todo.select(*WINDOW).distinct(), streams, segments, bucket_s)
+    found = overlap_plan(todo.select(*WINDOW).distinct(), streams, segments, bucket_s, prune)
     done = done.withColumns({"plan": _own_plan(), "plan_error": F.col("stream_error")})
     hit = (F.size("found") > 0) | F.col("found_error").isNotNull()
     second = todo.join(found, WINDOW, "left").withColumns({

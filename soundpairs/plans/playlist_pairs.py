@@ -29,21 +29,23 @@ def playlist_pairs(
     prior: DataFrame | None = None, objects: DataFrame | None = None,
     outcomes: DataFrame | None = None, url_root: str = "", prefix: str = "",
     buffer_s: float = 30, prefer_playlist: bool = True, upload: bool = True,
-    skip_rows: bool = False, bucket_s: int | None = HOUR_S, base: str = BASE_URL,
+    skip_rows: bool = False, bucket_s: int | None = HOUR_S, prune: bool = False,
+    base: str = BASE_URL,
 ) -> DataFrame:
     """One row out per row in: segments of the window, clip path and status.
 
     ``stored``/``fresh`` (clip_key) are the listings used for skipping, ``prior``
     (prior_key) the earlier run; ``objects`` (url) the segments that exist; ``outcomes``
     (clip_key, encode_error, upload_error) one row per clip of the building step.
-    ``skip_rows`` leaves resumed rows out.
+    ``skip_rows`` leaves resumed rows out. ``bucket_s`` and ``prune`` steer the overlap.
     """
     if prefix and not prefix.endswith("/"):
         prefix += "/"
     if url_root and not url_root.endswith("/"):
         url_root += "/"
     rows = resolve_segments(
-        playlist_windows(det, buffer_s), streams, segments, prefer_playlist, bucket_s)
+        playlist_windows(det, buffer_s), streams, segments, prefer_playlist,
+        bucket_s, prune)
     rows = rows.withColumns({
         "clip_name": clip_name("node", "w0", "w1", "flac"),
         "chunkFiles": F.coalesce(chunk_array("node", base=base), F.array().cast("array<string>")),

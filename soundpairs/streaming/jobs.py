@@ -99,7 +99,11 @@ def stream_stage1(sdf: DataFrame, streams: DataFrame, buffer_s: float = 30) -> D
 def stream_resolve(
     sdf: DataFrame, streams: DataFrame, segments: DataFrame, target: str, checkpoint: str, **options
 ) -> StreamingQuery:
-    """The full cascade per micro-batch; one pair row per detection."""
+    """The full cascade per micro-batch; one pair row per detection.
+
+    A micro-batch spans little time, so the segment scan is filtered by its span.
+    """
+    options.setdefault("prune", True)
     return _Sink(target, checkpoint).start(
         sdf, lambda batch, n: playlist_pairs(batch, streams, segments, **options))
 

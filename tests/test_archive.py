@@ -136,6 +136,9 @@ def test_payload_files_and_clips(spark, tmp_path):
         (4, None, []),
     ], "pos long, clip_key string, chunkFiles array<string>")
     clips = {r["clip_key"][2:12]: r for r in assemble_clips(pairs, got).collect()}
+    shuffled = assemble_clips(pairs, got, max_broadcast_rows=0)
+    assert "ShuffledHashJoin" in shuffled._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, shuffled.collect())) == sorted(map(str, clips.values()))
     assert bytes(clips["2020-01-01"]["content"]) == body["c2"] + body["c0"] + body["c2"]
     assert clips["2020-01-02"]["status"] == clips["2020-01-03"]["status"] == "error_download"
     partial = {r["clip_key"][2:12]: r for r in assemble_clips(pairs, got, allow_partial=True).collect()}

@@ -152,8 +152,19 @@ def test_bucketed_overlap_is_whole(spark, bucket):
     w = spark.createDataFrame(wins, "pos long, feed_key string, w0 long, w1 long")
     s = spark.createDataFrame([(f, "x", a, b) for f, a, b in segs],
                               "feed_key string, playlist string, start_ms long, end_ms long")
-    got = sorted((r["pos"], r["s0"], r["s1"]) for r in playlists.overlap(w, s, bucket).collect())
-    assert got == brute_overlap(wins, segs)
+    for prune in (False, True):
+        found = playlists.overlap(w, s, bucket, prune)
+        assert sorted((r["pos"], r["s0"], r["s1"]) for r in found.collect()) == brute_overlap(wins, segs)
+
+
+def test_pruning_reaches_the_catalog_scan(spark, tmp_path):
+    path = str(tmp_path / "segs")
+    segments(spark, *[("x", i * 1000, i * 1000 + 999) for i in range(50)]).write.parquet(path)
+    w = spark.createDataFrame([(0, "feed_a", 5000, 6000)], "pos long, feed_key string, w0 long, w1 long")
+    df = playlists.overlap(w, spark.read.parquet(path), prune=True)
+    assert [r["s0"] for r in df.orderBy("s0").collect()] == [5000, 6000]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "scalar-subquery" in plan or "Subquery" in plan
 
 
 def test_overlap_never_loops_over_all_pairs(spark):
