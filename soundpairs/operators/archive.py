@@ -48,7 +48,7 @@ def phase_probe(det: DataFrame, manifest: DataFrame) -> DataFrame:
     """
     keyed = det.withColumns({
         "_site": spread_null_text(F.col("site"), F.col("pos")),
-        "_minute": minute_start("center_ms"),
+        "_minute": spread_null_ms(minute_start("center_ms"), F.col("pos")),
     })
     probes = minute_probes(manifest).withColumnsRenamed({"site": "_site", "minute_ms": "_minute"})
     return (

@@ -39,3 +39,9 @@ def spread_null_ms(key: Column, pos: Column) -> Column:
     """The same for times, using values below every legal time."""
     below = F.lit(-(10**17)).cast("long") - F.pmod(F.hash(pos), F.lit(_SPREAD)).cast("long")
     return F.coalesce(key, below)
+
+
+def lookup(df: DataFrame, facts: DataFrame, key: str, pos: str = "pos") -> DataFrame:
+    """Left join to one-row-per-key ``facts``; rows with a null key keep apart and find nothing."""
+    keyed = df.withColumn("_key", spread_null_text(F.col(key).cast("string"), F.col(pos)))
+    return keyed.join(facts.withColumnRenamed(key, "_key"), "_key", "left").drop("_key")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from soundpairs.functions.names import feed_key
 from soundpairs.functions.times import clean_time_text
-from soundpairs.operators.common import spread_null_text
+from soundpairs.operators.common import lookup
 
 # fixed values: the message of an incomplete row
 INVALID_MESSAGE = "Missing timestamp, feedId, or feed.nodeName"
@@ -61,9 +61,7 @@ def flag_known(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
     flags = ["in_stored", "in_fresh", "in_prior"]
     if known is None:
         return pairs.withColumns({f: F.lit(False) for f in flags})
-    keyed = pairs.withColumn("_key", spread_null_text(F.col("clip_key"), F.col("pos")))
-    joined = keyed.join(known.withColumnRenamed("clip_key", "_key"), "_key", "left").drop("_key")
-    return joined.withColumns({f: F.coalesce(f, F.lit(False)) for f in flags})
+    return lookup(pairs, known, "clip_key").withColumns({f: F.coalesce(f, F.lit(False)) for f in flags})
 
 
 def skip_existing(pairs: DataFrame, stored: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
@@ -100,19 +98,20 @@ def first_builder(pairs: DataFrame, clip: str = "clip_key", pos: str = "pos") ->
     The first position is aggregated map-side, so a clip shared by very many rows costs
     one small row per task.
     """
-    first = pairs.where(F.col(clip).isNotNull()).groupBy(F.col(clip).alias("_key")).agg(
-        F.min(pos).alias("_first"))
-    keyed = pairs.withColumn("_key", spread_null_text(F.col(clip), F.col(pos)))
+    first = pairs.where(F.col(clip).isNotNull()).groupBy(clip).agg(F.min(pos).alias("_first"))
     return (
-        keyed.join(first, "_key", "left")
-        .withColumn("builds", F.coalesce(F.col(pos) == F.col("_first"), F.lit(False)))
-        .drop("_key", "_first")
+        lookup(pairs, first, clip, pos)
+        .withColumn("builds", F.coalesce(F.col(pos) == F.col("_first"), F.lit(False))).drop("_first")
     )
 
 
 def missing_objects(pairs: DataFrame, objects: DataFrame) -> DataFrame:
-    """Add ``download_error`` naming the first segment URL that is not among ``objects``."""
-    need = pairs.select("pos", F.posexplode("chunkFiles").alias("_i", "url"))
+    """Add ``download_error`` naming the first segment URL that is not among ``objects``.
+
+    Only rows still to be built are looked at.
+    """
+    todo = pairs.where(~(F.col("in_prior") | F.col("in_stored") | F.col("in_fresh")))
+    need = todo.select("pos", F.posexplode("chunkFiles").alias("_i", "url"))
     gone = (
         need.join(objects.select("url").distinct(), "url", "left_anti")
         .groupBy("pos").agg(F.min(F.struct("_i", "url")).alias("_gone"))
@@ -122,7 +121,7 @@ def missing_objects(pairs: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def with_status(
-    df: DataFrame, upload: bool = True, url_root: str = "", local_dir: str = "hls_api_outputs"
+    df: DataFrame, upload: bool = True, url_root: str = "", local_dir: str = "clips"
 ) -> DataFrame:
     """Status, stage, message and clip path; the first matching rule wins.
 
@@ -180,9 +179,7 @@ def observe_progress(df: DataFrame, name: str = "progress") -> tuple[DataFrame,
 
 def annotate(det: DataFrame, annotations: DataFrame, on: str = "id") -> DataFrame:
     """Attach moderator annotations to reports; reports without one stay."""
-    keyed = det.withColumn("_on", spread_null_text(F.col(on).cast("string"), F.col("pos")))
-    notes = annotations.withColumn("_on", F.col(on).cast("string")).drop(on)
-    return keyed.join(notes, "_on", "left").drop("_on")
+    return lookup(det, annotations.withColumn(on, F.col(on).cast("string")), on)
 
 
 def training_pairs(pairs: DataFrame, audio: str = "flacPath") -> DataFrame:

@@ -73,12 +73,12 @@ def direct_plan(det: DataFrame, streams: DataFrame) -> DataFrame:
 
 
 def overlap(
-    windows: DataFrame, segments: DataFrame, bucket_s: int | None = HOUR_S, prune: bool = False
+    windows: DataFrame, segments: DataFrame, bucket_s: int = HOUR_S, prune: bool = False
 ) -> DataFrame:
     """Windows and segments of one feed that meet, both ends inclusive; null ends never match.
 
     Buckets turn a busy feed into many small equi-joins; a pair is kept only in the first
-    bucket both sides share, so none doubles. ``bucket_s=None`` joins on the feed alone.
+    bucket both sides share, so none doubles.
     ``prune`` first finds the time span of the windows and filters the catalog scan by it:
     worth a second look at the windows where they are few and recent.
     """
@@ -92,9 +92,6 @@ def overlap(
         F.col("start_ms").alias("s0"), F.col("end_ms").alias("s1"),
     ).where("s0 is not null and s1 is not null")
     meet = (F.col("s0") <= F.col("w1")) & (F.col("s1") >= F.col("w0"))
-    if bucket_s is None:
-        return windows.join(segs, "feed_key").where(meet)
-
     size = F.lit(bucket_s * 1000).cast("long")
     one = F.lit(1).cast("long")
 
@@ -131,7 +128,7 @@ def ordered_plan(ranges: DataFrame, keys: list[str] = WINDOW) -> DataFrame:
 
 
 def overlap_plan(
-    windows: DataFrame, streams: DataFrame, segments: DataFrame, bucket_s: int | None = HOUR_S,
+    windows: DataFrame, streams: DataFrame, segments: DataFrame, bucket_s: int = HOUR_S,
     prune: bool = False,
 ) -> DataFrame:
     """Stage 2 for distinct windows (feed_key, w0, w1): ``found``, ``found_error``.
@@ -163,7 +160,7 @@ def overlap_plan(
 
 def resolve_segments(
     det: DataFrame, streams: DataFrame, segments: DataFrame,
-    prefer_playlist: bool = True, bucket_s: int | None = HOUR_S, prune: bool = False,
+    prefer_playlist: bool = True, bucket_s: int = HOUR_S, prune: bool = False,
 ) -> DataFrame:
     """The cascade: own playlist, then overlapping playlists, then own playlist regardless.
 

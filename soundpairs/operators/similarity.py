@@ -19,7 +19,8 @@ from soundpairs.session import settled
 
 QUERY_BLOCK = 2048         # rows of one query block; also the most that is ever broadcast
 CORPUS_BLOCK = 32_768      # rows of one corpus block
-STRIPE = 4096              # corpus rows per matrix product
+STRIPE = 1024              # corpus rows per matrix product
+SCORE_BLOCK = 1024         # rows a side of a score block: a block is emitted whole
 TIE_DIGITS = 9             # sums differ in the last bits between blocks; equal to here is a tie
 
 HIT = "query_id long, neighbor_id long, sim double"
@@ -91,10 +92,10 @@ def _all(blocks: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
 
-def _grid(queries: DataFrame, corpus: DataFrame):
+def _grid(queries: DataFrame, corpus: DataFrame, query_block: int, corpus_block: int):
     """Every query block beside every corpus block, as a cogroup on the cell (r, c)."""
-    r = max(1, -(-queries.count() // QUERY_BLOCK))
-    c = max(1, -(-corpus.count() // CORPUS_BLOCK))
+    r = max(1, -(-queries.count() // query_block))
+    c = max(1, -(-corpus.count() // corpus_block))
     left = queries.withColumns({"r": _block(F.col("id"), r)}).withColumn("c", _all(c))
     right = corpus.withColumns({"c": _block(F.col("id"), c)}).withColumn("r", _all(r))
     return left.groupBy("r", "c").cogroup(right.groupBy("r", "c"))
@@ -128,7 +129,8 @@ def nearest(
     q, c = _vectors(queries, query_id, vec), _vectors(corpus, corpus_id, vec)
     few = _small(q, max_broadcast)
     if few is None:
-        return _final(_grid(q, c).applyInPandas(_cell_best(k, exclude_self), HIT), k)
+        return _final(_grid(q, c, QUERY_BLOCK, CORPUS_BLOCK).applyInPandas(
+            _cell_best(k, exclude_self), HIT), k)
     if few.empty:
         return _final(c.sparkSession.createDataFrame([], HIT), k)
     sent = c.sparkSession.sparkContext.broadcast(
@@ -176,7 +178,7 @@ def score(
             if x.empty or y.empty:
                 return table(*[np.empty(0, np.int64), np.empty((0, 1))] * 2)
             return table(x["id"].to_numpy(), _unit(x["vec"]), y["id"].to_numpy(), _unit(y["vec"]))
-        return _grid(a, p).applyInPandas(cell, shape)
+        return _grid(a, p, SCORE_BLOCK, SCORE_BLOCK).applyInPandas(cell, shape)
     if few.empty:
         return a.sparkSession.createDataFrame([], shape)
     sent = a.sparkSession.sparkContext.broadcast((few["id"].to_numpy(), _unit(few["vec"])))
@@ -184,8 +186,9 @@ def score(
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pid, pv = sent.value
         for batch in batches:
-            if len(batch):
-                yield table(batch["id"].to_numpy(), _unit(batch["vec"]), pid, pv)
+            for at in range(0, len(batch), SCORE_BLOCK // 2):
+                part = batch.iloc[at:at + SCORE_BLOCK // 2]
+                yield table(part["id"].to_numpy(), _unit(part["vec"]), pid, pv)
 
     return a.mapInPandas(scan, shape)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from soundpairs.functions.names import BASE_URL, clip_name, flatten
 from soundpairs.functions.times import iso_ms, to_utc_ms, window_bounds
+from soundpairs.operators.common import lookup
 from soundpairs.operators.pairs import (
     flag_known, flag_valid, known_keys, missing_objects, with_status,
 )
@@ -29,7 +30,7 @@ def playlist_pairs(
     prior: DataFrame | None = None, objects: DataFrame | None = None,
     outcomes: DataFrame | None = None, url_root: str = "", prefix: str = "",
     buffer_s: float = 30, prefer_playlist: bool = True, upload: bool = True,
-    skip_rows: bool = False, bucket_s: int | None = HOUR_S, prune: bool = False,
+    skip_rows: bool = False, bucket_s: int = HOUR_S, prune: bool = False,
     base: str = BASE_URL,
 ) -> DataFrame:
     """One row out per row in: segments of the window, clip path and status.
@@ -61,7 +62,7 @@ def playlist_pairs(
     else:
         rows = rows.withColumn("download_error", no_note)
     if outcomes is not None:
-        rows = rows.join(outcomes.select("clip_key", "encode_error", "upload_error"), "clip_key", "left")
+        rows = lookup(rows, outcomes.select("clip_key", "encode_error", "upload_error"), "clip_key")
     else:
         rows = rows.withColumns({"encode_error": no_note, "upload_error": no_note})
     rows = with_status(rows, upload, url_root).withColumns({

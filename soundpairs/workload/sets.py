@@ -42,13 +42,14 @@ from win w join seg s on w.feed_key = s.feed_key and s.s0 <= w.w1 and s.s1 >= w.
 
 @query("j_overlap", _OVERLAP)
 def j_overlap(v):
-    return playlists.overlap(usable(v).drop("playlist"), v.segments, None).select(
+    return playlists.overlap(usable(v).drop("playlist"), v.segments).select(
         "pos", F.col("seg_playlist").alias("playlist"), "s0", "s1")
 
 
 @query("j_overlap_bucketed", _OVERLAP)
 def j_overlap_bucketed(v):
-    return playlists.overlap(usable(v).drop("playlist"), v.segments).select(
+    """Narrow buckets and a pruned catalog: the same pairs."""
+    return playlists.overlap(usable(v).drop("playlist"), v.segments, 600, prune=True).select(
         "pos", F.col("seg_playlist").alias("playlist"), "s0", "s1")
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from soundpairs import schemas
+from soundpairs import schemas, session
 from soundpairs.functions import names, times
 from tests.helpers import detection, detections, ms
 
@@ -134,3 +134,10 @@ def test_flatten_nulls(spark):
     assert (first["feed.id"], first["feed.name"], first["feed.nodeName"]) == ("", "N", "")
     assert (second["feed.id"], second["candidate.id"]) == (None, None)
     assert "feed" not in first.asDict() and "candidate" not in first.asDict()
+
+
+def test_shared_folder_is_the_configured_one(spark):
+    configured = spark.conf.get("spark.checkpoint.dir")
+    assert session.shared_dir(spark) == configured
+    kept = session.settled(spark.range(5))
+    assert kept.count() == 5 and all(configured in f for f in kept.inputFiles())

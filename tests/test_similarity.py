@@ -60,8 +60,7 @@ def test_zero_vector_is_near_nothing(spark):
 
 @pytest.mark.parametrize("bound", [1000, 0])
 def test_score_is_the_full_product(spark, cloud, monkeypatch, bound):
-    monkeypatch.setattr(similarity, "QUERY_BLOCK", 50)
-    monkeypatch.setattr(similarity, "CORPUS_BLOCK", 9)
+    monkeypatch.setattr(similarity, "SCORE_BLOCK", 60)
     prompts = vectors(spark, cloud[:20]).withColumnRenamed("audio_id", "prompt_id")
     got = similarity.score(vectors(spark, cloud), prompts, max_broadcast=bound).collect()
     unit = cloud / np.linalg.norm(cloud, axis=1, keepdims=True)
