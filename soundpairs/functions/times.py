@@ -13,6 +13,7 @@ ISO_TEXT = (
 DASHED_CLOCK = r"T(\d{2})-(\d{2})-(\d{2})"
 
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+SAFE_FORMAT = "yyyy-MM-dd'T'HH-mm-ss.SSS'Z'"
 STAMP_FORMAT = "yyyy-MM-dd_HH-mm-ss"
 
 MINUTE_MS = 60_000
@@ -39,15 +40,20 @@ def event_ms(ts: Column | str, playlist_s: Column | str) -> Column:
     return F.coalesce(parse_ms(ts), col(playlist_s) * F.lit(1000).cast("long"))
 
 
-def clean_time_text(ts: Column | str, lenient: bool = True) -> Column:
-    """Dashed clock to colons; the lenient form also turns the first blank into ``T``."""
-    text = F.regexp_replace(col(ts), DASHED_CLOCK, "T$1:$2:$3")
-    return F.regexp_replace(text, r"^([^ ]*) ", "$1T") if lenient else text
+def clean_time_text(ts: Column | str) -> Column:
+    """Dashed clock to colons."""
+    return F.regexp_replace(col(ts), DASHED_CLOCK, "T$1:$2:$3")
 
 
-def to_utc_ms(ts: Column | str, lenient: bool = True) -> Column:
-    """Clip centre in epoch ms; null marks a row error."""
-    return parse_ms(clean_time_text(ts, lenient))
+def to_utc_ms(ts: Column | str) -> Column:
+    """Clip centre in epoch ms; null marks a row error.
+
+    Text that can be a date at all has its clock at a fixed place, so the pattern runs only on
+    rows with a dash there. A blank for ``T`` is read as it stands.
+    """
+    ts = col(ts)
+    dashed = F.substring(ts, 14, 1) == "-"
+    return parse_ms(F.when(dashed, clean_time_text(ts)).otherwise(ts))
 
 
 def window_bounds(
@@ -65,8 +71,8 @@ def iso_ms(ms: Column | str) -> Column:
 
 
 def safe_iso(ms: Column | str) -> Column:
-    """ISO text fit for file names."""
-    return F.translate(iso_ms(ms), ":/", "--")
+    """ISO text fit for file names: dashes for colons."""
+    return F.date_format(F.timestamp_millis(col(ms)), SAFE_FORMAT)
 
 
 def name_stamp(ms: Column | str) -> Column:

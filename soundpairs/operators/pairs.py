@@ -132,7 +132,7 @@ def with_status(
     rules: list[tuple[Column, str | None, str, Column]] = [
         (~F.col("valid"), "invalid_input", "validate", F.lit(INVALID_MESSAGE)),
         (F.col("center_ms").isNull(), "error", "unexpected",
-         F.concat(F.lit("Invalid date: "), clean_time_text("timestamp", lenient=False))),
+         F.concat(F.lit("Invalid date: "), clean_time_text("timestamp"))),
         (F.col("in_prior"), "resume_skip_in_csv", "", none),
         ((F.size("plan") <= 0) & F.col("plan_error").isNotNull(),
          "error_no_segments", "segments", F.col("plan_error")),

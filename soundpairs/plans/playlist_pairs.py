@@ -18,7 +18,7 @@ from soundpairs.schemas import pair_columns
 def playlist_windows(det: DataFrame, buffer_s: float = 30) -> DataFrame:
     """Validity, feed key, playlist key and window of each detection; w0 null where unusable."""
     flagged = flag_valid(det).withColumns({
-        "center_ms": F.when(F.col("valid"), to_utc_ms("timestamp", lenient=False)),
+        "center_ms": F.when(F.col("valid"), to_utc_ms("timestamp")),
         "playlist": F.col("playlistTimestamp").cast("string"),
     })
     return window_bounds(flagged, buffer_s)

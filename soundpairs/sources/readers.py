@@ -74,8 +74,8 @@ def stream_catalog(raw: DataFrame) -> DataFrame:
     noted = F.col("error") if "error" in raw.columns else F.lit(None).cast("string")
     return first_streams(raw.select(
         F.col("feedId").alias("feed_key"), F.col("playlistTimestamp").alias("playlist"),
-        to_utc_ms("startTime", lenient=False).alias("start_ms"),
-        to_utc_ms("endTime", lenient=False).alias("end_ms"),
+        to_utc_ms("startTime").alias("start_ms"),
+        to_utc_ms("endTime").alias("end_ms"),
         F.coalesce(noted, bad("startTime"), F.when(F.col("startTime") != "", bad("endTime")))
         .alias("error"),
     ))
