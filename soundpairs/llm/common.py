@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that vector code works on at once. A longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -25,8 +26,9 @@ def texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def byte_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, offsets from 0, UTF-8 bytes) of runs of rows with about ``limit`` bytes.
+def byte_chunks(column: pa.Array, limit: int = CHUNK_BYTES,
+                rows: int = 512) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, offsets from 0, UTF-8 bytes) of runs of rows with about ``limit`` bytes, ``rows`` at most.
 
     Works on Arrow's own buffer: no text becomes a Python object. Null is the empty text.
     """
@@ -38,7 +40,7 @@ def byte_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1))
         yield i, at[i:j + 1] - at[i], raw[at[i]:at[j]]
         i = j
 
@@ -50,3 +52,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(27))
     h = h * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
+
+
+def fold_of(doc_id: Column, folds: int) -> Column:
+    """Checksum of the id as text, modulo ``folds``; null ids have none."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % folds
+
+
+def about(df: DataFrame, key: Column, rows: int, n: int) -> DataFrame:
+    """About ``rows`` of the ``n`` rows of ``df``, chosen by a hash of ``key``."""
+    return df if n <= rows else df.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * rows / n))
