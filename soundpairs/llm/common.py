@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers of this machine import the package, wherever the session was started.
+
+    A cluster gets the package by ``--py-files`` or has it installed.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{paths}".rstrip(":")
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -62,3 +75,29 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 def about(df: DataFrame, key: Column, rows: int, n: int) -> DataFrame:
     """About ``rows`` of the ``n`` rows of ``df``, chosen by a hash of ``key``."""
     return df if n <= rows else df.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * rows / n))
+
+
+_POWER = np.uint64(0x9E3779B97F4A7C55)
+_BACK = np.uint64(pow(int(_POWER), -1, 1 << 64))
+
+
+@functools.lru_cache(maxsize=4)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    n = (1 << bits) + 1
+    out = []
+    for base in (_POWER, _BACK):
+        x = np.full(n, base, np.uint64)
+        x[0] = 1
+        out.append(np.cumprod(x))
+    return out[0], out[1]
+
+
+def body_hashes(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """64-bit hash of each raw[lo:hi], the same wherever it lies."""
+    up, back = _powers(max(8, len(raw).bit_length()))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * up[:len(raw)], out=sums[1:])
+    return mix((sums[hi] - sums[lo]) * back[lo] + (hi - lo).astype(np.uint64))
+
+
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
