@@ -230,3 +230,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` but those near a document with a smaller doc_id; of rows with one doc_id, one stays.
+
+    Rows without a doc_id all stay.
+    """
+    found = near_duplicates(docs).select("doc_id", "kept").where("doc_id is not null and kept")
+    ids = found.select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.where("doc_id is not null").withColumn("_key", F.col("doc_id").cast("long"))
+    left = named.join(ids, F.col("_key") == F.col("_kept"), "left_semi")
+    return first_row(left, ["_key"], [F.col("text")]).drop("_key").unionByName(docs.where("doc_id is null"))

@@ -295,8 +295,10 @@ def kept_bytes(raw: bytes, spans: list[int] | None) -> tuple[bytes, int, int]:
 def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Every row's kept (the remaining bytes), n_bytes, n_removed and n_spans, with doc_id or ``keep``.
 
-    With doc_id alone the texts are shuffled once for both of the joins that read them.
+    With doc_id alone the texts are shuffled once for both of the joins that read them. With ``keep``, kept
+    is a text: a character that lost a byte is left out.
     """
+    as_text = keep is not None
     spans = repeated_spans(docs)
     if keep is None:
         rows = texts_by_row(docs).join(spans, ["_doc", "_text"], "left").withColumn(
@@ -308,7 +310,8 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         rows = row_key(docs).select(*keep, F.col("text").alias("_raw"), "_doc", "_text").join(
             spans, ["_doc", "_text"], "left").select(*keep, "_raw", "_spans")
         fields = [f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    schema = ", ".join(fields + ["kept binary", "n_bytes long", "n_removed long", "n_spans long"])
+    kind = "string" if as_text else "binary"
+    schema = ", ".join(fields + [f"kept {kind}", "n_bytes long", "n_removed long", "n_spans long"])
     k = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,9 +320,9 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             for text, spans in zip(batch.column(k), batch.column(k + 1)):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 left, removed, runs = kept_bytes(raw, spans.as_py())
-                out.append((left, len(raw), removed, runs))
+                out.append((left.decode("utf-8", "ignore") if as_text else left, len(raw), removed, runs))
             columns = list(zip(*out)) if out else [()] * 4
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            kinds = [pa.string() if as_text else pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:k], *[pa.array(c, t) for c, t in zip(columns, kinds)]],
                 [*keep, "kept", "n_bytes", "n_removed", "n_spans"])
