@@ -33,6 +33,8 @@ ROUNDS = 8
 FOLDS = 5
 #: A text is rejected below this share of the cosine that nearly all sampled texts of its length reach.
 REJECT = 0.6
+#: Texts with fewer n-grams say too little to be rejected.
+LEAST_GRAMS = 64
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -170,7 +172,9 @@ def fit(docs: DataFrame, train: Column) -> Model:
     least = np.where(np.isfinite(least), least, known.max() if len(known) else 0.0)
     for s in range(int(np.argmax(np.isfinite(least)))):
         least[s] = 0.0
-    return Model(idf, np.concatenate(centroids).astype(np.float32), langs, REJECT * least)
+    bounds = REJECT * least
+    bounds[:LEAST_GRAMS.bit_length() - 1] = 0.0
+    return Model(idf, np.concatenate(centroids).astype(np.float32), langs, bounds)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

@@ -27,18 +27,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soundpairs.llm.common import about, fold_of, texts
+from soundpairs.llm.common import about, byte_chunks, fold_of, texts
+from soundpairs.llm.near_dup import shingles
+from soundpairs.session import settled
 
 FOLDS = 3
 #: Labelled rows that the lexicon, the label model and the classifier are fitted on, about.
-LABELLED = 20_000
-ENTRIES = 64
-STEM = 4
+LABELLED = 40_000
+ENTRIES = 512
+#: Entries that share their first letters are one voter; beyond this many voters they share the last one.
+STEM, VOTERS = 4, 64
 THRESHOLD = 0.7
-#: An entry must be in so many toxic documents of the sample at least.
-SUPPORT = 8
+#: An entry must be in so many toxic documents of the sample at least; near copies count once.
+SUPPORT = 5
 #: One clean document with an entry weighs against so many toxic ones.
-CLEAN_COST = 20
+CLEAN_COST = 40
 INSULTS = ["idiot", "stupid", "moron", "loser", "pathetic", "worthless", "scum", "trash", "disgusting", "clown"]
 _WORD = re.compile(r"[^\W\d_]+")
 _AT_YOU = re.compile(r"\b(?:you|your|you're|youre)\b\W+(?:\w+\W+){0,3}?(?:" + "|".join(INSULTS) + r")\b", re.I)
@@ -47,7 +50,7 @@ _SHOUT = re.compile(r"[!?]{3,}")
 
 @dataclass
 class Lexicon:
-    """Entries ``word`` (ends with a blank) and ``beginning``, each with its voter."""
+    """Entries ``word`` (ends with a blank) or ``beginning``, each with its voter."""
 
     entries: list[str]
     voter: np.ndarray
@@ -67,29 +70,31 @@ def lexicon(mined: list[str]) -> Lexicon:
     entries = list(dict.fromkeys([*mined, *(w + " " for w in INSULTS)]))
     # a word that is also a beginning in the list would hide it: the beginning says it all
     entries = [e for e in entries if not (e.endswith(" ") and e[:-1] in entries)]
-    stems = {}
-    voter = [stems.setdefault(e[:STEM], len(stems)) for e in entries]
-    return Lexicon(entries, np.array(voter), len(stems))
+    stems: dict[str, int] = {}
+    for e in [*(w + " " for w in INSULTS), *entries]:
+        stems.setdefault(e[:STEM], min(len(stems), VOTERS - 1))
+    return Lexicon(entries, np.array([stems[e[:STEM]] for e in entries]), max(stems.values()) + 1)
 
 
-#: Pattern features after the entries: insult at "you", shouting marks, upper-case words, no entry at all.
+#: Features after the voters': insult at "you", shouting marks, upper case, no entry at all.
 PATTERNS = 4
 
 
-def features(text: str, automaton, entries: int) -> np.ndarray:
-    """Counts of entries, then the patterns."""
-    x = np.zeros(entries + PATTERNS, np.float32)
+def features(text: str, automaton, lex: Lexicon) -> np.ndarray:
+    """Number of each voter's entries in the text, then the patterns."""
+    k = lex.voters
+    x = np.zeros(k + PATTERNS, np.float32)
     low = text.lower()
     n = len(low)
     for end, (i, size, word) in automaton.iter(low):
         start = end - size + 1
         if start and low[start - 1].isalpha() or word and end + 1 < n and low[end + 1].isalpha():
             continue
-        x[i] += 1
-    x[entries] = x[:entries].any() and bool(_AT_YOU.search(text))
-    x[entries + 1] = "!!" in text and bool(_SHOUT.search(text))
-    x[entries + 2] = len(text) >= 20 and text.isupper()
-    x[entries + 3] = not x[:entries].any()
+        x[lex.voter[i]] += 1
+    x[k] = x[:k].any() and bool(_AT_YOU.search(text))
+    x[k + 1] = "!!" in text and bool(_SHOUT.search(text))
+    x[k + 2] = len(text) >= 20 and text.isupper()
+    x[k + 3] = not x[:k].any()
     return x
 
 
@@ -112,12 +117,21 @@ def mine(sample: DataFrame) -> list[str]:
                 [pa.array(part), pa.array([toxic[k] for k in part]), pa.array([clean[k] for k in part])],
                 ["entry", "toxic", "clean"])
 
+    def copies(batches):
+        for batch in batches:
+            keys = [int(own[0]) if len(own) else 0 for _, at, raw in byte_chunks(batch.column(0)) for own in shingles(at, raw)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.array(keys, np.uint64).view(np.int64))], ["text", "toxic", "copy"])
+
+    rows = sample.select("text", "toxic")
+    once = rows.where("toxic > 0").mapInArrow(copies, "text string, toxic int, copy long").dropDuplicates(["copy"])
+    rows = once.drop("copy").unionByName(rows.where("toxic = 0"))
     use = F.col("toxic") - CLEAN_COST * F.col("clean")
     best = (
-        sample.select("text", "toxic").mapInArrow(run, "entry string, toxic long, clean long")
+        rows.mapInArrow(run, "entry string, toxic long, clean long")
         .groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where((F.col("toxic") >= SUPPORT) & (use > 0))
-        .orderBy(use.desc(), F.length("entry").desc(), "entry").limit(16 * ENTRIES).collect())
+        .orderBy(use.desc(), F.length("entry").desc(), "entry").limit(4 * ENTRIES).collect())
     chosen: list[str] = []
     for r in best:
         e = r.entry.rstrip(" ")
@@ -128,11 +142,8 @@ def mine(sample: DataFrame) -> list[str]:
 
 def votes(x: np.ndarray, lex: Lexicon) -> np.ndarray:
     """1 toxic, -1 clean, 0 abstains; one column for each stem and pattern."""
-    k = len(lex.entries)
-    by_stem = np.zeros((len(x), lex.voters), bool)
-    for i, v in enumerate(lex.voter):
-        by_stem[:, v] |= x[:, i] > 0
-    return np.concatenate([by_stem, x[:, k:k + 3] > 0, -(x[:, k + 3:] > 0).astype(np.int8)], axis=1).astype(np.int8)
+    k = lex.voters
+    return np.concatenate([x[:, :k + 3] > 0, -(x[:, k + 3:] > 0).astype(np.int8)], axis=1).astype(np.int8)
 
 
 def label_model(v: np.ndarray, share: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,17 +212,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     )
     n = marks.count()
     sample = docs.select("doc_id", "text").join(about(marks, F.col("doc_id"), LABELLED, n), "doc_id")
-    from soundpairs.session import settled
-
     sample = settled(sample.select("text", "toxic"))
     lex = lexicon(mine(sample))
-    k = len(lex.entries)
+    k = lex.voters
 
     def run(batches):
         automaton = lex.automaton()
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([features(t, automaton, k).tobytes() for t in texts(batch.column(0))], pa.binary()),
+                [pa.array([features(t, automaton, lex).tobytes() for t in texts(batch.column(0))], pa.binary()),
                  batch.column(1)], ["x", "toxic"])
 
     rows = sample.mapInArrow(run, "x binary, toxic int").collect()      # LABELLED rows, about
@@ -232,9 +241,9 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     lex, weights = model.lex, model.weights
 
     def run(batches):
-        automaton, k = lex.automaton(), len(lex.entries)
+        automaton, k = lex.automaton(), lex.voters
         for batch in batches:
-            marks = [features(t, automaton, k) for t in texts(batch.column(len(keep)))]
+            marks = [features(t, automaton, lex) for t in texts(batch.column(len(keep)))]
             x = np.stack(marks) if marks else np.zeros((0, k + PATTERNS), np.float32)
             p = 1 / (1 + np.exp(-np.clip(damped(x) @ weights[:-1] + weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays(
