@@ -96,6 +96,8 @@ def with_blocks(docs: DataFrame, blocks: int) -> DataFrame:
     """``key`` (doc_id, null first) and ``block``: a range of keys, alike for every reading of the table."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), "doc_id", "text")
     keyed = keyed.withColumn("_at", F.col("key").cast("double"))
+    if blocks < 2:
+        return keyed.drop("_at").withColumn("block", F.lit(0.0))
     ends = keyed.where("doc_id is not null").approxQuantile("_at", [i / blocks for i in range(1, blocks)], 0.1 / blocks)
     inner = sorted(set(ends or []))
     if not inner:

@@ -109,62 +109,64 @@ def _names(t: np.ndarray, lms_sorted: np.ndarray, lms: np.ndarray) -> np.ndarray
     return name
 
 
-def _sort_names(s: list[int], sigma: int) -> list[int]:
-    """Suffix array of a string of names (the last is the only smallest), by induced sorting."""
-    n = len(s)
-    small = bytearray(n)
-    small[n - 1] = 1
-    for i in range(n - 2, -1, -1):
-        small[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and small[i + 1])
-    size = [0] * (sigma + 1)
-    for c in s:
-        size[c + 1] += 1
-    for c in range(sigma):
-        size[c + 1] += size[c]
-    heads, tails = size[:sigma], size[1:]
-
-    def induced(lms: list[int]) -> list[int]:
-        sa = [-1] * n
-        tail = tails[:]
-        for i in reversed(lms):
-            tail[s[i]] -= 1
-            sa[tail[s[i]]] = i
+def _sort_names(t: np.ndarray) -> np.ndarray:
+    """Suffix array of a string of names (the last is the only smallest), by induced sorting.
+
+    There are about as many buckets as suffixes here, so the two scans are plain loops; all else, and the
+    naming, is vector work.
+    """
+    n = len(t)
+    s = s_types(t)
+    lms = lms_positions(s)
+    ends = np.cumsum(np.bincount(t))
+    heads, tails = np.append(0, ends[:-1]).tolist(), ends.tolist()
+    # bucket into which position i puts i - 1, or -1; the entry behind the last serves empty places
+    before = np.append(t[:-1], 0)
+    down = np.full(n + 1, -1)
+    down[1:n] = np.where(s[:-1], -1, before[:-1])
+    up = np.full(n + 1, -1)
+    up[1:n] = np.where(s[:-1], before[:-1], -1)
+    down, up = down.tolist(), up.tolist()
+
+    def induced(lms: np.ndarray) -> np.ndarray:
+        start = np.full(n, -1)
+        chars = t[lms]                              # ascending buckets, in order within them
+        last = np.flatnonzero(np.append(chars[1:] != chars[:-1], True))
+        size = np.diff(np.append(-1, last))
+        start[ends[chars] - np.repeat(size, size) + np.arange(len(lms)) - np.repeat(last - size + 1, size)] = lms
+        sa = start.tolist()
         head = heads[:]
-        for i in sa:                # grows to the right while it is read
-            if i > 0 and not small[i - 1]:
-                c = s[i - 1]
-                sa[head[c]] = i - 1
-                head[c] += 1
+        for i in sa:                                # grows to the right while it is read
+            c = down[i]
+            if c >= 0:
+                h = head[c]
+                sa[h] = i - 1
+                head[c] = h + 1
         tail = tails[:]
-        for r in range(n - 1, -1, -1):
+        r = n
+        while r:
+            r -= 1
             i = sa[r]
-            if i > 0 and small[i - 1]:
-                c = s[i - 1]
-                tail[c] -= 1
-                sa[tail[c]] = i - 1
-        return sa
-
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    sa = induced(lms)
+            c = up[i]
+            if c >= 0:
+                h = tail[c] - 1
+                sa[h] = i - 1
+                tail[c] = h
+        return np.array(sa)
+
+    by_char = lms[np.argsort(t[lms], kind="stable")]
+    sa = induced(by_char)
     if len(lms) < 2:
         return sa
-    follow = dict(zip(lms, lms[1:] + [lms[-1]]))
-    name, last, names = {}, None, -1
-    for i in sa:
-        if i > 0 and small[i] and not small[i - 1]:
-            this = s[i:follow[i] + 1]
-            if this != last:
-                names += 1
-                last = this
-            name[i] = names
-    reduced = [name[i] for i in lms]
-    if names + 1 == len(lms):
-        order = [0] * len(lms)
-        for k, x in enumerate(reduced):
-            order[x] = k
+    is_lms = np.zeros(n, bool)
+    is_lms[lms] = True
+    name = _names(t, sa[is_lms[sa]], lms)
+    if int(name.max()) + 1 == len(lms):
+        order = np.empty(len(lms), np.int64)
+        order[name] = np.arange(len(lms))
     else:
-        order = _sort_names(reduced, names + 1)
-    return induced([lms[k] for k in order])
+        order = _sort_names(name)
+    return induced(lms[order])
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -184,7 +186,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
             ranked = np.empty(len(lms), np.int64)
             ranked[name] = np.arange(len(lms))
         else:
-            ranked = np.array(_sort_names(name.tolist(), names), np.int64)
+            ranked = _sort_names(name)
         order = _induce(t, s, lms[ranked], 257)
     return order[1:]
 

@@ -40,7 +40,7 @@ GRAM = 32
 #: Bytes of a shard, about.
 SHARD_BYTES = 400_000
 #: Different segments of one owner beyond which it is cut down by the hashes of its spans.
-CROWD = 8000
+CROWD = 1000
 _PLACE = np.uint64((1 << 21) - 1)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -259,7 +259,8 @@ def thinned(docs: DataFrame, cand: DataFrame, wanted: DataFrame, crowds: DataFra
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(_doc, _text, _spans): covered byte ranges of every row that has some, as start * 2^32 + length."""
-    again = find_segments(docs, True).groupBy("owner").agg(F.count("*").alias("_n")).where("_n > 1").select("owner")
+    again = settled(
+        find_segments(docs, True).groupBy("owner").agg(F.count("*").alias("_n")).where("_n > 1").select("owner"))
     cand = settled(find_segments(docs, False).join(again, "owner", "left_semi"))
     wanted = settled(
         cand.groupBy("owner", "body").agg(F.count("*").alias("n"), F.min(F.struct("_doc", "_text", "place")).alias("_at"))

@@ -7,7 +7,7 @@
    says "clean" where no entry occurs. All others abstain.
 3. *Label model.* Expectation maximisation estimates each voter's rates given the hidden class, without
    looking at labels (they only set the starting class share). Correlations that remain between voters
-   given the class are estimated as well; a voter's log odds are divided by one plus its correlations.
+   given the class, of either sign, are estimated as well; a voter's log odds are divided by one plus their sum.
 4. *Classifier.* A logistic regression on entry counts is trained on the posterior labels. Only it
    scores documents.
 
@@ -150,21 +150,22 @@ def label_model(v: np.ndarray, share: float, rounds: int = 30) -> tuple[np.ndarr
     """(posterior of toxic, rates of each voter's speaking by class, correlations given the class)."""
     spoke = (v != 0).astype(np.float64)
     tilt = v.sum(axis=1)
-    post = np.where(tilt > 0, 0.9, np.where(tilt < 0, 0.05, share))
     prior = min(0.5, max(0.01, share))
+    most = max(1.0, float(np.quantile(tilt, 1 - prior)))        # as many rows as the share says start as toxic
+    post = np.where(tilt >= most, 0.9, np.where(tilt < 0, 0.05, prior))
     discount = np.ones(v.shape[1])
     rho = np.zeros((v.shape[1], v.shape[1]))
     rates = np.zeros((2, v.shape[1]))
     for turn in range(rounds):
         for c, w in ((1, post), (0, 1 - post)):
             rates[c] = (w @ spoke + 0.5) / (w.sum() + 10)
-        if turn >= rounds // 2:         # what voters still share once the class is known
+        if turn:                        # what voters still share once the class is known
             rho = np.zeros_like(rho)
             for c, w in ((1, post), (0, 1 - post)):
                 d = (spoke - rates[c]) * np.sqrt(w)[:, None]
                 cov = d.T @ d / max(w.sum(), 1.0)
                 sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-                rho += 0.5 * np.clip(cov / np.outer(sd, sd), 0, 1)
+                rho += 0.5 * np.minimum(np.abs(cov / np.outer(sd, sd)), 1)
             np.fill_diagonal(rho, 0)
             rho[rho < 0.1] = 0
             discount = 1 / (1 + rho.sum(axis=1))
