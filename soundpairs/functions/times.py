@@ -17,6 +17,8 @@ SAFE_FORMAT = "yyyy-MM-dd'T'HH-mm-ss.SSS'Z'"
 STAMP_FORMAT = "yyyy-MM-dd_HH-mm-ss"
 
 MINUTE_MS = 60_000
+# the years 1 to 9999: other numbers are no times
+FIRST_MS, LAST_MS = -62_135_596_800_000, 253_402_300_799_999
 DAY_MS = 86_400_000
 
 
@@ -36,8 +38,15 @@ def parse_ms(text: Column | str) -> Column:
 
 
 def event_ms(ts: Column | str, playlist_s: Column | str) -> Column:
-    """Report time: the ISO text, else the playlist key (epoch seconds), else null."""
-    return F.coalesce(parse_ms(ts), col(playlist_s) * F.lit(1000).cast("long"))
+    """Report time: the ISO text, else the playlist key (epoch seconds), else null.
+
+    A key that is no time of the years 1 to 9999 is null.
+    """
+    return F.coalesce(parse_ms(ts), legal_ms(F.try_multiply(col(playlist_s).cast("long"), F.lit(1000).cast("long"))))
+
+
+def legal_ms(ms: Column | str) -> Column:
+    return F.when(col(ms).between(FIRST_MS, LAST_MS), col(ms))
 
 
 def clean_time_text(ts: Column | str) -> Column:
@@ -67,16 +76,16 @@ def window_bounds(
 
 
 def iso_ms(ms: Column | str) -> Column:
-    return F.date_format(F.timestamp_millis(col(ms)), ISO_FORMAT)
+    return F.date_format(F.timestamp_millis(legal_ms(ms)), ISO_FORMAT)
 
 
 def safe_iso(ms: Column | str) -> Column:
     """ISO text fit for file names: dashes for colons."""
-    return F.date_format(F.timestamp_millis(col(ms)), SAFE_FORMAT)
+    return F.date_format(F.timestamp_millis(legal_ms(ms)), SAFE_FORMAT)
 
 
 def name_stamp(ms: Column | str) -> Column:
-    return F.date_format(F.timestamp_millis(col(ms)), STAMP_FORMAT)
+    return F.date_format(F.timestamp_millis(legal_ms(ms)), STAMP_FORMAT)
 
 
 def floor_phase(ms: Column | str, step_s: int, phase_s: Column | int) -> Column:
@@ -108,4 +117,4 @@ def day_start(ms: Column | str) -> Column:
 
 def day_key(ms: Column | str) -> Column:
     """UTC day as ``yyyy-MM-dd``."""
-    return F.date_format(F.timestamp_millis(col(ms)), "yyyy-MM-dd")
+    return F.date_format(F.timestamp_millis(legal_ms(ms)), "yyyy-MM-dd")

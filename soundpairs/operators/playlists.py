@@ -9,7 +9,9 @@ from soundpairs.functions.names import BASE_URL, clip_interval, enumerate_segmen
 from soundpairs.functions.times import col, whole
 from soundpairs.operators.common import first_row, spread_null_text
 
-HOUR_S = 3600
+BUCKET_S = 600
+# bucket sizes of ever longer catalog rows, in buckets; the longest is some five years of ten-minute buckets
+LEVELS = (1, 64, 4096, 262_144)
 
 # a plan lists (playlist, first, last); URLs are written out only at the very end
 PLAN_TYPE = "array<struct<playlist:string,first:bigint,last:bigint>>"
@@ -17,8 +19,9 @@ WINDOW = ["feed_key", "w0", "w1"]
 
 
 def first_streams(streams: DataFrame) -> DataFrame:
-    """One stream per (feed_key, playlist): the earliest."""
-    return first_row(streams, ["feed_key", "playlist"], [F.asc_nulls_last("start_ms")])
+    """One stream per (feed_key, playlist): the earliest, of those the one that ends first."""
+    order = [F.asc_nulls_last(c) for c in ("start_ms", "end_ms", "error") if c in streams.columns]
+    return first_row(streams, ["feed_key", "playlist"], order)
 
 
 def lookup_streams(det: DataFrame, streams: DataFrame) -> DataFrame:
@@ -73,12 +76,14 @@ def direct_plan(det: DataFrame, streams: DataFrame) -> DataFrame:
 
 
 def overlap(
-    windows: DataFrame, segments: DataFrame, bucket_s: int = HOUR_S, prune: bool = False
+    windows: DataFrame, segments: DataFrame, bucket_s: int = BUCKET_S, prune: bool = False
 ) -> DataFrame:
     """Windows and segments of one feed that meet, both ends inclusive; null ends never match.
 
     Buckets turn a busy feed into many small equi-joins; a pair is kept only in the first
-    bucket both sides share, so none doubles.
+    bucket both sides share, so none doubles. A catalog row lies in buckets of the size that
+    cuts it into two at most (up to the largest size), so a row without a real end is no more
+    rows than others; windows lie in the few buckets they touch of every size.
     ``prune`` first finds the time span of the windows and filters the catalog scan by it:
     worth a second look at the windows where they are few and recent.
     """
@@ -92,21 +97,33 @@ def overlap(
         F.col("start_ms").alias("s0"), F.col("end_ms").alias("s1"),
     ).where("s0 is not null and s1 is not null")
     meet = (F.col("s0") <= F.col("w1")) & (F.col("s1") >= F.col("w0"))
-    size = F.lit(bucket_s * 1000).cast("long")
     one = F.lit(1).cast("long")
 
-    def slot(ms: Column) -> Column:
+    def slot(ms: Column, level: int) -> Column:
+        size = F.lit(bucket_s * 1000 * LEVELS[level]).cast("long")
         return whole(ms - F.pmod(ms, size), size)
 
-    left = windows.withColumn("_w", slot(F.col("w0"))).withColumn(
-        "_bucket", F.explode(F.sequence("_w", slot(F.col("w1")), one)))
+    def places(lo: Column, hi: Column, level: int) -> Column:
+        first = slot(lo, level)
+        return F.transform(F.sequence(first, slot(hi, level), one), lambda b: F.struct(
+            F.lit(level).alias("level"), b.alias("bucket"), first.alias("first")))
+
+    left = windows.where("w0 is not null and w1 is not null and w0 <= w1").withColumn("_w", F.explode(F.concat(
+        *[places(F.col("w0"), F.col("w1"), k) for k in range(len(LEVELS))])))
     # a catalog row with swapped ends still meets windows that hold both of them
-    right = segs.withColumn("_s", slot(F.least("s0", "s1"))).withColumn(
-        "_bucket", F.explode(F.sequence("_s", slot(F.greatest("s0", "s1")), one)))
+    lo, hi, last = F.least("s0", "s1"), F.greatest("s0", "s1"), len(LEVELS) - 1
+    fit = F.when(slot(hi, 0) - slot(lo, 0) <= 1, places(lo, hi, 0))
+    for k in range(1, last):
+        fit = fit.when(slot(hi, k) - slot(lo, k) <= 1, places(lo, hi, k))
+    right = segs.withColumn("_s", F.explode(fit.otherwise(places(lo, hi, last))))
+    keyed = [F.col(c).alias(f"_{n}") for c, n in (("_w.level", "level"), ("_w.bucket", "bucket"), ("_w.first", "wf"))]
+    left = left.select(*windows.columns, *keyed)
+    right = right.select("feed_key", "seg_playlist", "s0", "s1", F.col("_s.level").alias("_level"),
+                         F.col("_s.bucket").alias("_bucket"), F.col("_s.first").alias("_sf"))
     return (
-        left.join(right, ["feed_key", "_bucket"])
-        .where(meet & (F.col("_bucket") == F.greatest("_w", "_s")))
-        .drop("_bucket", "_w", "_s")
+        left.join(right, ["feed_key", "_level", "_bucket"])
+        .where(meet & (F.col("_bucket") == F.greatest("_wf", "_sf")))
+        .drop("_level", "_bucket", "_wf", "_sf")
     )
 
 
@@ -128,7 +145,7 @@ def ordered_plan(ranges: DataFrame, keys: list[str] = WINDOW) -> DataFrame:
 
 
 def overlap_plan(
-    windows: DataFrame, streams: DataFrame, segments: DataFrame, bucket_s: int = HOUR_S,
+    windows: DataFrame, streams: DataFrame, segments: DataFrame, bucket_s: int = BUCKET_S,
     prune: bool = False,
 ) -> DataFrame:
     """Stage 2 for distinct windows (feed_key, w0, w1): ``found``, ``found_error``.
@@ -160,7 +177,7 @@ def overlap_plan(
 
 def resolve_segments(
     det: DataFrame, streams: DataFrame, segments: DataFrame,
-    prefer_playlist: bool = True, bucket_s: int = HOUR_S, prune: bool = False,
+    prefer_playlist: bool = True, bucket_s: int = BUCKET_S, prune: bool = False,
 ) -> DataFrame:
     """The cascade: own playlist, then overlapping playlists, then own playlist regardless.
 

@@ -11,7 +11,7 @@ from soundpairs.operators.common import lookup
 from soundpairs.operators.pairs import (
     flag_known, flag_valid, known_keys, missing_objects, with_status,
 )
-from soundpairs.operators.playlists import HOUR_S, chunk_array, plan_playlists, resolve_segments
+from soundpairs.operators.playlists import BUCKET_S, chunk_array, plan_playlists, resolve_segments
 from soundpairs.schemas import pair_columns
 
 
@@ -30,7 +30,7 @@ def playlist_pairs(
     prior: DataFrame | None = None, objects: DataFrame | None = None,
     outcomes: DataFrame | None = None, url_root: str = "", prefix: str = "",
     buffer_s: float = 30, prefer_playlist: bool = True, upload: bool = True,
-    skip_rows: bool = False, bucket_s: int = HOUR_S, prune: bool = False,
+    skip_rows: bool = False, bucket_s: int = BUCKET_S, prune: bool = False,
     base: str = BASE_URL,
 ) -> DataFrame:
     """One row out per row in: segments of the window, clip path and status.

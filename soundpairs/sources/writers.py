@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,13 +80,23 @@ def write_pairs_csv(pairs: DataFrame, path: str, form: str = "hls", mode: str =
 
 
 def write_clips(clips: DataFrame, path: str, root: str = "", mode: str = "append") -> DataFrame:
-    """Clip bytes to Parquet by UTC day; returns clip_key and url of what was written.
+    """Clip bytes to Parquet by UTC day; returns clip_key, url and bytes of the clips given.
 
-    The day is read off the clip name. Clips without content are not written.
+    The day is read off the clip name. Clips without content are not written, nor (in append mode) those
+    the target holds already, so a retry adds nothing. Clips of other runs are not returned.
     """
     day = F.regexp_extract("clip_key", r"_(\d{4}-\d{2}-\d{2})T[^_]*_[^_]*$", 1)
     made = clips.where(F.col("content").isNotNull()).select(
         "clip_key", "content", F.length("content").cast("long").alias("bytes"), day.alias("day"))
+    spark = clips.sparkSession
+    if mode == "append":
+        try:
+            there = spark.read.schema("clip_key string").parquet(path)
+            made = made.join(there, "clip_key", "left_anti").select(made.columns)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     made.hint("rebalance", "day").write.mode(mode).partitionBy("day").parquet(path)
-    written = clips.sparkSession.read.parquet(path)
+    mine = clips.where(F.col("content").isNotNull()).select("clip_key").distinct()
+    written = spark.read.schema("clip_key string, bytes long").parquet(path).join(mine, "clip_key", "left_semi")
     return written.select("clip_key", F.concat(F.lit(root), F.col("clip_key")).alias("url"), "bytes")

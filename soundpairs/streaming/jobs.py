@@ -8,7 +8,7 @@ they hold (one column); that also covers a run started over with a new checkpoin
 
 from __future__ import annotations
 
-import zlib
+import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -42,11 +42,18 @@ def stream_pages(spark: SparkSession, path: str, max_files: int = 1000) -> DataF
 
 
 class _Sink:
-    """Folders ``run=R/batch_id=N`` under the target; R stands for the checkpoint."""
+    """Folders ``run=R/batch_id=N`` under the target; R is the stream's own id.
 
-    def __init__(self, target: str, checkpoint: str):
-        self.target, self.checkpoint = target, checkpoint
-        self.run = f"r{zlib.crc32(checkpoint.encode()):08x}"
+    Spark keeps that id in the checkpoint: a restart goes on under it, and a checkpoint begun anew
+    in the same place has another, so its batches never replace those of the old one.
+    """
+
+    def __init__(self, target: str, checkpoint: str, run: str | None = None):
+        self.target, self.checkpoint, self.run = target, checkpoint, run
+
+    def named(self, spark: SparkSession) -> None:
+        if self.run is None:
+            self.run = "r" + json.loads(spark.read.text(f"{self.checkpoint}/metadata").first()[0])["id"]
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{self.target}/run={self.run}/batch_id={batch_id}")
@@ -69,8 +76,12 @@ class _Sink:
         return first if seen is None else first.join(seen, key, "left_anti")
 
     def start(self, sdf: DataFrame, make: Callable[[DataFrame, int], DataFrame]) -> StreamingQuery:
+        def each(batch: DataFrame, n: int) -> None:
+            self.named(batch.sparkSession)
+            self.write(make(batch, n), n)
+
         return (
-            sdf.writeStream.foreachBatch(lambda batch, n: self.write(make(batch, n), n))
+            sdf.writeStream.foreachBatch(each)
             .option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
         )
 
@@ -99,13 +110,15 @@ def stream_stage1(sdf: DataFrame, streams: DataFrame, buffer_s: float = 30) -> D
 def stream_resolve(
     sdf: DataFrame, streams: DataFrame, segments: DataFrame, target: str, checkpoint: str, **options
 ) -> StreamingQuery:
-    """The full cascade per micro-batch; one pair row per detection.
+    """The full cascade per micro-batch; one pair row per detection, told apart by ``pos``.
 
-    A micro-batch spans little time, so the segment scan is filtered by its span.
+    A micro-batch spans little time, so the segment scan is filtered by its span. Detections that
+    the target holds already are not resolved again, also under a new checkpoint.
     """
     options.setdefault("prune", True)
-    return _Sink(target, checkpoint).start(
-        sdf, lambda batch, n: playlist_pairs(batch, streams, segments, **options))
+    sink = _Sink(target, checkpoint)
+    return sink.start(
+        sdf, lambda batch, n: playlist_pairs(sink.only_new(batch, n, "pos"), streams, segments, **options))
 
 
 def stream_append(sdf: DataFrame, target: str, checkpoint: str, key: str = "clip_key") -> StreamingQuery:

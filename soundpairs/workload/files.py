@@ -191,8 +191,9 @@ def s_prior(v):
 select clip_key, 'store/' || clip_key as url,
   cast(sum(length(name) + 100) as bigint) as bytes from built group by clip_key""")
 def k_clips(v):
-    built = clips.assemble_clips(archive_jobs(v), chunk_payloads(v))
-    return writers.write_clips(built, scratch_path(v.spark, "clips"), "store/")
+    built, path = clips.assemble_clips(archive_jobs(v), chunk_payloads(v)), scratch_path(v.spark, "clips")
+    writers.write_clips(built, path, "store/")
+    return writers.write_clips(built, path, "store/")       # as after a retry
 
 
 @query("k_landed", q("""select pos, id from det where lower(node) = 'rpi_node_3'
@@ -237,10 +238,12 @@ def st_dedupe(v):
 @query("st_resolve", PAIR_SQL + f"select pos, {PAIR_COLUMNS} from rows")
 def st_resolve(v):
     target = scratch_path(v.spark, "resolved")
-    streaming.stream_resolve(
-        _landed_stream(v), v.streams, v.segments, target, scratch_path(v.spark, "ck"),
-        stored=v.stored, fresh=v.fresh, prior=v.prior, url_root=URL_ROOT, prefix=PREFIX,
-    ).awaitTermination()
+    source = landed_lines(v)
+    for _ in range(2):      # a second run over the same files, as after a lost checkpoint, adds nothing
+        streaming.stream_resolve(
+            streaming.stream_detections(v.spark, source, max_files=2), v.streams, v.segments, target,
+            scratch_path(v.spark, "ck"), stored=v.stored, fresh=v.fresh, prior=v.prior, url_root=URL_ROOT, prefix=PREFIX,
+        ).awaitTermination()
     done = v.spark.read.parquet(target).drop("run", "batch_id")
     return done.withColumns({a: F.array_join(a, ",") for a in ("playlistTimestamps", "chunkFiles")})
 

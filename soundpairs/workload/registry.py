@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from soundpairs.functions.names import BASE_URL
-from soundpairs.workload.views import LATER, PREFIX, SLOT_S, URL_ROOT, Views
+from soundpairs.workload.views import LATER, PREFIX, ROGUE, SLOT_S, URL_ROOT, Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,7 +66,7 @@ raw_det as (
          when event_id % 41 = 0 then strftime(ts, '%Y-%m-%dT%H-%M-%SZ')
          when event_id % 43 = 0 then strftime(ts, '%Y-%m-%d %H:%M:%S.%fZ')
          else strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') end as "timestamp",
-    case when event_id % 51 = 0 then null when event_id % 13 = 0 then pt - {SLOT_S} else pt end
+    case when event_id % 51 = 0 then null when event_id % 1009 = 0 then {ROGUE} when event_id % 13 = 0 then pt - {SLOT_S} else pt end
       as "playlistTimestamp",
     event_id % 37 <> 0 as has_feed,
     case when event_id % 31 <> 0 then 'feed_' || feed end as fid,
@@ -91,7 +91,7 @@ det as (
     case when has_feed then fnode end as node,
     coalesce(case when has_feed then fid end, "feedId") as feed_key,
     cast("playlistTimestamp" as varchar) as playlist, utc_ms,
-    coalesce(iso_ms, "playlistTimestamp" * 1000) as event_ms
+    coalesce(iso_ms, case when "playlistTimestamp" < {ROGUE} then "playlistTimestamp" * 1000 end) as event_ms
   from raw_det),
 slots as (select distinct feed, pt from base),
 lists as (

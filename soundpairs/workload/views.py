@@ -17,8 +17,9 @@ from soundpairs.session import scratch_path, use_utc
 
 SLOT_S = 21_600          # a playlist runs six hours
 LATER = 10**12           # positions of late copies
+ROGUE = 10**16 - 1       # a playlist key that is no time
 PREFIX = "clips/"
-URL_ROOT = "https://pairs-store.s3.us-east-2.amazonaws.com/"
+URL_ROOT = "https://pairs.example.org/"
 
 
 def _long(value: int):
@@ -65,7 +66,7 @@ class Views:
             .when(e % 41 == 0, F.date_format(at, "yyyy-MM-dd'T'HH-mm-ss'Z'"))
             .when(e % 43 == 0, F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSSSSS'Z'")).otherwise(iso)
         )
-        playlist = F.when(e % 51 == 0, None).when(e % 13 == 0, F.col("pt") - SLOT_S).otherwise(F.col("pt"))
+        playlist = F.when(e % 51 == 0, None).when(e % 1009 == 0, _long(ROGUE)).when(e % 13 == 0, F.col("pt") - SLOT_S).otherwise(F.col("pt"))
         det_id = F.concat(F.lit("det_"), e.cast("string"))
 
         def rows(frame, pos, det_id, category, stamp, pt, feed_id_in, node_in, has_feed):

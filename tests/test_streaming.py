@@ -67,7 +67,7 @@ def test_a_lost_checkpoint_repeats_and_loses_nothing(spark, tmp_path):
 
 
 def test_a_batch_run_again_replaces_itself(spark, tmp_path):
-    sink = jobs._Sink(str(tmp_path / "t"), "ck")
+    sink = jobs._Sink(str(tmp_path / "t"), "ck", "r0")
     batch = detections(spark, detection(0, id="a"), detection(1, id="a"), detection(2, id="b"))
     for _ in range(2):
         sink.write(sink.only_new(batch, 3, "id"), 3)
