@@ -9,7 +9,7 @@
 * *Stars.* In each bucket one hub is paired with the others, so pairs grow with the bucket's size and not
   with its square. The hub is the member whose buckets are largest, which is the centre of a family of
   copies. Pairs are confirmed on full sets. Buckets that still hold nodes of different components get
-  more hubs, eight times as many each round, until every pair in them is confirmed, refused or already
+  more hubs, many times as many each round, until every pair in them is confirmed, refused or already
   in one component; no candidate is dropped.
 * *Components* are found by star contraction.
 
@@ -39,6 +39,8 @@ BANDS, ROWS = 24, 5
 BINS = BANDS * ROWS
 #: Sets smaller than this are linked with equal sets only.
 LEAST = 6
+#: Hubs of the second round, and the factor of further rounds.
+MORE_HUBS = 32
 #: Members that are compared with one hub in one task, about.
 SALT_ROWS = 500
 
@@ -174,42 +176,84 @@ def alike_size(a: str, b: str):
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def near_links(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """(links, components) between ``nodes`` (doc_id, n, buckets): enough to connect whatever is similar."""
+def near_components(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """(node, component) of linked ``nodes`` (doc_id, n, buckets), or None where no bucket is shared."""
     rows = nodes.where("buckets is not null").select("doc_id", "n", F.explode("buckets").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared = settled(rows.join(sizes, "bucket"))
+    shared = settled(rows.hint("merge").join(sizes, "bucket"))
     if shared.isEmpty():
-        return None, None
+        return None
     weight = shared.groupBy("doc_id").agg(F.sum("size").alias("weight"))
     members = settled(shared.join(weight, "doc_id").select("bucket", "doc_id", "n", "weight"))
-    texts = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+    texts = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").hint("merge").join(
         weight.select("doc_id"), "doc_id", "left_semi"))
     order = [F.col("weight").desc(), F.col("doc_id")]
     hubs = first_row(members, ["bucket"], order).select("bucket", F.col("doc_id").alias("hub"), F.col("n").alias("m"))
     pairs = members.join(hubs, "bucket").where((F.col("doc_id") != F.col("hub")) & alike_size("n", "m")).select(
         "hub", F.col("doc_id").alias("member")).distinct()
     links = confirmed(pairs, texts)
-    done, more = 1, 8
+    found, done, more, common = components(links), 1, MORE_HUBS, None
     while True:
-        found = components(links)
         now = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
             "component", F.coalesce("component", "doc_id"))
-        mixed = now.groupBy("bucket").agg(
-            F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where(
-            (F.col("a") < F.col("b")) & (F.col("size") > done + 1)).select("bucket")
-        ranked = settled(now.join(mixed, "bucket", "left_semi").withColumn(
-            "rank", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where(F.col("rank") > done))
+        open_ = _mixed(now, done)
+        if common is None:
+            open_ = settled(open_)
+            common = settled(shared_shingles(open_.select("doc_id").distinct(), texts))
+        open_ = open_.join(common, "doc_id").withColumn("c", F.col("n") - F.col("alone"))
+        least = open_.groupBy("bucket").agg(F.min("n").alias("_least"))
+        able = open_.join(least, "bucket").where(F.expr(_enough("c", "n", "_least"))).drop("_least", "alone")
+        ranked = settled(_mixed(able, 1).withColumn(
+            "rank", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))))
         if ranked.isEmpty():
-            return links, found
-        hubs = ranked.where(F.col("rank") <= done + more).select(
-            "bucket", F.col("doc_id").alias("hub"), F.col("n").alias("m"), F.col("component").alias("other"),
-            F.col("rank").alias("first"))
+            return found
+        hubs = ranked.where(F.col("rank") <= more).select(
+            "bucket", F.col("doc_id").alias("hub"), F.col("n").alias("m"), F.col("c").alias("d"),
+            F.col("component").alias("other"), F.col("rank").alias("first"))
         pairs = ranked.join(hubs, "bucket").where(
-            (F.col("rank") > F.col("first")) & (F.col("component") != F.col("other")) & alike_size("n", "m")).select(
-            "hub", F.col("doc_id").alias("member")).distinct()
-        links = settled(links.unionByName(confirmed(pairs, texts)))
-        done, more = done + more, more * 8
+            ((F.col("rank") > F.col("first")) | (F.col("rank") > more)) & (F.col("component") != F.col("other"))
+            & F.expr(_enough("least(c, d)", "n", "m"))).select("hub", F.col("doc_id").alias("member")).distinct()
+        new = confirmed(pairs, texts)
+        if not new.isEmpty():
+            links = settled(links.unionByName(new))
+            found = components(links)
+        elif ranked.where(F.col("rank") > more).isEmpty():
+            return found
+        # the hubs of this round are done with
+        members = settled(members.join(hubs.select("bucket", F.col("hub").alias("doc_id")), ["bucket", "doc_id"], "left_anti"))
+        more *= MORE_HUBS
+
+
+def _mixed(rows: DataFrame, done: int) -> DataFrame:
+    """Rows of buckets with several components, and with more than ``done`` + 1 members."""
+    mixed = rows.groupBy("bucket").agg(
+        F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where(
+        (F.col("a") < F.col("b")) & (F.col("size") > done)).select("bucket")
+    return rows.join(mixed, "bucket", "left_semi")
+
+
+def _enough(both: str, a: str, b: str) -> str:
+    """Whether sets of sizes a and b can be similar enough with ``both`` common shingles."""
+    return f"{100 + PERCENT} * {both} >= {PERCENT} * ({a} + {b})"
+
+
+def shared_shingles(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, alone): how many shingles of each wanted document no other wanted one has.
+
+    Whatever is linked with it has none of these, which bounds what two sets can have in common.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, at, raw in byte_chunks(batch.column(1)):
+                sets = shingles(at, raw)
+                ids = batch.column(0).take(pa.array(np.repeat(np.arange(first, first + len(sets)), [len(x) for x in sets])))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array(np.concatenate(sets).view(np.int64))], ["doc_id", "shingle"])
+
+    each = texts.join(wanted, "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, shingle long")
+    alone = each.groupBy("shingle").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id")).where("k = 1")
+    counts = alone.groupBy("doc_id").agg(F.count("*").alias("alone"))
+    return wanted.join(counts, "doc_id", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -217,7 +261,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sig = settled(signatures(docs))
     known = sig.where("doc_id is not null and n > 0")
     nodes = settled(first_row(known, ["k1", "k2"], ["doc_id"]))
-    _, found = near_links(docs, nodes)
+    found = near_components(docs, nodes)
     classes = nodes.select("k1", "k2", F.col("doc_id").alias("node"))
     if found is None:
         classes = classes.withColumn("component", F.lit(None).cast("long"))
