@@ -23,7 +23,17 @@ STRIPE = 1024              # corpus rows per matrix product
 SCORE_BLOCK = 1024         # rows a side of a score block: a block is emitted whole
 TIE_DIGITS = 9             # sums differ in the last bits between blocks; equal to here is a tie
 
-HIT = "query_id long, neighbor_id long, sim double"
+
+
+def _hit(ids: DataFrame) -> str:
+    kind = ids.schema["id"].dataType.simpleString()
+    return f"query_id {kind}, neighbor_id {kind}, sim double"
+
+
+def _ids(values) -> np.ndarray:
+    """Ids as an array that sorts: whole numbers, or text."""
+    values = np.asarray(values)
+    return values.astype(str) if values.dtype == object else values
 
 
 def _unit(vectors) -> np.ndarray:
@@ -42,7 +52,7 @@ class _Best:
     def __init__(self, ids: np.ndarray, units: np.ndarray, k: int, exclude_self: bool):
         self.ids, self.units, self.k, self.exclude = ids, units, k, exclude_self
         self.sim = np.empty((len(ids), 0))
-        self.nid = np.empty((len(ids), 0), dtype=np.int64)
+        self.nid = np.empty((len(ids), 0), dtype=ids.dtype)
 
     def add(self, ids: np.ndarray, units: np.ndarray) -> None:
         for at in range(0, len(ids), STRIPE):
@@ -74,7 +84,9 @@ class _Best:
 
 
 def _vectors(df: DataFrame, key: str, vec: str) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("vec")).where(
+    """Ids stay text where they are text; all numbers are long."""
+    kind = "string" if isinstance(df.schema[key].dataType, T.StringType) else "long"
+    return df.select(F.col(key).cast(kind).alias("id"), F.col(vec).alias("vec")).where(
         "id is not null and vec is not null")
 
 
@@ -104,10 +116,9 @@ def _grid(queries: DataFrame, corpus: DataFrame, query_block: int, corpus_block:
 def _cell_best(k: int, exclude_self: bool) -> Callable:
     def cell(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "neighbor_id": [], "sim": []}).astype(
-                {"query_id": "int64", "neighbor_id": "int64", "sim": "float64"})
-        best = _Best(q["id"].to_numpy(), _unit(q["vec"]), k, exclude_self)
-        best.add(c["id"].to_numpy(), _unit(c["vec"]))
+            return pd.DataFrame({"query_id": q["id"][:0], "neighbor_id": c["id"][:0], "sim": np.empty(0)})
+        best = _Best(_ids(q["id"]), _unit(q["vec"]), k, exclude_self)
+        best.add(_ids(c["id"]), _unit(c["vec"]))
         return best.rows()
     return cell
 
@@ -130,27 +141,27 @@ def nearest(
     few = _small(q, max_broadcast)
     if few is None:
         return _final(_grid(q, c, QUERY_BLOCK, CORPUS_BLOCK).applyInPandas(
-            _cell_best(k, exclude_self), HIT), k)
+            _cell_best(k, exclude_self), _hit(q)), k)
     if few.empty:
-        return _final(c.sparkSession.createDataFrame([], HIT), k)
+        return _final(c.sparkSession.createDataFrame([], _hit(q)), k)
     sent = c.sparkSession.sparkContext.broadcast(
-        (few["id"].to_numpy(), _unit(few["vec"])))
+        (_ids(few["id"]), _unit(few["vec"])))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = _Best(*sent.value, k, exclude_self)
         for batch in batches:
             if len(batch):
-                best.add(batch["id"].to_numpy(), _unit(batch["vec"]))
+                best.add(_ids(batch["id"]), _unit(batch["vec"]))
         yield best.rows()
 
-    return _final(c.mapInPandas(scan, HIT), k)
+    return _final(c.mapInPandas(scan, _hit(q)), k)
 
 
 def attach(hits: DataFrame, corpus: DataFrame, corpus_id: str = "audio_id",
            meta: list[str] | None = None, version: str | None = None) -> DataFrame:
     """Add the neighbour's meta columns and the model version to nearest rows."""
     kept = meta if meta is not None else [c for c in corpus.columns if c not in (corpus_id, "embedding")]
-    facts = corpus.select(F.col(corpus_id).cast("long").alias("neighbor_id"), *kept)
+    facts = corpus.select(F.col(corpus_id).cast(hits.schema["neighbor_id"].dataType).alias("neighbor_id"), *kept)
     out = hits.join(facts, "neighbor_id", "left")
     return out.withColumn("version", F.lit(version)) if version is not None else out
 
@@ -165,7 +176,8 @@ def score(
     a larger set is laid out in blocks.
     """
     a, p = _vectors(audio, audio_id, vec), _vectors(prompts, prompt_id, vec)
-    shape = "audio_id long, prompt_id long, sim double"
+    kinds = [x.schema["id"].dataType.simpleString() for x in (a, p)]
+    shape = f"audio_id {kinds[0]}, prompt_id {kinds[1]}, sim double"
 
     def table(aid: np.ndarray, av: np.ndarray, pid: np.ndarray, pv: np.ndarray) -> pd.DataFrame:
         sims = _sims(av, pv)
@@ -176,7 +188,7 @@ def score(
     if few is None:
         def cell(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
             if x.empty or y.empty:
-                return table(*[np.empty(0, np.int64), np.empty((0, 1))] * 2)
+                return table(x["id"][:0], np.empty((0, 1)), y["id"][:0], np.empty((0, 1)))
             return table(x["id"].to_numpy(), _unit(x["vec"]), y["id"].to_numpy(), _unit(y["vec"]))
         return _grid(a, p, SCORE_BLOCK, SCORE_BLOCK).applyInPandas(cell, shape)
     if few.empty:
@@ -226,19 +238,21 @@ def _signatures(df: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
             yield pd.DataFrame({"id": batch["id"], "vec": batch["vec"], "buckets": list(code)})
 
     vec_type = df.schema["vec"].dataType.simpleString()
-    made = df.mapInPandas(sign, f"id long, vec {vec_type}, buckets array<long>")
+    kind = df.schema["id"].dataType.simpleString()
+    made = df.mapInPandas(sign, f"id {kind}, vec {vec_type}, buckets array<long>")
     return made.select("id", "vec", F.posexplode("buckets").alias("t", "bucket"))
 
 
 def nearest_approx(
     queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "audio_id",
     corpus_id: str = "audio_id", vec: str = "embedding", tables: int = 8, bits: int = 6,
-    seed: int = 7, exclude_self: bool = True,
+    seed: int = 7, exclude_self: bool = True, complete: bool = False,
 ) -> DataFrame:
     """k nearest among vectors sharing a hash bucket in some table, ranked by exact cosine.
 
-    A bucket however full is cut into blocks of bounded size on both sides. Queries left
-    with fewer than k candidates are answered exactly. Recall depends on tables and bits.
+    A bucket however full is cut into blocks of bounded size on both sides. Recall depends on
+    tables and bits: a query may be left with fewer than k rows. ``complete`` answers those
+    exactly, against the whole corpus.
     """
     q, c = _vectors(queries, query_id, vec), _vectors(corpus, corpus_id, vec)
     qs, cs = _signatures(q, tables, bits, seed), _signatures(c, tables, bits, seed)
@@ -261,9 +275,11 @@ def nearest_approx(
     cell = ["t", "bucket", "r", "c"]
     hits = (left.select("id", "vec", *cell).groupBy(*cell)
             .cogroup(right.select("id", "vec", *cell).groupBy(*cell))
-            .applyInPandas(_cell_best(k, exclude_self), HIT))
-    near = settled(_final(hits.groupBy("query_id", "neighbor_id").agg(F.max("sim").alias("sim")), k))
-
+            .applyInPandas(_cell_best(k, exclude_self), _hit(q)))
+    near = _final(hits.groupBy("query_id", "neighbor_id").agg(F.max("sim").alias("sim")), k)
+    if not complete:
+        return near
+    near = settled(near)
     served = near.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     short = q.join(served.where(F.col("n") >= k), "id", "left_anti")
     rest = nearest(short, c, k, "id", "id", "vec", exclude_self)

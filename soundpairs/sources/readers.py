@@ -10,51 +10,76 @@ from soundpairs.functions.names import CHUNK_SUFFIX
 from soundpairs.functions.times import STAMP_FORMAT, parse_ms, to_utc_ms
 from soundpairs.operators.playlists import first_streams
 
-def page_rows(files: DataFrame, limit: int = 250) -> DataFrame:
-    """Rows (pos, detection fields) of pages (offset, results), up to the first short page.
+def page_rows(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Rows (pos, detection fields) of pages (offset, results).
 
-    A page shorter than ``limit`` is the last one; later pages are not part of the run.
+    All pages are read. With ``limit`` (the page size asked for) the run ends at the first shorter
+    page, as a fetch loop would; later pages are then no part of it.
     """
     sized = files.select("offset", F.coalesce("results", F.array().cast(files.schema["results"].dataType))
                          .alias("results"))
-    short = sized.where(F.size("results") < limit).agg(F.min("offset").alias("last"))
-    last = short.select(F.coalesce("last", F.lit(2**63 - 1))).scalar()
+    if limit is not None:
+        short = sized.where(F.size("results") < limit).agg(F.min("offset").alias("last"))
+        last = short.select(F.coalesce("last", F.lit(2**63 - 1))).scalar()
+        sized = sized.where(F.col("offset") <= last)
     return (
-        sized.where(F.col("offset") <= last)
-        .select("offset", F.posexplode("results").alias("_i", "_d"))
+        sized.select("offset", F.posexplode("results").alias("_i", "_d"))
         .select((F.col("offset") + F.col("_i")).alias("pos"), "_d.*")
     )
 
 
-def read_pages(spark: SparkSession, path: str, limit: int = 250) -> DataFrame:
-    """Landed page files; the digits ending a file's name are its offset."""
-    offset = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.json$", 1).cast("long")
-    files = spark.read.schema(schemas.PAGE).json(path, multiLine=True).select(
-        offset.alias("offset"), F.col("data.detections.results").alias("results"))
+def read_pages(spark: SparkSession, path: str, limit: int | None = None, lines: bool = False) -> DataFrame:
+    """Landed page files; a page's own ``offset``, or else the digits ending its file's name, is its offset.
+
+    ``lines``: files hold one page a line (such pages need an offset of their own). A malformed page fails.
+    """
+    named = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.json$", 1)
+    page = schemas.T.StructType([schemas.T.StructField("offset", schemas.T.LongType())] + schemas.PAGE.fields)
+    files = spark.read.schema(page).json(path, multiLine=not lines, mode="FAILFAST").select(
+        F.coalesce("offset", F.nullif(named, F.lit("")).cast("long")).alias("offset"),
+        F.col("data.detections.results").alias("results"))
     return page_rows(files, limit)
 
 
 def envelope_rows(docs: DataFrame) -> DataFrame:
-    """Rows of envelope documents; one that already carries positions keeps them."""
+    """Rows of envelope documents; those that carry positions keep them."""
     rows = docs.select(F.posexplode("detections").alias("_i", "_d"))
+    place = F.col("_i").cast("long")
     if "pos" in docs.schema["detections"].dataType.elementType.fieldNames():
-        return rows.select("_d.*")
-    return rows.select(F.col("_i").cast("long").alias("pos"), "_d.*")
+        return rows.select(F.coalesce("_d.pos", place).alias("pos"), *[
+            F.col(f"_d.{f}") for f in schemas.DETECTION.fieldNames()])
+    return rows.select(place.alias("pos"), "_d.*")
+
+
+_HEAD = ',"detections":['
 
 
-def read_envelope(spark: SparkSession, path: str) -> DataFrame:
-    """An envelope document in one file; without detections there are no rows.
+def read_envelope(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Envelopes as written by ``write_envelope``, or documents each in one file (``lines``: in one line).
 
-    A document is one task's work by its format; see ``read_envelope_lines`` for large ones.
+    The written form is known by its head line, whatever the number of its part files; it is read line by
+    line in parallel, in the order of parts and lines. A document in one file is one task's work by its
+    format. Documents without detections have no rows; malformed ones fail.
     """
-    return envelope_rows(spark.read.schema(schemas.ENVELOPE).json(path, multiLine=True))
+    text = spark.read.text(path)
+    if not lines and not text.where(F.col("value").startswith("{") & F.col("value").endswith(_HEAD)).isEmpty():
+        return read_envelope_lines(spark, path)
+    shape = schemas.T.StructType([schemas.T.StructField("detections", schemas.T.ArrayType(schemas.LANDED))])
+    return envelope_rows(spark.read.schema(shape).json(path, multiLine=not lines, mode="FAILFAST"))
 
 
 def read_envelope_lines(spark: SparkSession, path: str) -> DataFrame:
-    """An envelope written by ``write_envelope(positions=True)``, read line by line in parallel."""
-    lines = spark.read.text(path).where(F.col("value").rlike(r'^,?\{"pos":'))
-    text = F.regexp_replace("value", "^,", "")
-    return lines.select(F.from_json(text, schemas.LANDED).alias("_d")).select("_d.*")
+    """An envelope written by ``write_envelope``, line by line; without positions of their own, detections are
+    numbered (with gaps) by part file and line."""
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1)
+    within = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    order = F.shiftleft(F.coalesce(F.nullif(part, F.lit("")).cast("long"), F.lit(0).cast("long")), 40) + within
+    value = F.col("value")
+    rows = spark.read.text(path).select("value", order.alias("_at")).where(
+        (value != "") & (value != "]}") & ~(value.startswith("{") & value.endswith(_HEAD)))
+    parsed = F.from_json(F.regexp_replace("value", "^,", ""), schemas.LANDED, {"mode": "FAILFAST"})
+    return rows.select("_at", parsed.alias("_d")).select(
+        F.coalesce("_d.pos", "_at").alias("pos"), *[F.col(f"_d.{f}") for f in schemas.DETECTION.fieldNames()])
 
 
 def read_detection_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -219,6 +219,15 @@ def n_nearest(v):
     return similarity.attach(near, v.audio, meta=["label"], version="v1")
 
 
+@query("n_nearest_grid", _VECTORS + _near_sql("emb", "'v' || query_id as query_id, 'v' || neighbor_id as neighbor_id, sim"))
+def n_nearest_grid(v):
+    """Text ids, laid out in blocks. The ids are padded so that ties go as those of numbers do."""
+    named = v.audio.withColumn("audio_id", F.concat(F.lit("v"), F.lpad(F.col("audio_id").cast("string"), 12, "0")))
+    near = similarity.nearest(named, named, 5, max_broadcast=0)
+    plain = {c: F.regexp_replace(c, "^v0*(?=.)", "v") for c in ("query_id", "neighbor_id")}
+    return near.select("query_id", "neighbor_id", "sim").withColumns(plain)
+
+
 @query("n_caption", _VECTORS + _near_sql("captioned", """query_id as audio_id, neighbor_id, sim, rank,
   md5(caption) as evidence, case when rank = 1 then md5(caption) end as caption"""))
 def n_caption(v):
@@ -234,9 +243,15 @@ def j_score(v):
     return similarity.score(v.audio, v.prompts)
 
 
+@query("j_score_grid", _VECTORS + """
+select vec_id as audio_id, prompt_id, round(list_cosine_similarity(e.v, p.v), 9) as sim from emb e, prompts p""")
+def j_score_grid(v):
+    return similarity.score(v.audio, v.prompts, max_broadcast=0)
+
+
 @query("n_nearest_approx")
 def n_nearest_approx(v):
-    return similarity.nearest_approx(v.audio, v.audio, 5)
+    return similarity.nearest_approx(v.audio, v.audio, 5, complete=True)
 
 
 def text_stats():

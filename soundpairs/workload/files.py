@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from soundpairs import schemas, streaming
 from soundpairs.functions.times import iso_ms
 from soundpairs.operators import clips, pairs
+from soundpairs.operators.common import numbered
 from soundpairs.plans import archive_pairs, select_detections
 from soundpairs.session import scratch_path
 from soundpairs.sources import readers, writers
@@ -47,11 +48,7 @@ def landed_pages(v, limit=250):
 
 @query("s_pages", q(f"select {_FLAT} from det where category <> 'dup'"))
 def s_pages(v):
-    # the landed lines carry their offset inside; the reader's own files carry it in their name
-    page = schemas.T.StructType([schemas.T.StructField("offset", schemas.T.LongType())] + schemas.PAGE.fields)
-    files = v.spark.read.schema(page).json(landed_pages(v)).select(
-        "offset", F.col("data.detections.results").alias("results"))
-    return _flat(readers.page_rows(files))
+    return _flat(readers.read_pages(v.spark, landed_pages(v), lines=True))
 
 
 def landed_lines(v):
@@ -74,16 +71,26 @@ def s_envelope(v):
     docs = rows.groupBy("feedId", F.substring("timestamp", 1, 10)).agg(F.collect_list(body).alias("detections"))
     docs.select(F.lit(None).cast("string").alias("since"), F.size("detections").alias("count"),
                 "detections").write.json(path, ignoreNullFields=False)
-    lines = v.spark.read.schema(schemas.T.StructType([schemas.T.StructField(
-        "detections", schemas.T.ArrayType(schemas.LANDED))])).json(path)
-    return _flat(readers.envelope_rows(lines))
+    return _flat(readers.read_envelope(v.spark, path, lines=True))
 
 
 @query("k_envelope", _CHOSEN + f"select {_FLAT} from chosen")
 def k_envelope(v):
     path = scratch_path(v.spark, "envelope")
     writers.write_envelope(select_detections(v.det, ordered=False), path, all=True, positions=True)
-    return _flat(readers.read_envelope_lines(v.spark, path))
+    return _flat(readers.read_envelope(v.spark, path))
+
+
+_PLAIN = _FLAT.removeprefix("pos, ")
+
+
+@query("k_envelope_order", _CHOSEN + f"""select {_PLAIN},
+  row_number() over (order by coalesce(event_ms, 0), pos) as place from chosen""")
+def k_envelope_order(v):
+    """The plain form, whose part files alone tell the order."""
+    path = scratch_path(v.spark, "envelope")
+    writers.write_envelope(select_detections(v.det, ordered=False), path, all=True)
+    return numbered(_flat(readers.read_envelope(v.spark, path)).orderBy("pos").drop("pos"))
 
 
 @query("s_streams", q("select feed_key, playlist, st as start_ms, et as end_ms from str"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from soundpairs.functions import names, times
 from soundpairs.operators import archive, detections, pairs, playlists
-from soundpairs.operators.common import first_row
+from soundpairs.operators.common import first_row, numbered
 from soundpairs.plans import playlist_windows
 from soundpairs.workload.registry import PHASES, chunk, clip, query, segment
 from soundpairs.workload.scalars import q
@@ -161,10 +161,11 @@ def w_first_builder(v):
     return pairs.first_builder(clip_pairs(v))
 
 
-@query("o_time_sort", q("select pos, coalesce(event_ms, 0) as sort_ms from det"))
+@query("o_time_sort", q("""select pos, coalesce(event_ms, 0) as sort_ms,
+  row_number() over (order by coalesce(event_ms, 0), pos) as place from det"""))
 def o_time_sort(v):
     df = detections.time_sort(v.det)
-    return df.select("pos", detections.sort_ms(df).alias("sort_ms"))
+    return numbered(df.select("pos", detections.sort_ms(df).alias("sort_ms")))
 
 
 @query("o_page", q("select pos, id from det order by pos limit 250 offset 250"))

@@ -17,7 +17,7 @@ from soundpairs.session import scratch_path, use_utc
 
 SLOT_S = 21_600          # a playlist runs six hours
 LATER = 10**12           # positions of late copies
-ROGUE = 10**16 - 1       # a playlist key that is no time
+ROGUE = 10**16            # a playlist key that is no time
 PREFIX = "clips/"
 URL_ROOT = "https://pairs.example.org/"
 

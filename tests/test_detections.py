@@ -73,6 +73,11 @@ def test_pages_end_at_the_first_short_one(spark, tmp_path, sizes, want):
     assert got[0]["feed"]["nodeName"] == "rpi_port_townsend"
 
 
+def test_all_pages_are_read_whatever_their_size(spark, tmp_path):
+    pages(tmp_path, [3, 2, 3])
+    assert sorted(r["pos"] for r in readers.read_pages(spark, str(tmp_path)).collect()) == [0, 1, 2, 3, 4, 6, 7, 8]
+
+
 def test_envelope(spark, tmp_path):
     path = tmp_path / "one.json"
     rows = [{k: v for k, v in detection(i).items() if k != "pos"} for i in range(3)]
@@ -98,9 +103,20 @@ def test_written_envelope_is_one_document(spark, tmp_path):
     assert list(doc["detections"][0]) == schemas.DETECTION.fieldNames()
     assert doc["detections"][0]["listenerCount"] is None
 
+    back = readers.read_envelope(spark, out).orderBy("pos").collect()
+    assert [r["id"] for r in back] == [f"det_{i}" for i in range(39, -1, -1)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        writers.write_envelope(df, str(tmp_path / "many"), all=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(list((tmp_path / "many").glob("part-*"))) > 1
+    back = readers.read_envelope(spark, str(tmp_path / "many")).orderBy("pos").collect()
+    assert [r["id"] for r in back] == [f"det_{i}" for i in range(39, -1, -1)]
+
     writers.write_envelope(df, out, since="2020-01-01", all=True, positions=True)
     assert json.loads(parts(out))["since"] is None
-    back = readers.read_envelope_lines(spark, out)
+    back = readers.read_envelope(spark, out)
     assert sorted(back.collect()) == sorted(df.collect())
 
 

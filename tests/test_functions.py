@@ -141,3 +141,15 @@ def test_shared_folder_is_the_configured_one(spark):
     assert session.shared_dir(spark) == configured
     kept = session.settled(spark.range(5))
     assert kept.count() == 5 and all(configured in f for f in kept.inputFiles())
+
+
+def test_numbers_that_are_no_times(spark):
+    from soundpairs.functions import times
+
+    df = spark.createDataFrame([(None, 9_999_999_999_999_999), (None, 10**12), ("not-a-date", 1_500_000_000), (None, None)],
+                               "t string, p long")
+    got = [r[0] for r in df.select(times.event_ms("t", "p")).collect()]
+    assert got == [None, None, 1_500_000_000_000, None]
+    far = spark.createDataFrame([(10**15,), (0,), (-10**17,)], "ms long")
+    assert [tuple(r) for r in far.select(times.day_key("ms"), times.iso_ms("ms")).collect()] == [
+        (None, None), ("1970-01-01", "1970-01-01T00:00:00.000Z"), (None, None)]

@@ -222,3 +222,19 @@ def test_training_pairs_and_tally(spark):
     tally = {r["status"]: (r["rows"], r["p50"]) for r in pairs.status_tally(
         got.withColumn("took", F.col("pos")), "took").collect()}
     assert tally == {"uploaded": (2, 0), "no_segments": (1, 2)}
+
+
+def test_an_open_end_stays_a_few_rows(spark):
+    """A catalog row up to the year 9999 lies in few buckets, and still meets every window it covers."""
+    w = spark.createDataFrame([(1, "feed_a", 10_000, 70_000), (2, "feed_a", 10**12, 10**12 + 60_000), (3, "feed_a", -60_000, -1)],
+                              "pos long, feed_key string, w0 long, w1 long")
+    far = ms("9999-12-31T00:00:00")
+    found = playlists.overlap(w, segments(spark, ("open", 0, far), ("swapped", far, 50_000), ("day", 0, 86_400_000)))
+    assert sorted((r["pos"], r["seg_playlist"]) for r in found.collect()) == [
+        (1, "day"), (1, "open"), (2, "open")]
+
+
+def test_equal_starts_have_one_winner(spark):
+    rows = [("p", 0, 99_999), ("p", 0, 10), ("p", 0, None)]
+    for order in (rows, rows[::-1]):
+        assert [r["end_ms"] for r in playlists.first_streams(streams(spark, *order)).collect()] == [10]

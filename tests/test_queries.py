@@ -5,9 +5,10 @@ import pytest
 
 import __spark_entry__ as registered
 from check import TABLES, rows_of
+from soundpairs.workload import registry
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = registered.queries(), registered.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")

@@ -127,3 +127,16 @@ def test_watermark_form(spark, tmp_path):
          .writeStream.format("memory").queryName("marked").trigger(availableNow=True).start())
     q.awaitTermination()
     assert sorted(r["id"] for r in spark.table("marked").collect()) == [f"d{i}" for i in range(5)]
+
+
+def test_resolve_again_adds_nothing(spark, tmp_path):
+    """Under the same checkpoint, and under new ones."""
+    src, rows = files(tmp_path)
+    cat, segs = streams(spark, ("100", T - 30_000, None)), segments(spark, ("100", T, T + 10_000))
+    target, want = str(tmp_path / "t"), None
+    for ck in ("a", "a", "b"):
+        streaming.stream_resolve(streaming.stream_detections(spark, str(src), 2), cat, segs, target,
+                                 str(tmp_path / ck), url_root="https://x/").awaitTermination()
+        got = sorted(map(str, spark.read.parquet(target).drop("run", "batch_id").collect()))
+        assert want is None or got == want
+        want = got
