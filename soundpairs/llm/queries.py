@@ -77,6 +77,7 @@ def op10_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), ann.every_fiftieth())
 
 
+ORACLES["op2_hash_tree_shards"] = sharding.shard_sql()
 ORACLES["op8_licence_sentences"] = licences.scan_sql()
 
 

@@ -137,3 +137,52 @@ def shard_documents(docs: DataFrame, root: Node | None = None) -> DataFrame:
     per_shard = math.ceil(docs.count() / len(root.leaves))
     return numbered(placed, "shard", hash_number(key), ties, per_shard).select(
         "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", "grown_shard")
+
+
+def _draw_sql(child: Node) -> str:
+    bits = f"cast('0x' || substr(md5(k || '/{child.name}'), 1, {_DIGITS}) as bigint)"
+    return f"-ln((cast({bits} as double) + 0.5) / {_SPACE!r}) / {child.weight!r}"
+
+
+def _place_sql(root: Node, out: str, source: str) -> str:
+    """CTEs that add ``out`` to ``source`` (with the key k), one level each."""
+    steps, level, n = [], [root], 0
+    at = f"'{root.name}'"
+    while any(x.children for x in level):
+        cases = []
+        for node in level:
+            if len(node.children) == 1:
+                cases.append(f"when {at} = '{node.name}' then '{node.children[0].name}'")
+            elif node.children:
+                draws = ", ".join(f"{{'draw': {_draw_sql(c)}, 'i': {i}, 'name': '{c.name}'}}" for i, c in enumerate(node.children))
+                cases.append(f"when {at} = '{node.name}' then list_min([{draws}]).name")
+        steps.append(f"{out}{n} as (select *, case {' '.join(cases)} else {at} end as {out}_{n} from {source})")
+        source, at = f"{out}{n}", f"{out}_{n}"
+        level, n = [c for x in level for c in x.children], n + 1
+    steps.append(f"{out}_done as (select *, cast({at} as integer) as {out} from {source})")
+    return ",\n".join(steps)
+
+
+def shard_sql(root: Node | None = None) -> str:
+    """The same in SQL, over ``documents``; checksums byte by byte."""
+    root = root or tree()
+    table = []
+    for i in range(256):
+        c = i
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    crc = f"""xor(list_reduce(list_prepend(cast(4294967295 as bigint),
+      list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: cast('0x' || x as bigint))),
+      lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), cast(4294967295 as bigint))"""
+    return f"""
+with rows_ as (
+  select doc_id, coalesce(text, '') as t, coalesce(cast(doc_id as varchar), 'null') as k from documents),
+narrow as (
+  select doc_id, k, cast(octet_length(encode(t)) + 8 as bigint) as size, cast({crc} as bigint) as text_crc32 from rows_),
+{_place_sql(root, 'shard', 'narrow')},
+{_place_sql(grown(root), 'grown_shard', 'shard_done')}
+select doc_id, size, text_crc32, '{LAW}' as law, shard, row_number() over (partition by shard
+    order by cast('0x' || substr(md5(k || '/slot'), 1, {_DIGITS}) as bigint), doc_id nulls first, text_crc32, size) - 1 as slot,
+  grown_shard
+from grown_shard_done"""
