@@ -7,6 +7,9 @@ columns of ``docs``; extra columns pass through. Each works with the operator of
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,29 +19,44 @@ from soundpairs.llm.common import reachable, table
 from soundpairs.session import settled
 
 
+_OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """Other columns of ``docs`` get names that no operator uses, and their own back in the result."""
+    @functools.wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        reachable(spark)
+        names = [c if c in _OWN else f"extra_{i}" for i, c in enumerate(docs.columns)]
+        out = fn(spark, docs.toDF(*names), sf_dir)
+        return out.toDF(*docs.columns) if out.columns == names else out
+
+    return run_stage
+
+
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised classifier doesn't predict to be toxic."""
-    reachable(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, docs.columns).where("predicted = 0").select(*docs.columns)
 
 
+@stage
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents near enough to a centroid of some language."""
-    reachable(spark)
     model = lang_id.fit(docs, ~lang_id.held_out(F.col("doc_id")))
     return lang_id.predict(docs, model, docs.columns).where("not rejected").select(*docs.columns)
 
 
+@stage
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies, once; all without a doc_id."""
-    reachable(spark)
     return near_dup.keep_one(docs)
 
 
+@stage
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that occur again; n_chars follows. A character that loses a byte goes."""
-    reachable(spark)
     done = suffix_dedup.remove_repeats(docs, docs.columns)
     cut = F.col("n_removed") > 0
     out = done.withColumn("text", F.when(cut, F.col("kept")).otherwise(F.col("text")))
@@ -48,9 +66,9 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return out.select(*docs.columns)
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document, with its sequence and its place there."""
-    reachable(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
@@ -69,8 +87,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's rows are written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = settled(docs)
     return docs
