@@ -171,10 +171,13 @@ def status_tally(pairs: DataFrame, duration: str | None = None) -> DataFrame:
     return pairs.groupBy("status", "errorStage").agg(*aggs)
 
 
-def observe_progress(df: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
-    """Count rows and distinct-ish keys as the rows stream by; read ``Observation.get`` after."""
+def observe_progress(df: DataFrame, name: str = "progress", key: str | None = None) -> tuple[DataFrame, Observation]:
+    """Count rows, and those with a ``key``, as they stream by; read ``Observation.get`` after."""
     seen = Observation(name)
-    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+    counts = [F.count(F.lit(1)).alias("rows")]
+    if key is not None:
+        counts.append(F.count_if(_filled(F.col(key))).alias("keys"))
+    return df.observe(seen, *counts), seen
 
 
 def annotate(det: DataFrame, annotations: DataFrame, on: str = "id") -> DataFrame:

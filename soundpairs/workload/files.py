@@ -215,11 +215,11 @@ def k_landed(v):
     return detections.since(detections.by_node(landed, "rpi_node_3"), CUTOFF).select("pos", "id")
 
 
-@query("a_progress", q("select cast(count(*) as bigint) as rows from det"))
+@query("a_progress", q("select cast(count(*) as bigint) as rows, count(*) filter (id <> '') as keys from det"))
 def a_progress(v):
-    watched, seen = pairs.observe_progress(v.det)
+    watched, seen = pairs.observe_progress(v.det, key="id")
     watched.write.format("noop").mode("overwrite").save()
-    return v.spark.createDataFrame([(seen.get["rows"],)], "rows long")
+    return v.spark.createDataFrame([(seen.get["rows"], seen.get["keys"])], "rows long, keys long")
 
 
 def _landed_stream(v):
