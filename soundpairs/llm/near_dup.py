@@ -207,12 +207,17 @@ def near_components(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
             "rank", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))))
         if ranked.isEmpty():
             return found
-        hubs = ranked.where(F.col("rank") <= more).select(
+        lead = ranked.where(F.col("rank") <= more)
+        led = lead.groupBy("doc_id").agg(F.collect_list("bucket").alias("led"))
+        mine = ranked.groupBy("doc_id").agg(F.collect_list("bucket").alias("mine"))         # BANDS at most
+        hubs = lead.join(led, "doc_id").select(
             "bucket", F.col("doc_id").alias("hub"), F.col("n").alias("m"), F.col("c").alias("d"),
-            F.col("component").alias("other"), F.col("rank").alias("first"))
-        pairs = ranked.join(hubs, "bucket").where(
-            ((F.col("rank") > F.col("first")) | (F.col("rank") > more)) & (F.col("component") != F.col("other"))
-            & F.expr(_enough("least(c, d)", "n", "m"))).select("hub", F.col("doc_id").alias("member")).distinct()
+            F.col("component").alias("other"), F.col("rank").alias("first"), "led")
+        # a pair is made in the first bucket that it shares: its better member leads in all of them
+        pairs = ranked.join(mine, "doc_id").join(hubs, "bucket").where(
+            (F.col("rank") > F.col("first")) & (F.col("component") != F.col("other"))
+            & F.expr(_enough("least(c, d)", "n", "m"))
+            & (F.array_min(F.array_intersect("mine", "led")) == F.col("bucket"))).select("hub", F.col("doc_id").alias("member"))
         new = confirmed(pairs, texts)
         if not new.isEmpty():
             links = settled(links.unionByName(new))
