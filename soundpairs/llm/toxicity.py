@@ -5,8 +5,8 @@
    useful ones are kept. A short list of common insults and a few patterns come on top.
 2. *Voters.* Every stem of the lexicon votes "toxic" where it occurs; patterns vote too; one voter
    says "clean" where no entry occurs. All others abstain.
-3. *Label model.* Expectation maximisation estimates each voter's rates given the hidden class, without
-   looking at labels (they only set the starting class share). Correlations that remain between voters
+3. *Label model.* Expectation maximisation estimates each voter's rates given the hidden class. The label
+   of a training row is one voter more, of accuracy ``GOLD``. Correlations that remain between voters
    given the class, of either sign, are estimated as well; a voter's log odds are divided by one plus their sum.
 4. *Classifier.* A logistic regression on entry counts is trained on the posterior labels. Only it
    scores documents.
@@ -38,10 +38,12 @@ ENTRIES = 512
 #: Entries that share their first letters are one voter; beyond this many voters they share the last one.
 STEM, VOTERS = 4, 64
 THRESHOLD = 0.7
-#: An entry must be in so many toxic documents of the sample at least; near copies count once.
-SUPPORT = 5
+#: An entry must be in so many toxic documents of the sample at least, and in this share; near copies count once.
+SUPPORT, SUPPORT_SHARE = 5, 0.01
 #: One clean document with an entry weighs against so many toxic ones.
 CLEAN_COST = 40
+#: Accuracy the label model grants to the labels themselves.
+GOLD = 0.97
 INSULTS = ["idiot", "stupid", "moron", "loser", "pathetic", "worthless", "scum", "trash", "disgusting", "clown"]
 _WORD = re.compile(r"[^\W\d_]+")
 _AT_YOU = re.compile(r"\b(?:you|your|you're|youre)\b\W+(?:\w+\W+){0,3}?(?:" + "|".join(INSULTS) + r")\b", re.I)
@@ -127,10 +129,11 @@ def mine(sample: DataFrame) -> list[str]:
     once = rows.where("toxic > 0").mapInArrow(copies, "text string, toxic int, copy long").dropDuplicates(["copy"])
     rows = once.drop("copy").unionByName(rows.where("toxic = 0"))
     use = F.col("toxic") - CLEAN_COST * F.col("clean")
+    support = max(SUPPORT, int(SUPPORT_SHARE * sample.where("toxic > 0").count()))
     best = (
         rows.mapInArrow(run, "entry string, toxic long, clean long")
         .groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where((F.col("toxic") >= SUPPORT) & (use > 0))
+        .where((F.col("toxic") >= support) & (use > 0))
         .orderBy(use.desc(), F.length("entry").desc(), "entry").limit(4 * ENTRIES).collect())
     chosen: list[str] = []
     for r in best:
@@ -146,8 +149,12 @@ def votes(x: np.ndarray, lex: Lexicon) -> np.ndarray:
     return np.concatenate([x[:, :k + 3] > 0, -(x[:, k + 3:] > 0).astype(np.int8)], axis=1).astype(np.int8)
 
 
-def label_model(v: np.ndarray, share: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of toxic, rates of each voter's speaking by class, correlations given the class)."""
+def label_model(v: np.ndarray, share: float, gold: np.ndarray | None = None, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of toxic, rates of each voter's speaking by class, correlations given the class).
+
+    ``gold`` are labels, 1 or 0.
+    """
+    told = np.zeros(len(v)) if gold is None else np.log(GOLD / (1 - GOLD)) * (2.0 * gold - 1)
     spoke = (v != 0).astype(np.float64)
     tilt = v.sum(axis=1)
     prior = min(0.5, max(0.01, share))
@@ -169,14 +176,14 @@ def label_model(v: np.ndarray, share: float, rounds: int = 30) -> tuple[np.ndarr
             np.fill_diagonal(rho, 0)
             rho[rho < 0.1] = 0
             discount = 1 / (1 + rho.sum(axis=1))
-        odds = np.log(prior / (1 - prior)) + (
+        odds = told + np.log(prior / (1 - prior)) + (
             spoke * (np.log(rates[1]) - np.log(rates[0])) * discount
             + (1 - spoke) * (np.log1p(-rates[1]) - np.log1p(-rates[0])) * discount).sum(axis=1)
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return post, rates, rho
 
 
-def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, rounds: int = 60) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-5, rounds: int = 60) -> np.ndarray:
     """Weights (bias last) by Newton steps on soft labels."""
     a = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w = np.zeros(a.shape[1])
@@ -212,8 +219,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         .groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     )
     n = marks.count()
-    sample = docs.select("doc_id", "text").join(about(marks, F.col("doc_id"), LABELLED, n), "doc_id")
-    sample = settled(sample.select("text", "toxic"))
+    # about LABELLED ids and marks, whatever the input: less than a megabyte
+    chosen = F.broadcast(about(marks, F.col("doc_id"), LABELLED, n))
+    sample = settled(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic"))
     lex = lexicon(mine(sample))
     k = lex.voters
 
@@ -230,8 +238,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(lex, weights)
     rows.sort(key=lambda r: (r.x, r.toxic))
     x = np.stack([np.frombuffer(r.x, np.float32) for r in rows])
-    share = float(np.mean([r.toxic for r in rows]))
-    post, _, _ = label_model(votes(x, lex), share)
+    gold = np.array([r.toxic for r in rows], float)
+    post, _, _ = label_model(votes(x, lex), float(gold.mean()), gold)
     return Model(lex, logistic(damped(x), post))
 
 
