@@ -22,7 +22,7 @@ def s_types(t: np.ndarray) -> np.ndarray:
 
 
 def lms_positions(s: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(s[1:] & ~s[:-1]) + 1
+    return (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(np.int32)
 
 
 def _groups(values: np.ndarray, chars: np.ndarray):
@@ -36,7 +36,7 @@ def _groups(values: np.ndarray, chars: np.ndarray):
 
 def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
     """All suffixes in the order that ``lms`` induces; ``lms`` is ordered within its buckets."""
-    none = np.zeros(0, np.int64)
+    none = np.zeros(0, np.int32)
     seeds = [none] * sigma
     for c, part in _groups(lms, t[lms]):
         seeds[c] = part
@@ -77,14 +77,14 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sigma: int) -> np.nda
                 arrived[d].append(part)
     order = np.concatenate(out)[::-1]
     # the last position holds the only smallest value and is induced by nothing
-    return order if len(order) == len(t) else np.append(len(t) - 1, order)
+    return order if len(order) == len(t) else np.append(np.int32(len(t) - 1), order)
 
 
 def _names(t: np.ndarray, lms_sorted: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """Name of each LMS substring, in text order: its rank, equal for equal substrings."""
     follow = np.append(lms[1:], lms[-1])
     size = follow - lms + 1
-    where = np.empty(len(t), np.int64)
+    where = np.empty(len(t), np.int32)
     where[lms] = np.arange(len(lms))
     k = where[lms_sorted]
     a, b = lms_sorted[:-1], lms_sorted[1:]
@@ -201,7 +201,7 @@ def permuted_lcp(text: np.ndarray, sa: np.ndarray, limit: int, starts: np.ndarra
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32)
     phi[sa[1:]] = sa[:-1]
     fresh = np.ones(n, bool)
     i = np.flatnonzero(phi > 0)
@@ -229,9 +229,9 @@ def permuted_lcp(text: np.ndarray, sa: np.ndarray, limit: int, starts: np.ndarra
         lcp[live] = depth
         live = live[most[live] > depth]
     lcp = np.minimum(lcp, most)
-    value = np.full(n, -1, np.int64)
+    value = np.full(n, -1, np.int32)
     value[at] = lcp
     value[phi < 0] = 0
     known = value >= 0
-    last = np.maximum.accumulate(np.where(known, np.arange(n), 0))
-    return np.maximum(value[last] - (np.arange(n) - last), 0)
+    last = np.maximum.accumulate(np.where(known, np.arange(n, dtype=np.int32), 0))
+    return np.maximum(value[last] - (np.arange(n, dtype=np.int32) - last), 0)

@@ -39,8 +39,9 @@ SPAN = 200
 GRAM = 32
 #: Bytes of a shard, about.
 SHARD_BYTES = 400_000
-#: Different segments of one owner beyond which it is cut down by the hashes of its spans.
-CROWD = 1000
+#: Different segments of one owner (some 6 MB, the largest shard) beyond which it is cut down by the hashes of
+#: its spans.
+CROWD = 20_000
 _PLACE = np.uint64((1 << 21) - 1)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
