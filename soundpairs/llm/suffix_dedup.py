@@ -15,7 +15,10 @@ documents, and are judged on the input.
 
 An owner with very many different segments (a passage that a large share of all documents borrows, with
 other text around it) is first cut down to those spans whose own hash occurs again; the copies of the
-passage then are equal segments again, and no shard grows with the number of borrowers.
+passage then are equal segments again. Where borrowers have copies of their own, all that is theirs occurs
+again as well: an owner that is still crowded is cut again, by the least hash of the longer runs of ``CUTS``
+in each span, which equal spans share too. The last of these is the span itself, so no shard grows with the
+number of borrowers.
 
 Null and empty texts have no bytes. Repeated rows are copies like any others, and each is returned. Rows
 are told apart by doc_id and text, so a repeated or null doc_id does no harm.
@@ -42,6 +45,8 @@ SHARD_BYTES = 400_000
 #: Different segments of one owner (some 6 MB, the largest shard) beyond which it is cut down by the hashes of
 #: its spans.
 CROWD = 20_000
+#: Lengths of the runs that cut an owner which is still crowded, one after the other.
+CUTS = (116, SPAN)
 _PLACE = np.uint64((1 << 21) - 1)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -249,15 +254,56 @@ def thinned(docs: DataFrame, cand: DataFrame, wanted: DataFrame, crowds: DataFra
                                              ["owner", "body", "n", "lo", "count", "part", "bytes"])
 
     parts = settled(bodies.join(left, ["owner", "body"]).select("owner", "body", "n", "bytes", "_at").mapInArrow(
-        trim, "owner long, body long, n long, lo long, count long, part long, bytes binary"))
-    cut = cand.join(parts.select("owner", "body", "lo", "count", "part").distinct(), ["owner", "body"]).select(
-        "owner", F.col("part").alias("body"), "_doc", "_text",
+        trim, "owner long, body long, n long, lo long, count long, part long, bytes binary").withColumn(
+        "key", F.col("owner")))
+    for length in CUTS:
+        still = settled(parts.select("key", "part").distinct().groupBy("key").agg(F.count("*").alias("_n")).where(
+            F.col("_n") > CROWD).select("key"))
+        if still.isEmpty():
+            break
+        parts = settled(parts.join(still, "key", "left_anti").unionByName(
+            cut_again(parts.join(still, "key", "left_semi"), length)))
+    cut = cand.join(parts.select("owner", "body", "lo", "count", "part", "key").distinct(), ["owner", "body"]).select(
+        F.col("key").alias("owner"), F.col("part").alias("body"), "_doc", "_text",
         ((F.shiftright("place", 16) + F.col("lo")) * 65536 + F.col("count")).alias("place"))
-    kept = parts.groupBy("owner", F.col("part").alias("body")).agg(
+    kept = parts.groupBy(F.col("key").alias("owner"), F.col("part").alias("body")).agg(
         F.sum("n").alias("n"), F.first("count").cast("int").alias("count"), F.first("bytes").alias("bytes"))
     return cut, kept
 
 
+def cut_again(parts: DataFrame, length: int) -> DataFrame:
+    """``parts`` as runs of spans that share their key and the least hash of their ``length``-byte runs, the new key."""
+    kinds = [pa.int64()] * 6 + [pa.binary(), pa.int64()]
+    names = ["owner", "body", "n", "lo", "count", "part", "bytes", "key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, size = ([], [], [], [], [], [], [], []), 0
+            for owner, body, n, at, raw, key in zip(*batch.columns):
+                raw = raw.as_py()
+                b = np.frombuffer(raw, np.uint8)
+                place = np.arange(len(b) - length + 1)
+                least = sliding_min(body_hashes(b, place, place + length), SPAN - length + 1)
+                first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+                end = np.append(first[1:], len(least))
+                sub = body_hashes(b, first, end + SPAN - 1)
+                new = mix(least[first] + np.array([key.as_py()], np.int64).view(np.uint64) * _ODD[1])
+                for lo, hi, part, k in zip(first.tolist(), end.tolist(), sub.view(np.int64).tolist(),
+                                           new.view(np.int64).tolist()):
+                    row = (owner.as_py(), body.as_py(), n.as_py(), at.as_py() + lo, hi - lo, part,
+                           raw[lo:hi + SPAN - 1], k)
+                    for o, x in zip(out, row):
+                        o.append(x)
+                    size += hi - lo + SPAN
+                if size > 4_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names)
+                    out, size = ([], [], [], [], [], [], [], []), 0
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names)
+
+    return parts.select("owner", "body", "n", "lo", "bytes", "key").mapInArrow(
+        run, "owner long, body long, n long, lo long, count long, part long, bytes binary, key long")
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(_doc, _text, _spans): covered byte ranges of every row that has some, as start * 2^32 + length."""
     again = settled(
@@ -267,14 +313,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         cand.groupBy("owner", "body").agg(F.count("*").alias("n"), F.min(F.struct("_doc", "_text", "place")).alias("_at"))
         .select("owner", "body", "n", "_at._doc", "_at._text", "_at.place"))
     total = wanted.agg(F.sum(F.col("place").bitwiseAND(65535) + SPAN - 1)).first()[0] or 0
-    shards = max(1, math.ceil(total / SHARD_BYTES))
     crowds = settled(wanted.groupBy("owner").agg(F.count("*").alias("_n")).where(F.col("_n") > CROWD).select("owner"))
     if crowds.isEmpty():
         fetched = fetch(docs, wanted)
     else:
         cut, kept = thinned(docs, cand, wanted, crowds)
         cand = cand.join(crowds, "owner", "left_anti").unionByName(cut)
+        kept = settled(kept)                              # single spans are many more bytes than their segments
+        total += kept.agg(F.sum(F.col("count") + SPAN - 1)).first()[0] or 0
         fetched = fetch(docs, wanted.join(crowds, "owner", "left_anti")).unionByName(kept)
+    shards = max(1, math.ceil(total / SHARD_BYTES))
     spans = cand.join(judge(fetched, shards), ["owner", "body"]).select(
         "_doc", "_text",
         ((F.shiftright("place", 16) + F.col("lo")) * F.lit(1 << 32) + (F.col("hi") - F.col("lo") + SPAN - 1)).alias("_span"))

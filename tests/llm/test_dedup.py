@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from soundpairs.llm import fingerprint, near_dup, suffix_dedup
 from soundpairs.llm.components import components
@@ -122,6 +123,28 @@ def test_crowded_owners_are_thinned_to_the_same_result(llm_spark, monkeypatch):
     assert rows(suffix_dedup.dedup_digest(df)) == brute_spans(data)
 
 
+def test_no_owner_stays_crowded_by_borrowers_with_copies(llm_spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWD", 5)
+    largest, judge = [], suffix_dedup.judge
+
+    def seen(fetched, shards):
+        largest.append(fetched.groupBy("owner").agg(F.countDistinct("body").alias("n")).agg(F.max("n")).first()[0])
+        return judge(fetched, shards)
+
+    monkeypatch.setattr(suffix_dedup, "judge", seen)
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    for size in (60, 190):          # shorter and longer than the first of CUTS
+        line, data = text(size), []
+        for i in range(30):
+            own = text(250) + line + text(250)
+            data += [(2 * i, own), (2 * i + 1, own if i % 3 else text(40) + own)]
+        data.append((1000, text(250) + line + text(250)))
+        df = llm_spark.createDataFrame(data, "doc_id long, text string")
+        assert rows(suffix_dedup.dedup_digest(df)) == brute_spans(data)
+    assert max(largest) <= 5
+
+
 def test_text_longer_than_a_block(llm_spark, monkeypatch):
     r = random.Random(3)
     text = "".join(r.choice("abcdef") for _ in range(3000))
