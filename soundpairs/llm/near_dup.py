@@ -1,11 +1,11 @@
 """Near-duplicate groups by MinHash.
 
 * *Signature.* A document's set holds 64-bit hashes of its 5-word shingles. One permutation: the hash
-  range is cut into ``BINS`` bins and each keeps the least hash in it. An empty bin borrows from a bin
+  range is cut into bins and each keeps the least hash in it. An empty bin borrows from a bin
   drawn by a hash of (bin, attempt), drawn again until one is full (optimal densification).
 * *Classes.* Documents with equal sets are one node from here on.
-* *Buckets.* ``BANDS`` bands of ``ROWS`` bins each; nodes that agree on a band share its bucket. A pair at
-  the threshold shares none with a chance below one in a million.
+* *Buckets.* Bands of ``ROWS`` bins each, ``BANDS`` at ``PERCENT`` and more below it; nodes that agree on a band
+  share its bucket. A pair at the threshold shares none with a chance below one in a million.
 * *Stars.* In each bucket one hub is paired with the others, so pairs grow with the bucket's size and not
   with its square. The hub is the member whose buckets are largest, which is the centre of a family of
   copies. Pairs are confirmed on full sets. Buckets that still hold nodes of different components get
@@ -19,7 +19,9 @@ component is null. Rows with equal doc_id count as one document in a link. Ties
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +35,11 @@ from soundpairs.operators.common import first_row
 from soundpairs.session import settled
 
 WORDS = 5
-#: Documents are linked with PERCENT * union <= 100 * intersection.
+#: Documents are linked with percent * union <= 100 * intersection; this is op4's.
 PERCENT = 85
 BANDS, ROWS = 24, 5
-BINS = BANDS * ROWS
-#: Sets smaller than this are linked with equal sets only.
-LEAST = 6
+#: Chance that a pair at the threshold shares no bucket, at most.
+MISSED = 1e-6
 #: Hubs of the second round, and the factor of further rounds.
 MORE_HUBS = 32
 #: Members that are compared with one hub in one task, about.
@@ -84,41 +85,59 @@ def shingles(at: np.ndarray, raw: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-_FLOORS = (np.arange(BINS, dtype=object) * (1 << 64) // BINS).astype(np.uint64)
-#: Bin that an empty bin borrows from at each attempt.
-_DRAWS = (mix(np.arange(BINS, dtype=np.uint64)[:, None] * np.uint64(1_000_003)
-              + np.arange(4096, dtype=np.uint64)[None, :]) % np.uint64(BINS)).astype(np.int64)
-_BAND = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+def bands_for(percent: int) -> int:
+    """How many bands miss a pair at the threshold with a chance of ``MISSED`` at most."""
+    if not 0 < percent < 100:
+        raise ValueError("percent must lie between 0 and 100")
+    return math.ceil(math.log(MISSED) / math.log1p(-(percent / 100) ** ROWS))
 
 
-def bands(own: np.ndarray) -> np.ndarray:
-    """Bucket of each band of a sorted, not empty set."""
-    at = np.searchsorted(own, _FLOORS)
+def least_set(percent: int) -> int:
+    """Sets smaller than this are linked with equal sets only."""
+    return math.ceil(percent / (100 - percent))
+
+
+@functools.lru_cache(maxsize=4)
+def _layout(count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ``count`` bands: where bins begin, the bin that an empty bin borrows from at each attempt, and seeds."""
+    bins = count * ROWS
+    floors = (np.arange(bins, dtype=object) * (1 << 64) // bins).astype(np.uint64)
+    draws = (mix(np.arange(bins, dtype=np.uint64)[:, None] * np.uint64(1_000_003)
+                 + np.arange(4096, dtype=np.uint64)[None, :]) % np.uint64(bins)).astype(np.int64)
+    return floors, draws, mix(np.arange(1, count + 1, dtype=np.uint64))
+
+
+def bands(own: np.ndarray, count: int = BANDS) -> np.ndarray:
+    """Bucket of each of ``count`` bands of a sorted, not empty set."""
+    floors, draws, seeds = _layout(count)
+    at = np.searchsorted(own, floors)
     full = at < np.append(at[1:], len(own))
     least = own[np.minimum(at, len(own) - 1)]
     empty = np.flatnonzero(~full)
     if len(empty):
-        source = _DRAWS[empty, 0]
+        source = draws[empty, 0]
         attempt = 0
         while True:
             bad = np.flatnonzero(~full[source])
             if not len(bad):
                 break
             attempt += 1
-            if attempt == _DRAWS.shape[1]:          # next to impossible: the first full bin
+            if attempt == draws.shape[1]:          # next to impossible: the first full bin
                 source[bad] = np.flatnonzero(full)[0]
                 break
-            source[bad] = _DRAWS[empty[bad], attempt]
+            source[bad] = draws[empty[bad], attempt]
         least[empty] = least[source]
-    cells = least.reshape(BANDS, ROWS)
-    h = _BAND.copy()
+    cells = least.reshape(count, ROWS)
+    h = seeds.copy()
     for k in range(ROWS):
         h = mix(h * _TURN + cells[:, k])
     return h
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n, k1, k2, buckets): size and digest of each set, and its buckets."""
+    count, smallest = bands_for(percent), least_set(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, found = [], [], []
@@ -126,7 +145,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for own in shingles(at, raw):
                     sizes.append(len(own))
                     digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                    found.append(bands(own).view(np.int64) if len(own) >= LEAST else None)
+                    found.append(bands(own, count).view(np.int64) if len(own) >= smallest else None)
             keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
@@ -136,7 +155,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         run, "doc_id long, n long, k1 long, k2 long, buckets array<long>")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those ``pairs`` (hub, member) whose full sets are similar enough, as links (u, v).
 
     Members and a copy of the hub's text meet by (hub, salt), with about ``SALT_ROWS`` members each.
@@ -164,7 +183,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if at != hub:
                     raise ValueError("a member without its hub")
                 both = len(np.intersect1d(own, this, assume_unique=True))
-                if 100 * both >= PERCENT * (len(own) + len(this) - both):
+                if 100 * both >= percent * (len(own) + len(this) - both):
                     u.append(hub)
                     v.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
@@ -172,11 +191,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return settled(rows.mapInArrow(run, "u long, v long"))
 
 
-def alike_size(a: str, b: str):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+def alike_size(a: str, b: str, percent: int = PERCENT):
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def near_components(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
+def near_components(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     """(node, component) of linked ``nodes`` (doc_id, n, buckets), or None where no bucket is shared."""
     rows = nodes.where("buckets is not null").select("doc_id", "n", F.explode("buckets").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -189,9 +208,9 @@ def near_components(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
         weight.select("doc_id"), "doc_id", "left_semi"))
     order = [F.col("weight").desc(), F.col("doc_id")]
     hubs = first_row(members, ["bucket"], order).select("bucket", F.col("doc_id").alias("hub"), F.col("n").alias("m"))
-    pairs = members.join(hubs, "bucket").where((F.col("doc_id") != F.col("hub")) & alike_size("n", "m")).select(
+    pairs = members.join(hubs, "bucket").where((F.col("doc_id") != F.col("hub")) & alike_size("n", "m", percent)).select(
         "hub", F.col("doc_id").alias("member")).distinct()
-    links = confirmed(pairs, texts)
+    links = confirmed(pairs, texts, percent)
     found, done, more, common = components(links), 1, MORE_HUBS, None
     while True:
         now = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
@@ -202,23 +221,23 @@ def near_components(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
             common = settled(shared_shingles(open_.select("doc_id").distinct(), texts))
         open_ = open_.join(common, "doc_id").withColumn("c", F.col("n") - F.col("alone"))
         least = open_.groupBy("bucket").agg(F.min("n").alias("_least"))
-        able = open_.join(least, "bucket").where(F.expr(_enough("c", "n", "_least"))).drop("_least", "alone")
+        able = open_.join(least, "bucket").where(F.expr(_enough("c", "n", "_least", percent))).drop("_least", "alone")
         ranked = settled(_mixed(able, 1).withColumn(
             "rank", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))))
         if ranked.isEmpty():
             return found
         lead = ranked.where(F.col("rank") <= more)
         led = lead.groupBy("doc_id").agg(F.collect_list("bucket").alias("led"))
-        mine = ranked.groupBy("doc_id").agg(F.collect_list("bucket").alias("mine"))         # BANDS at most
+        mine = ranked.groupBy("doc_id").agg(F.collect_list("bucket").alias("mine"))         # one a band at most
         hubs = lead.join(led, "doc_id").select(
             "bucket", F.col("doc_id").alias("hub"), F.col("n").alias("m"), F.col("c").alias("d"),
             F.col("component").alias("other"), F.col("rank").alias("first"), "led")
         # a pair is made in the first bucket that it shares: its better member leads in all of them
         pairs = ranked.join(mine, "doc_id").join(hubs, "bucket").where(
             (F.col("rank") > F.col("first")) & (F.col("component") != F.col("other"))
-            & F.expr(_enough("least(c, d)", "n", "m"))
+            & F.expr(_enough("least(c, d)", "n", "m", percent))
             & (F.array_min(F.array_intersect("mine", "led")) == F.col("bucket"))).select("hub", F.col("doc_id").alias("member"))
-        new = confirmed(pairs, texts)
+        new = confirmed(pairs, texts, percent)
         if not new.isEmpty():
             links = settled(links.unionByName(new))
             found = components(links)
@@ -237,9 +256,9 @@ def _mixed(rows: DataFrame, done: int) -> DataFrame:
     return rows.join(mixed, "bucket", "left_semi")
 
 
-def _enough(both: str, a: str, b: str) -> str:
+def _enough(both: str, a: str, b: str, percent: int = PERCENT) -> str:
     """Whether sets of sizes a and b can be similar enough with ``both`` common shingles."""
-    return f"{100 + PERCENT} * {both} >= {PERCENT} * ({a} + {b})"
+    return f"{100 + percent} * {both} >= {percent} * ({a} + {b})"
 
 
 def shared_shingles(wanted: DataFrame, texts: DataFrame) -> DataFrame:
@@ -261,12 +280,12 @@ def shared_shingles(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     return wanted.join(counts, "doc_id", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    sig = settled(signatures(docs))
+    sig = settled(signatures(docs, percent))
     known = sig.where("doc_id is not null and n > 0")
     nodes = settled(first_row(known, ["k1", "k2"], ["doc_id"]))
-    found = near_components(docs, nodes)
+    found = near_components(docs, nodes, percent)
     classes = nodes.select("k1", "k2", F.col("doc_id").alias("node"))
     if found is None:
         classes = classes.withColumn("component", F.lit(None).cast("long"))
@@ -281,12 +300,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Rows of ``docs`` but those near a document with a smaller doc_id; of rows with one doc_id, one stays.
 
     Rows without a doc_id all stay.
     """
-    found = near_duplicates(docs).select("doc_id", "kept").where("doc_id is not null and kept")
+    found = near_duplicates(docs, percent).select("doc_id", "kept").where("doc_id is not null and kept")
     ids = found.select(F.col("doc_id").alias("_kept")).distinct()
     named = docs.where("doc_id is not null").withColumn("_key", F.col("doc_id").cast("long"))
     left = named.join(ids, F.col("_key") == F.col("_kept"), "left_semi")

@@ -62,6 +62,16 @@ def test_a_family_whose_members_are_only_near_its_centre(llm_spark):
     assert rows(near_dup.near_duplicates(df)) == brute_near(data)
 
 
+def test_near_duplicates_at_another_threshold(docs, llm_spark):
+    """Also sets of four and five shingles, which are linked from 0.8 on."""
+    assert (near_dup.bands_for(85), near_dup.least_set(85)) == (near_dup.BANDS, 6)
+    assert (near_dup.bands_for(80), near_dup.least_set(80)) == (35, 4)
+    data = family(40, 8, 11) + [(1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, "k l m n o p q"), (4, "k l m n o p q r")]
+    df = llm_spark.createDataFrame(data, "doc_id long, text string")
+    want = brute_near(data, 80)
+    assert rows(near_dup.near_duplicates(df, 80)) == want != brute_near(data)
+
+
 def test_odd_rows(odd_docs):
     got = near_dup.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
