@@ -1,8 +1,11 @@
 """Licence recognition by sentences and rules, in column expressions only.
 
-A text is cut into sentences at line feeds and behind ``.``, ``!`` or ``?`` with a blank; a sentence is
-lower-cased and reduced to letters, digits and single blanks. Known sentences become identifiers, all
-others are skipped, so a document is a short sequence of identifiers. Rules are tried in order, longer
+A text is lower-cased and reduced to letters, digits and single blanks, with bounds between them. Blank lines
+and ``.``, ``!`` or ``?`` with a blank end a sentence. A line feed inside a paragraph, or ``;`` or ``:`` with a
+blank, may end one, and may as well lie within: a known sentence is found wrapped at any width, and on a line
+of its own. Comment and list marks at the start of a line don't count. Known sentences become identifiers, all
+others are skipped, so a document is a short sequence of identifiers. The SQL cuts at every line feed, so it finds
+unwrapped sentences only; the two agree on texts without wrapped ones. Rules are tried in order, longer
 ones first; a rule fits where its identifiers follow each other, and takes them out of the sequence.
 
 Only texts with one of ``MARKS`` are cut at all; every known sentence holds one of them. Null and empty
@@ -76,6 +79,8 @@ RULES = [
 ]
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _END, _OTHER = "([.!?])[ \\t\\r\\n]+", "[^a-z0-9]+"
+#: Bounds that a sentence can't and can cross.
+_HARD, _SOFT = "\x01", "\x02"
 
 
 def small(text: Column) -> Column:
@@ -84,10 +89,22 @@ def small(text: Column) -> Column:
 
 def sequence(text: Column) -> Column:
     """``<id><id>...`` of the known sentences, in text order."""
+    h, b = _HARD, _SOFT
     known = F.create_map(*[F.lit(x) for name, s in SENTENCES.items() for x in (s, f"<{name}>")])
-    lines = F.split(F.regexp_replace(small(text), _END, "$1\n"), "\n")
-    reduced = F.transform(lines, lambda s: F.trim(F.regexp_replace(s, _OTHER, " ")))
-    return F.array_join(F.filter(F.transform(reduced, lambda s: known[s]), lambda x: x.isNotNull()), "")
+    out = F.translate(small(text), h + b, "  ")
+    for pattern, by in [
+            (_END, h),
+            (f"\n[^a-z0-9\n{h}]*(?:(?:[0-9]{{1,2}}|[a-z])\\)[ \t]+)?", "\n"),      # comment and list marks
+            ("[;:][ \t]+\r?\n?|\n", b),
+            (f"[^a-z0-9{h}{b}]+", " "),
+            (f" ?([{h}{b}]) ?", "$1"),
+            (f"{b}*{h}[{h}{b}]*|{b}{{2,}}", h)]:
+        out = F.regexp_replace(out, pattern, by)
+    out = F.concat(F.lit(h), F.trim(out), F.lit(h))
+    longest = sorted(SENTENCES.values(), key=len, reverse=True)
+    any_of = "|".join(s.replace(" ", f"[ {b}]") for s in longest)
+    found = F.regexp_extract_all(out, F.lit(f"(?<=[{h}{b}])(?:{any_of})(?=[{h}{b}])"), F.lit(0))
+    return F.array_join(F.transform(found, lambda s: known[F.translate(s, b, " ")]), "")
 
 
 def scan(docs: DataFrame) -> DataFrame:

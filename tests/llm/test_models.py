@@ -179,6 +179,58 @@ def test_licences(llm_spark):
     assert licences.scan(df.where("false")).collect() == []
 
 
+_WRAPPED = {
+    "MIT": """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you
+may not use this file except in compliance with the License. You may obtain
+a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""}
+
+
+def test_wrapped_licences(llm_spark):
+    marked = [("", "", ""), ("# ", "", ""), (";; ", "", ""), (" * ", "/*\n", "\n */"), ("// ", "x = 1\r\n", "\r\ny")]
+    data = [(f"{name} {i}", head + "\n".join(mark + line for line in text.split("\n")) + tail)
+            for name, text in _WRAPPED.items() for i, (mark, head, tail) in enumerate(marked)]
+    data += [("none 0", "This is not\nreleased under the MIT license\n\nof the kind"), ("none 1", "released under\n\nthe MIT license"),
+             ("none 2", "It is not released under the MIT license.")]
+    got = {r.doc_id: (r.licences, r.n_rules) for r in licences.scan(
+        llm_spark.createDataFrame(data, "doc_id string, text string")).collect()}
+    want = {doc: (doc.split(" ")[0], 1) for doc, _ in data} | {"none 0": ("MIT", 1), "none 1": ("", 0), "none 2": ("", 0)}
+    assert got == want
+
+
 @pytest.mark.parametrize("name", sorted(registered.ORACLES))
 def test_sql(llm_spark, name):
     con = duckdb.connect()
