@@ -2,7 +2,7 @@
 
 Unit vectors are cut into two halves and each half is quantised with a codebook of its own; a pair of
 centroids is a cell. A query walks the cells in the order of their summed distances, with a heap, until
-they hold ``SHARE`` of all indexed rows, and reranks the rows of those cells by exact cosine.
+they hold ``SHARE`` of all indexed rows and ``k + 1`` at least, and reranks the rows of those cells by exact cosine.
 
 Equal vectors are indexed once, with their ``k + 1`` smallest ids, which is all that any answer can need;
 queries with equal vectors are answered once. Cells are packed into blocks of about ``BLOCK`` rows (a
@@ -170,7 +170,7 @@ def nearest(vectors: DataFrame, wanted, k: int = 5, share: float = SHARE) -> Dat
                 continue
             a, b = books.value.halves(unit(matrix(batch.column(1))))
             for i in range(len(batch)):
-                cells = walk(a[i], b[i], held, math.ceil(share * n))
+                cells = walk(a[i], b[i], held, max(math.ceil(share * n), k + 1))
                 cells = cells[held[cells] > 0]
                 bits = np.zeros(len(held), bool)
                 bits[cells] = True

@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from soundpairs.llm import ann, lang_id, licences, sharding, toxicity
 from soundpairs.llm import queries as registered
@@ -179,6 +180,15 @@ def test_licences(llm_spark):
     assert licences.scan(df.where("false")).collect() == []
 
 
+def test_small_tables_have_all_neighbours(llm_spark):
+    rng = np.random.default_rng(4)
+    for n in (8, 9, 11):
+        data = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(n, 8)))]
+        df = llm_spark.createDataFrame(data, "vec_id long, embedding array<double>")
+        found = Counter(r.query_id for r in ann.nearest(df, F.lit(True)).collect())
+        assert found == {i: 5 for i in range(n)}
+
+
 _WRAPPED = {
     "MIT": """MIT License
 
