@@ -120,9 +120,9 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     for i in np.argsort(-sizes, kind="stable"):
         s = int(sizes[i])
         # change of the sum by moving one sequence from gap g to g - s; gap 0 counts for nothing
-        after = counts[:capacity + 1 - s].copy()
-        after[0] = -1
-        change = np.where(counts[s:] > 0, after - counts[s:] + 1, np.iinfo(np.int64).max)
+        change = 2 * (counts[:capacity + 1 - s] - counts[s:] + 1)
+        change[0] = 1 - 2 * counts[s]
+        change[counts[s:] == 0] = np.iinfo(np.int64).max
         best = int(np.argmin(change))
         if counts[best + s] > 0:
             gap = best + s
@@ -154,7 +154,9 @@ def _round(rows: DataFrame, n: int, capacity: int, number: int) -> DataFrame:
             group = group.append_column(name, pa.array(values, pa.int64()))
         return group.drop_columns(["_group"])
 
-    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(number)), F.lit(groups))
+    # repeats of one row differ by their place in the settled table, so they spread like other rows
+    copy = F.monotonically_increasing_id()
+    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", copy, F.lit(number)), F.lit(groups))
     return rows.withColumn("_group", key).groupBy("_group").applyInArrow(
         pack, PIECE + ", seq long, offset long, gap long")
 
