@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from soundpairs.llm import ann, bpe, fingerprint, lang_id, licences, near_dup, packing, sharding, suffix_dedup, toxicity
+from soundpairs.llm import ann, bpe, fim, fingerprint, lang_id, licences, near_dup, packing, sharding, suffix_dedup, toxicity
 from soundpairs.llm.common import reachable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,8 +77,14 @@ def op10_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), ann.every_fiftieth())
 
 
+@query
+def op11_block_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.middle_digest(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op2_hash_tree_shards"] = sharding.shard_sql()
 ORACLES["op8_licence_sentences"] = licences.scan_sql()
+ORACLES["op11_block_rotation"] = fim.middle_sql()
 
 
 @query
