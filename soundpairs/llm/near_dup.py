@@ -6,15 +6,11 @@
 * *Classes.* Documents with equal sets are one node from here on.
 * *Buckets.* Bands of ``ROWS`` bins each, ``BANDS`` at ``PERCENT`` and more below it; nodes that agree on a band
   share its bucket. A pair at the threshold shares none with a chance below one in a million.
-* *Stars.* In each bucket one hub is paired with the others, so pairs grow with the bucket's size and not
-  with its square. The hub is the member whose buckets are largest, which is the centre of a family of
-  copies. Pairs are confirmed on full sets. Buckets that still hold nodes of different components get
-  more hubs, many times as many each round, until every pair in them is confirmed, refused or already
-  in one component; no candidate is dropped.
-* *Components* are found by star contraction.
+* *Stars* and *components*: see ``stars``; no candidate is dropped.
 
 Null and empty texts have no shingles and are linked with nothing, nor are rows with a null doc_id, whose
-component is null. Rows with equal doc_id count as one document in a link. Ties go to the smaller doc_id.
+component is null. Rows are told apart by doc_id and text, and every row has the component of its own text; rows
+with equal doc_id and different texts are linked only if their texts are. Ties go to the smaller doc_id.
 """
 
 from __future__ import annotations
@@ -22,15 +18,15 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from soundpairs.llm.common import body_hashes, byte_chunks, mix
-from soundpairs.llm.components import components
+from soundpairs.llm.common import byte_chunks, mix
+from soundpairs.llm.stars import linked, shingles
 from soundpairs.operators.common import first_row
 from soundpairs.session import settled
 
@@ -40,49 +36,8 @@ PERCENT = 85
 BANDS, ROWS = 24, 5
 #: Chance that a pair at the threshold shares no bucket, at most.
 MISSED = 1e-6
-#: Hubs of the second round, and the factor of further rounds.
-MORE_HUBS = 32
-#: Members that are compared with one hub in one task, about.
-SALT_ROWS = 500
-
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_WHITE = np.zeros(256, bool)
-_WHITE[[32, *range(9, 14)]] = True
-_TURN = np.uint64(0xD6E8FEB86659FD93)
-
 
-def shingles(at: np.ndarray, raw: np.ndarray) -> list[np.ndarray]:
-    """Sorted set of shingle hashes of each text of a run of rows."""
-    rows = len(at) - 1
-    low = _LOWER[raw]
-    inside = np.zeros(len(raw) + 2, bool)
-    inside[1:-1] = ~_WHITE[low]
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[at] = True                                             # a text's end also ends its last word
-    lo = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
-    hi = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
-    word = body_hashes(low, lo, hi) if len(lo) else np.zeros(0, np.uint64)
-    first = np.searchsorted(lo, at[:-1])
-    last = np.append(first[1:], len(lo))
-    run = np.zeros(max(0, len(word) - WORDS + 1), np.uint64)
-    for k in range(WORDS):
-        run = run * _TURN + word[k:k + len(run)]
-    run = mix(run + np.uint64(WORDS))
-    out = []
-    for a, b in zip(first.tolist(), last.tolist()):
-        if b - a >= WORDS:
-            out.append(np.unique(run[a:b - WORDS + 1]))
-        elif b > a:
-            h = np.uint64(0)
-            with np.errstate(over="ignore"):
-                for w in word[a:b]:
-                    h = h * _TURN + w
-                out.append(mix(np.array([h + np.uint64(b - a)])))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    assert len(out) == rows
-    return out
+_TURN = np.uint64(0xD6E8FEB86659FD93)
 
 
 def bands_for(percent: int) -> int:
@@ -135,178 +90,84 @@ def bands(own: np.ndarray, count: int = BANDS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, k1, k2, buckets): size and digest of each set, and its buckets."""
+    """(doc_id, words, n, k1, k2, buckets): hash of each text, size and digest of its set, and its buckets."""
     count, smallest = bands_for(percent), least_set(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, found = [], [], []
-            for _, at, raw in byte_chunks(batch.column(1)):
-                for own in shingles(at, raw):
+            for _, at, raw in byte_chunks(batch.column(2)):
+                for own in shingles(at, raw, WORDS):
                     sizes.append(len(own))
                     digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     found.append(bands(own, count).view(np.int64) if len(own) >= smallest else None)
             keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
-                 pa.array(found, pa.list_(pa.int64()))], ["doc_id", "n", "k1", "k2", "buckets"])
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
+                 pa.array(found, pa.list_(pa.int64()))], ["doc_id", "words", "n", "k1", "k2", "buckets"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n long, k1 long, k2 long, buckets array<long>")
+    return keyed(docs).mapInArrow(run, "doc_id long, words long, n long, k1 long, k2 long, buckets array<long>")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those ``pairs`` (hub, member) whose full sets are similar enough, as links (u, v).
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, words, text); doc_id and the hash of the text tell rows apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("words"), "text")
 
-    Members and a copy of the hub's text meet by (hub, salt), with about ``SALT_ROWS`` members each.
-    """
-    pairs = settled(pairs)
-    salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    members = pairs.join(salts, "hub").select(
-        F.col("member").alias("doc_id"), "hub", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"),
-        F.lit(1).alias("kind"))
-    hubs = salts.select(F.col("hub").alias("doc_id"), "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
-                        F.lit(0).alias("kind"))
-    rows = texts.join(members.unionByName(hubs), "doc_id").repartition("hub", "salt").sortWithinPartitions(
-        "hub", "salt", "kind", "doc_id").select("hub", "salt", "kind", "doc_id", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, at = None, None
-        for batch in batches:
-            sets = [s for _, a, raw in byte_chunks(batch.column(4)) for s in shingles(a, raw)]
-            u, v = [], []
-            for hub, kind, doc, this in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(),
-                                            batch.column(3).to_pylist(), sets):
-                if not kind:
-                    own, at = this, hub
-                    continue
-                if at != hub:
-                    raise ValueError("a member without its hub")
-                both = len(np.intersect1d(own, this, assume_unique=True))
-                if 100 * both >= percent * (len(own) + len(this) - both):
-                    u.append(hub)
-                    v.append(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    return settled(rows.mapInArrow(run, "u long, v long"))
-
-
-def alike_size(a: str, b: str, percent: int = PERCENT):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
-def near_components(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame | None:
-    """(node, component) of linked ``nodes`` (doc_id, n, buckets), or None where no bucket is shared."""
-    rows = nodes.where("buckets is not null").select("doc_id", "n", F.explode("buckets").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared = settled(rows.hint("merge").join(sizes, "bucket"))
-    if shared.isEmpty():
-        return None
-    weight = shared.groupBy("doc_id").agg(F.sum("size").alias("weight"))
-    members = settled(shared.join(weight, "doc_id").select("bucket", "doc_id", "n", "weight"))
-    texts = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").hint("merge").join(
-        weight.select("doc_id"), "doc_id", "left_semi"))
-    order = [F.col("weight").desc(), F.col("doc_id")]
-    hubs = first_row(members, ["bucket"], order).select("bucket", F.col("doc_id").alias("hub"), F.col("n").alias("m"))
-    pairs = members.join(hubs, "bucket").where((F.col("doc_id") != F.col("hub")) & alike_size("n", "m", percent)).select(
-        "hub", F.col("doc_id").alias("member")).distinct()
-    links = confirmed(pairs, texts, percent)
-    found, done, more, common = components(links), 1, MORE_HUBS, None
-    while True:
-        now = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-            "component", F.coalesce("component", "doc_id"))
-        open_ = _mixed(now, done)
-        if common is None:
-            open_ = settled(open_)
-            common = settled(shared_shingles(open_.select("doc_id").distinct(), texts))
-        open_ = open_.join(common, "doc_id").withColumn("c", F.col("n") - F.col("alone"))
-        least = open_.groupBy("bucket").agg(F.min("n").alias("_least"))
-        able = open_.join(least, "bucket").where(F.expr(_enough("c", "n", "_least", percent))).drop("_least", "alone")
-        ranked = settled(_mixed(able, 1).withColumn(
-            "rank", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))))
-        if ranked.isEmpty():
-            return found
-        lead = ranked.where(F.col("rank") <= more)
-        led = lead.groupBy("doc_id").agg(F.collect_list("bucket").alias("led"))
-        mine = ranked.groupBy("doc_id").agg(F.collect_list("bucket").alias("mine"))         # one a band at most
-        hubs = lead.join(led, "doc_id").select(
-            "bucket", F.col("doc_id").alias("hub"), F.col("n").alias("m"), F.col("c").alias("d"),
-            F.col("component").alias("other"), F.col("rank").alias("first"), "led")
-        # a pair is made in the first bucket that it shares: its better member leads in all of them
-        pairs = ranked.join(mine, "doc_id").join(hubs, "bucket").where(
-            (F.col("rank") > F.col("first")) & (F.col("component") != F.col("other"))
-            & F.expr(_enough("least(c, d)", "n", "m", percent))
-            & (F.array_min(F.array_intersect("mine", "led")) == F.col("bucket"))).select("hub", F.col("doc_id").alias("member"))
-        new = confirmed(pairs, texts, percent)
-        if not new.isEmpty():
-            links = settled(links.unionByName(new))
-            found = components(links)
-        elif ranked.where(F.col("rank") > more).isEmpty():
-            return found
-        # the hubs of this round are done with
-        members = settled(members.join(hubs.select("bucket", F.col("hub").alias("doc_id")), ["bucket", "doc_id"], "left_anti"))
-        more *= MORE_HUBS
-
-
-def _mixed(rows: DataFrame, done: int) -> DataFrame:
-    """Rows of buckets with several components, and with more than ``done`` + 1 members."""
-    mixed = rows.groupBy("bucket").agg(
-        F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where(
-        (F.col("a") < F.col("b")) & (F.col("size") > done)).select("bucket")
-    return rows.join(mixed, "bucket", "left_semi")
-
-
-def _enough(both: str, a: str, b: str, percent: int = PERCENT) -> str:
-    """Whether sets of sizes a and b can be similar enough with ``both`` common shingles."""
-    return f"{100 + percent} * {both} >= {percent} * ({a} + {b})"
-
-
-def shared_shingles(wanted: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, alone): how many shingles of each wanted document no other wanted one has.
-
-    Whatever is linked with it has none of these, which bounds what two sets can have in common.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, at, raw in byte_chunks(batch.column(1)):
-                sets = shingles(at, raw)
-                ids = batch.column(0).take(pa.array(np.repeat(np.arange(first, first + len(sets)), [len(x) for x in sets])))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(np.concatenate(sets).view(np.int64))], ["doc_id", "shingle"])
+def set_nodes(sig: DataFrame) -> DataFrame:
+    """One numbered row per different set of rows with a doc_id: that with the smallest doc_id."""
+    known = sig.where("doc_id is not null and n > 0")
+    return settled(first_row(known, ["k1", "k2"], ["doc_id", "words"]).withColumn("node", F.monotonically_increasing_id()))
+
 
-    each = texts.join(wanted, "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, shingle long")
-    alone = each.groupBy("shingle").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id")).where("k = 1")
-    counts = alone.groupBy("doc_id").agg(F.count("*").alias("alone"))
-    return wanted.join(counts, "doc_id", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+def texts_of(docs: DataFrame, nodes: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What gives (node, text) of wanted nodes; a row that is repeated is read once."""
+    def fetch(wanted: DataFrame) -> DataFrame:
+        places = nodes.select("node", "doc_id", "words").join(wanted, "node", "left_semi")
+        return keyed(docs).hint("merge").join(places, ["doc_id", "words"]).dropDuplicates(
+            ["doc_id", "words"]).select("node", "text")
+
+    return fetch
+
+
+def classes(nodes: DataFrame, found: DataFrame | None) -> DataFrame:
+    """(k1, k2, component_id, kept_words): of each set, the least doc_id of its component and that row's text hash."""
+    own = F.struct("doc_id", "words")
+    if found is None:
+        return nodes.select("k1", "k2", F.col("doc_id").alias("component_id"), F.col("words").alias("kept_words"))
+    where = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = where.groupBy("component").agg(F.min(own).alias("_least"))
+    return where.join(least, "component").select(
+        "k1", "k2", F.col("_least.doc_id").alias("component_id"), F.col("_least.words").alias("kept_words"))
+
+
+def near_classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and the classes of their sets."""
+    sig = settled(signatures(docs, percent))
+    nodes = set_nodes(sig)
+    return sig, classes(nodes, linked(nodes, texts_of(docs, nodes), percent, WORDS))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    sig = settled(signatures(docs, percent))
-    known = sig.where("doc_id is not null and n > 0")
-    nodes = settled(first_row(known, ["k1", "k2"], ["doc_id"]))
-    found = near_components(docs, nodes, percent)
-    classes = nodes.select("k1", "k2", F.col("doc_id").alias("node"))
-    if found is None:
-        classes = classes.withColumn("component", F.lit(None).cast("long"))
-    else:
-        classes = classes.join(found, "node", "left")
-    classes = classes.select("k1", "k2", F.coalesce("component", "node").alias("component"))
+    sig, found = near_classes(docs, percent)
     # rows without shingles all have the digest of the empty set, which is no class
-    out = sig.join(classes, ["k1", "k2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    out = sig.join(found, ["k1", "k2"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Rows of ``docs`` but those near a document with a smaller doc_id; of rows with one doc_id, one stays.
+    """Of the rows of each group of near copies that with the smallest doc_id, once; all rows in no group.
 
-    Rows without a doc_id all stay.
+    Rows are told apart by doc_id and text, so unrelated texts under one doc_id all stay, as do rows without a doc_id
+    or without a word.
     """
-    found = near_duplicates(docs, percent).select("doc_id", "kept").where("doc_id is not null and kept")
-    ids = found.select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").withColumn("_key", F.col("doc_id").cast("long"))
-    left = named.join(ids, F.col("_key") == F.col("_kept"), "left_semi")
-    return first_row(left, ["_key"], [F.col("text")]).drop("_key").unionByName(docs.where("doc_id is null"))
+    _, found = near_classes(docs, percent)
+    kept = found.select(F.col("component_id").alias("_id"), F.col("kept_words").alias("_words")).distinct()
+    grouped = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    own = docs.where(grouped).withColumns({"_id": F.col("doc_id").cast("long"), "_words": F.xxhash64("text")})
+    left = own.join(kept, ["_id", "_words"], "left_semi")
+    return first_row(left, ["_id", "_words"], ["_id"]).drop("_id", "_words").unionByName(docs.where(~grouped))

@@ -79,7 +79,19 @@ def test_odd_rows(odd_docs):
     assert {r.component_id for r in got if r.doc_id in (4, 5)} == {4}
     kept = near_dup.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["None", "None", *"1234678", "9"])
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["None", "None", *"12334678", "9"])
+
+
+def test_texts_under_one_id_are_told_apart(llm_spark):
+    """A link through either text of an id counts, and unrelated texts under one id all stay."""
+    r = random.Random(9)
+    one, two = (" ".join(r.choice("abcdefgh") * 3 + str(r.randint(0, 99)) for _ in range(80)) for _ in range(2))
+    data = [(1, one), (1, two), (3, two + " x"), (4, one), (4, "alpha beta"), (9, "alpha beta"), (9, "gamma delta"), (9, "gamma delta"),
+            (10, two), (11, "gamma  Delta")]
+    df = llm_spark.createDataFrame(data, "doc_id long, text string")
+    assert rows(near_dup.near_duplicates(df)) == brute_near(data)
+    kept = [(1, one), (1, two), (4, "alpha beta"), (9, "gamma delta")]
+    assert rows(near_dup.keep_one(df)) == sorted(kept, key=str)
 
 
 def test_components_of_a_path_and_a_star(llm_spark):
