@@ -8,7 +8,10 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from soundpairs.llm import ann, bpe, fim, fingerprint, lang_id, licences, near_dup, packing, sharding, suffix_dedup, toxicity
+from soundpairs.llm import (
+    ann, bpe, fim, fingerprint, hard_negatives, jaccard_join, lang_id, licences, near_dup, packing, sharding, suffix_dedup,
+    toxicity,
+)
 from soundpairs.llm.common import reachable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,9 +85,20 @@ def op11_block_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.middle_digest(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_token_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_shared_list_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 ORACLES["op2_hash_tree_shards"] = sharding.shard_sql()
 ORACLES["op8_licence_sentences"] = licences.scan_sql()
 ORACLES["op11_block_rotation"] = fim.middle_sql()
+ORACLES["op13_shared_list_negatives"] = hard_negatives.mined_sql()
 
 
 @query
