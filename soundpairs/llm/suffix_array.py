@@ -1,9 +1,9 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, over bytes.
 
-The bytes' own level works bucket by bucket with vector operations: a bucket's suffixes are known when
-it is reached, and what they induce is appended to later buckets in one step. Names of equal
-leftmost-smaller (LMS) substrings form a string of at most half the length, which is sorted by the same
-induction, recursively, until all names differ.
+Leftmost-smaller (LMS) substrings are sorted and named, equal ones alike. The names form a string of at most half the
+length, which is sorted by the same induction, recursively, until all names differ. The order of the LMS suffixes then
+induces that of all others. The bytes' own level works bucket by bucket with vector operations: a bucket's suffixes are
+known when it is reached, and what they induce is appended to later buckets in one step.
 """
 
 from __future__ import annotations
@@ -80,32 +80,41 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sigma: int) -> np.nda
     return order if len(order) == len(t) else np.append(np.int32(len(t) - 1), order)
 
 
-def _names(t: np.ndarray, lms_sorted: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """Name of each LMS substring, in text order: its rank, equal for equal substrings."""
-    follow = np.append(lms[1:], lms[-1])
-    size = follow - lms + 1
-    where = np.empty(len(t), np.int32)
-    where[lms] = np.arange(len(lms))
-    k = where[lms_sorted]
-    a, b = lms_sorted[:-1], lms_sorted[1:]
-    same = size[k[:-1]] == size[k[1:]]
-    live = np.flatnonzero(same)
-    depth, raw = 0, None
+def _names(t: np.ndarray, s: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """Name of each LMS substring, in text order: its rank, equal for equal substrings.
+
+    Substrings are compared by value and type, smaller-type being the greater one. Then none is the start of another,
+    and several places are compared at once, as one packed number. Only ties go on.
+    """
+    size = np.append(lms[1:], lms[-1]) - lms + 1
+    bits = (2 * int(t.max()) + 1).bit_length()
+    step = 63 // bits
+    k = len(lms)
+    order = np.arange(k)
+    live = np.arange(k)                             # places in ``order`` that are not settled
+    group = np.zeros(k, np.int64)                   # first place of the tie that each place belongs to
+    top = len(t) - 1
+    depth = 0
     while len(live):
-        if len(live) <= 64 and depth >= 64:         # few long ones: whole comparisons
-            raw = raw or t.tobytes()
-            w = t.itemsize
-            for i in live:
-                n = int(size[k[i]])
-                same[i] = raw[w * a[i]:w * (a[i] + n)] == raw[w * b[i]:w * (b[i] + n)]
-            break
-        equal = t[a[live] + depth] == t[b[live] + depth]
-        same[live[~equal]] = False
-        live = live[equal]
-        depth += 1
-        live = live[size[k[live]] > depth]
-    name = np.empty(len(lms), np.int64)
-    name[k] = np.append(0, np.cumsum(~same))
+        own = order[live]
+        at, left = lms[own] + depth, size[own] - depth
+        key = np.zeros(len(live), np.int64)
+        for i in range(step):
+            place = np.minimum(at + i, top)
+            key = (key << bits) | np.where(left > i, 2 * t[place].astype(np.int64) + s[place], 0)
+        by = np.lexsort((key, group[live]))
+        own, key = own[by], key[by]
+        order[live] = own                           # ties stay together: live places of a tie follow each other
+        first = np.ones(len(live), bool)
+        first[1:] = (key[1:] != key[:-1]) | (group[live][1:] != group[live][:-1])
+        run = np.flatnonzero(first)
+        size_of = np.diff(np.append(run, len(live)))
+        group[live] = np.repeat(live[run], size_of)
+        depth += step
+        live = live[np.repeat(size_of, size_of) > 1]
+        live = live[size[order[live]] > depth]
+    name = np.empty(k, np.int64)
+    name[order] = np.cumsum(np.append(0, group[1:] != group[:-1]))
     return name
 
 
@@ -154,19 +163,19 @@ def _sort_names(t: np.ndarray) -> np.ndarray:
                 tail[c] = h
         return np.array(sa)
 
-    by_char = lms[np.argsort(t[lms], kind="stable")]
-    sa = induced(by_char)
+    return induced(_lms_order(t, s, lms))
+
+
+def _lms_order(t: np.ndarray, s: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """LMS positions in the order of their suffixes: by the names of their substrings, recursively where names repeat."""
     if len(lms) < 2:
-        return sa
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    name = _names(t, sa[is_lms[sa]], lms)
-    if int(name.max()) + 1 == len(lms):
-        order = np.empty(len(lms), np.int64)
-        order[name] = np.arange(len(lms))
-    else:
-        order = _sort_names(name)
-    return induced(lms[order])
+        return lms
+    name = _names(t, s, lms)
+    if int(name.max()) + 1 < len(lms):
+        return lms[_sort_names(name)]
+    order = np.empty(len(lms), np.int64)
+    order[name] = np.arange(len(lms))
+    return lms[order]
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -176,19 +185,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     t = np.append(text.astype(np.uint16) + 1, np.uint16(0))
     s = s_types(t)
     lms = lms_positions(s)
-    order = _induce(t, s, lms, 257)
-    if len(lms) > 1:
-        is_lms = np.zeros(len(t), bool)
-        is_lms[lms] = True
-        name = _names(t, order[is_lms[order]], lms)
-        names = int(name.max()) + 1
-        if names == len(lms):
-            ranked = np.empty(len(lms), np.int64)
-            ranked[name] = np.arange(len(lms))
-        else:
-            ranked = _sort_names(name)
-        order = _induce(t, s, lms[ranked], 257)
-    return order[1:]
+    return _induce(t, s, _lms_order(t, s, lms), 257)[1:]
 
 
 def permuted_lcp(text: np.ndarray, sa: np.ndarray, limit: int, starts: np.ndarray | None = None) -> np.ndarray:

@@ -8,8 +8,9 @@ documents, and are judged on the input.
    their owner, so a document falls into segments: the spans of one owner, some 85 starts on average.
 2. *Candidates.* Only segments whose owner's hash occurs again anywhere can hold a repeated span. Equal
    segments are counted and kept once.
-3. *Suffix arrays.* Segments are dealt by their owner's hash, so equal spans meet in one shard. Its
-   bytes are sorted by induced sorting, and the permuted common prefixes tell which spans are equal.
+3. *Suffix arrays.* Segments are dealt by their owner's hash, so equal spans meet in one shard. Spans whose own
+   hash is alone there are left out. What remains is sorted by induced sorting, and the permuted common prefixes tell
+   which spans are equal.
 4. *Removal.* What holds for a segment goes back to all its copies; spans join per document, and the
    covered bytes go.
 
@@ -174,27 +175,57 @@ def _fetched(out) -> pa.RecordBatch:
         [pa.array(o, k) for o, k in zip(out, kinds)], ["owner", "body", "n", "count", "bytes"])
 
 
-def repeated_starts(bodies: list[bytes], counts: np.ndarray, copies: np.ndarray) -> list[tuple[int, int, int]]:
-    """(segment, from, to) of runs of starts whose span occurs more than once, by suffix array."""
+def runs_of(good: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 of the runs of ``good`` places that lie in one segment."""
+    edge = np.ones(len(good), bool)
+    edge[1:] = (good[1:] != good[:-1]) | (segment[1:] != segment[:-1])
+    first = np.flatnonzero(edge)
+    end = np.append(first[1:], len(good))
+    return first[good[first]], end[good[first]]
+
+
+def repeated_starts(bodies: list[bytes], counts: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, from, to) of runs of starts whose span occurs more than once, by suffix array.
+
+    Spans whose hash nothing else has are left out before, and equal runs of what remains are sorted once.
+    """
     text = np.frombuffer(b"".join(bodies), np.uint8)
     at = np.concatenate([[0], np.cumsum([len(b) for b in bodies])]).astype(np.int64)
+    segment = np.repeat(np.arange(len(bodies)), counts)
+    start = np.arange(len(segment)) - np.repeat(np.cumsum(counts) - counts, counts) + at[segment]
+    _, same = np.unique(body_hashes(text, start, start + SPAN), return_inverse=True)
+    first, end = runs_of(np.bincount(same, weights=copies[segment])[same] > 1, segment)
+    lo, hi = start[first], start[end - 1] + SPAN
+    of = segment[first]
+    _, sample, part = np.unique(body_hashes(text, lo, hi), return_index=True, return_inverse=True)
+    own, lo_of, hi_of = repeated_parts([text[a:b] for a, b in zip(lo[sample], hi[sample])],
+                                       np.bincount(part, weights=copies[of], minlength=len(sample)))
+    # back to every place that a part was found at
+    size = np.bincount(own, minlength=len(sample))
+    count = size[part]
+    run = np.repeat((np.cumsum(size) - size)[part], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    seg, shift = np.repeat(of, count), np.repeat(lo - at[of], count)
+    return seg, shift + lo_of[run], shift + hi_of[run]
+
+
+def repeated_parts(parts: list[np.ndarray], copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, from, to) of the runs of starts of different ``parts`` whose span occurs again, in order of parts."""
+    if not parts:
+        return (np.zeros(0, np.int64),) * 3
+    text = np.concatenate(parts)
+    at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
     sa = suffix_array(text)
     lcp = permuted_lcp(text, sa, 1024, starts=at[:-1])
     group = np.cumsum(lcp[sa] < SPAN)                     # suffixes of a group share their span
     of = np.empty(len(text), np.int64)
     of[sa] = group
-    start = np.concatenate([np.arange(a, a + c) for a, c in zip(at[:-1], counts)])
-    segment = np.repeat(np.arange(len(bodies)), counts)
-    times = np.bincount(of[start], weights=copies[segment])
-    again = times[of[start]] > 1
-    edge = np.ones(len(start), bool)
-    edge[1:] = (again[1:] != again[:-1]) | (segment[1:] != segment[:-1])
-    first = np.flatnonzero(edge)
-    end = np.append(first[1:], len(start))
-    keep = again[first]
-    seg = segment[first[keep]]
-    lo = start[first[keep]] - at[seg]
-    return list(zip(seg.tolist(), lo.tolist(), (lo + (end - first)[keep]).tolist()))
+    counts = np.diff(at) - SPAN + 1
+    part = np.repeat(np.arange(len(parts)), counts)
+    start = np.arange(len(part)) - np.repeat(np.cumsum(counts) - counts, counts) + at[part]
+    times = np.bincount(of[start], weights=copies[part])
+    first, end = runs_of(times[of[start]] > 1, part)
+    lo = start[first] - at[part[first]]
+    return part[first], lo, lo + end - first
 
 
 def judge(fetched: DataFrame, shards: int) -> DataFrame:
@@ -205,9 +236,8 @@ def judge(fetched: DataFrame, shards: int) -> DataFrame:
         once = np.ones(len(owner), bool)            # a row that is repeated fetches its segments again
         once[1:] = (owner[1:] != owner[:-1]) | (body[1:] != body[:-1])
         group, owner, body = group.filter(pa.array(once)), owner[once], body[once]
-        out = repeated_starts(group["bytes"].to_pylist(), group["count"].to_numpy().astype(np.int64),
-                              group["n"].to_numpy())
-        seg, lo, hi = (np.array(x, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+        seg, lo, hi = repeated_starts(group["bytes"].to_pylist(), group["count"].to_numpy().astype(np.int64),
+                                      group["n"].to_numpy())
         return pa.table({"owner": owner[seg], "body": body[seg], "lo": lo, "hi": hi})
 
     return fetched.withColumn("_shard", F.pmod(F.xxhash64("owner"), F.lit(shards))).groupBy("_shard").applyInArrow(

@@ -167,6 +167,30 @@ def test_no_owner_stays_crowded_by_borrowers_with_copies(llm_spark, monkeypatch)
     assert max(largest) <= 5
 
 
+def test_an_owner_beyond_the_real_bound(llm_spark):
+    """More borrowers of one passage than ``CROWD``, each with its own text around it, some with copies."""
+    r = random.Random(6)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(230))
+    noise = lambda n: "".join(r.choices("klmnopqrstuvwxyz ", k=n))
+    data = []
+    for i in range(suffix_dedup.CROWD + 500):
+        text = noise(45) + passage + noise(45)
+        data += [(len(data), text)] + ([(len(data) + 1, text + noise(5))] if i % 50 == 0 else [])
+    seen, raws = Counter(), [t.encode() for _, t in data]
+    for b in raws:
+        seen.update(hash(b[i:i + 200]) for i in range(len(b) - 199))
+    want = []
+    for (doc, _), b in zip(data, raws):
+        gone = bytearray(len(b))
+        for i in range(len(b) - 199):
+            if seen[hash(b[i:i + 200])] > 1:
+                gone[i:i + 200] = b"\1" * 200
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        want.append((doc, len(b), sum(gone), 1, hashlib.sha256(kept).hexdigest()))
+    df = llm_spark.createDataFrame(data, "doc_id long, text string").repartition(8)
+    assert rows(suffix_dedup.dedup_digest(df)) == sorted(want, key=str)
+
+
 def test_text_longer_than_a_block(llm_spark, monkeypatch):
     r = random.Random(3)
     text = "".join(r.choice("abcdef") for _ in range(3000))
