@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from soundpairs.functions.names import BASE_URL, clip_interval, enumerate_segments, segment_range
-from soundpairs.functions.times import col, whole
-from soundpairs.operators.common import first_row, spread_null_text
+from soundpairs.functions.times import DAY_MS, col, day_start, whole
+from soundpairs.operators.common import first_row, spread_null_ms, spread_null_text
 
 BUCKET_S = 600
+# a landed catalog keeps rows of up to one day, of up to 64 days, and all others in folders of their own
+REACH_DAYS = (1, 64)
 # bucket sizes of ever longer catalog rows, in buckets; the longest is some five years of ten-minute buckets
 LEVELS = (1, 64, 4096, 262_144)
 
@@ -75,47 +77,100 @@ def direct_plan(det: DataFrame, streams: DataFrame) -> DataFrame:
     )
 
 
+def day_number(ms: Column) -> Column:
+    """Days since the epoch, rounded down."""
+    return whole(day_start(ms), F.lit(DAY_MS).cast("long"))
+
+
+def reach_and_day(start: str = "start_ms", end: str = "end_ms") -> dict[str, Column]:
+    """Where a catalog row is landed: how long it is, and the day that it begins on."""
+    lo, hi = F.least(start, end), F.greatest(start, end)
+    reach = F.lit(len(REACH_DAYS))
+    for k in reversed(range(len(REACH_DAYS))):
+        reach = F.when(hi - lo <= F.lit(REACH_DAYS[k] * DAY_MS).cast("long"), F.lit(k)).otherwise(reach)
+    bounded = F.col(start).isNotNull() & F.col(end).isNotNull()
+    return {"reach": F.when(bounded, reach).otherwise(F.lit(len(REACH_DAYS))), "day": day_number(lo)}
+
+
+def _slot(ms: Column, level: int, bucket_s: int) -> Column:
+    size = F.lit(bucket_s * 1000 * LEVELS[level]).cast("long")
+    return whole(ms - F.pmod(ms, size), size)
+
+
+def _level(lo: Column, hi: Column, bucket_s: int) -> Column:
+    """The level whose buckets cut a catalog row into two at most; the last level for all longer rows."""
+    out = F.lit(len(LEVELS) - 1)
+    for k in reversed(range(len(LEVELS) - 1)):
+        out = F.when(_slot(hi, k, bucket_s) - _slot(lo, k, bucket_s) <= 1, F.lit(k)).otherwise(out)
+    return out
+
+
+def _places(lo: Column, hi: Column, level: int, bucket_s: int) -> Column:
+    first = _slot(lo, level, bucket_s)
+    return F.transform(F.sequence(first, _slot(hi, level, bucket_s), F.lit(1).cast("long")), lambda b: F.struct(
+        F.lit(level).alias("level"), b.alias("bucket"), first.alias("first")))
+
+
+def used_levels(segments: DataFrame, bucket_s: int = BUCKET_S) -> DataFrame:
+    """One row: a bit for every level that some catalog row lies in."""
+    lo, hi = F.least("start_ms", "end_ms"), F.greatest("start_ms", "end_ms")
+    whole_rows = segments.where("start_ms is not null and end_ms is not null")
+    return whole_rows.select(F.shiftleft(F.lit(1), 0).alias("_one"), _level(lo, hi, bucket_s).alias("_k")).agg(
+        F.expr("bit_or(shiftleft(_one, _k))").alias("levels"))
+
+
+def pruned(segments: DataFrame, windows: DataFrame) -> DataFrame:
+    """Catalog rows that the time span of all windows reaches.
+
+    A landed catalog (see ``write_segments``) is filtered by its folders, any other by its times.
+    """
+    spans = windows.agg(F.min("w0").alias("lo"), F.max("w1").alias("hi"))
+    lo, hi = spans.select("lo").scalar(), spans.select("hi").scalar()
+    if {"reach", "day"} <= set(segments.columns):
+        days = spans.select(*[day_number(F.col(c)).alias(c) for c in ("lo", "hi")])
+        first, last = days.select("lo").scalar(), days.select("hi").scalar()
+        near = F.lit(False)
+        for k, longest in enumerate(REACH_DAYS):
+            near = near | ((F.col("reach") == k) & (F.col("day") >= first - longest))
+        segments = segments.where((F.col("day") <= last) & (near | (F.col("reach") == len(REACH_DAYS))))
+    return segments.where((F.col("start_ms") <= hi) & (F.col("end_ms") >= lo))
+
+
 def overlap(
-    windows: DataFrame, segments: DataFrame, bucket_s: int = BUCKET_S, prune: bool = False
+    windows: DataFrame, segments: DataFrame, bucket_s: int = BUCKET_S, prune: bool = False,
+    levels: DataFrame | None = None,
 ) -> DataFrame:
     """Windows and segments of one feed that meet, both ends inclusive; null ends never match.
 
     Buckets turn a busy feed into many small equi-joins; a pair is kept only in the first
     bucket both sides share, so none doubles. A catalog row lies in buckets of the size that
     cuts it into two at most (up to the largest size), so a row without a real end is no more
-    rows than others; windows lie in the few buckets they touch of every size.
+    rows than others; windows lie in the few buckets they touch of every size that the catalog
+    uses (``levels``, taken from the segments unless given).
     ``prune`` first finds the time span of the windows and filters the catalog scan by it:
     worth a second look at the windows where they are few and recent.
     """
     if prune:
-        spans = windows.agg(F.min("w0").alias("lo"), F.max("w1").alias("hi"))
-        segments = segments.where(
-            (F.col("start_ms") <= spans.select("hi").scalar())
-            & (F.col("end_ms") >= spans.select("lo").scalar()))
+        segments = pruned(segments, windows)
+    if levels is None:
+        levels = used_levels(segments, bucket_s)
+    used = levels.scalar()
     segs = segments.select(
         "feed_key", F.col("playlist").alias("seg_playlist"),
         F.col("start_ms").alias("s0"), F.col("end_ms").alias("s1"),
     ).where("s0 is not null and s1 is not null")
     meet = (F.col("s0") <= F.col("w1")) & (F.col("s1") >= F.col("w0"))
-    one = F.lit(1).cast("long")
-
-    def slot(ms: Column, level: int) -> Column:
-        size = F.lit(bucket_s * 1000 * LEVELS[level]).cast("long")
-        return whole(ms - F.pmod(ms, size), size)
-
-    def places(lo: Column, hi: Column, level: int) -> Column:
-        first = slot(lo, level)
-        return F.transform(F.sequence(first, slot(hi, level), one), lambda b: F.struct(
-            F.lit(level).alias("level"), b.alias("bucket"), first.alias("first")))
-
-    left = windows.where("w0 is not null and w1 is not null and w0 <= w1").withColumn("_w", F.explode(F.concat(
-        *[places(F.col("w0"), F.col("w1"), k) for k in range(len(LEVELS))])))
+    none = F.array().cast("array<struct<level:int,bucket:bigint,first:bigint>>")
+    left = windows.where("w0 is not null and w1 is not null and w0 <= w1").withColumn("_w", F.explode(F.concat(*[
+        F.when(used.bitwiseAND(F.lit(1 << k)) > 0, _places(F.col("w0"), F.col("w1"), k, bucket_s)).otherwise(none)
+        for k in range(len(LEVELS))])))
     # a catalog row with swapped ends still meets windows that hold both of them
     lo, hi, last = F.least("s0", "s1"), F.greatest("s0", "s1"), len(LEVELS) - 1
-    fit = F.when(slot(hi, 0) - slot(lo, 0) <= 1, places(lo, hi, 0))
+    level = _level(lo, hi, bucket_s)
+    fit = F.when(level == 0, _places(lo, hi, 0, bucket_s))
     for k in range(1, last):
-        fit = fit.when(slot(hi, k) - slot(lo, k) <= 1, places(lo, hi, k))
-    right = segs.withColumn("_s", F.explode(fit.otherwise(places(lo, hi, last))))
+        fit = fit.when(level == k, _places(lo, hi, k, bucket_s))
+    right = segs.withColumn("_s", F.explode(fit.otherwise(_places(lo, hi, last, bucket_s))))
     keyed = [F.col(c).alias(f"_{n}") for c, n in (("_w.level", "level"), ("_w.bucket", "bucket"), ("_w.first", "wf"))]
     left = left.select(*windows.columns, *keyed)
     right = right.select("feed_key", "seg_playlist", "s0", "s1", F.col("_s.level").alias("_level"),
@@ -153,8 +208,10 @@ def overlap_plan(
     Segments only name the playlists; the index range comes from each playlist's stream.
     Copies of a segment name nothing new and fold together before they are shuffled.
     """
+    if prune:
+        segments = pruned(segments, windows)
     once = segments.select("feed_key", "playlist", "start_ms", "end_ms").distinct()
-    named = by_playlist(overlap(windows, once, bucket_s, prune))
+    named = by_playlist(overlap(windows, once, bucket_s, levels=used_levels(segments, bucket_s)))
     spot = stream_range()
     looked = lookup_streams(named, streams)
     ranges = looked.where(stream_meets() | F.col("stream_error").isNotNull()).select(
@@ -189,17 +246,15 @@ def resolve_segments(
     open_ = F.col("w0").isNotNull() & F.col("feed_key").isNotNull()
     if prefer_playlist:
         open_ = open_ & ~stream_meets() & F.col("stream_error").isNull()
-    done, todo = own.where(~open_), own.where(open_)
-
-    found = overlap_plan(todo.select(*WINDOW).distinct(), streams, segments, bucket_s, prune)
-    done = done.withColumns({"plan": _own_plan(), "plan_error": F.col("stream_error")})
+    todo = own.where(open_).select(*WINDOW).distinct()
+    found = overlap_plan(todo, streams, segments, bucket_s, prune).withColumnRenamed("w0", "_w0")
+    # settled rows have keys of their own, which find nothing
+    keyed = own.withColumn("_w0", spread_null_ms(F.when(open_, F.col("w0")), F.col("pos")))
     hit = (F.size("found") > 0) | F.col("found_error").isNotNull()
-    second = todo.join(found, WINDOW, "left").withColumns({
+    return keyed.join(found, ["feed_key", "_w0", "w1"], "left").withColumns({
         "plan": F.when(hit, F.col("found")).otherwise(_own_plan()),
         "plan_error": F.when(hit, F.col("found_error")).otherwise(F.col("stream_error")),
-    })
-    extra = ["stream_start", "stream_end", "stream_error"]
-    return done.drop(*extra).unionByName(second.drop(*extra, "found", "found_error"))
+    }).drop("_w0", "stream_start", "stream_end", "stream_error", "found", "found_error")
 
 
 def chunk_array(node, plan="plan", base: str = BASE_URL) -> Column:

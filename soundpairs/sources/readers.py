@@ -122,6 +122,12 @@ def read_segments(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
     return segment_catalog(spark.read.schema(schemas.SEGMENT).format(fmt).load(path))
 
 
+def read_landed_segments(spark: SparkSession, path: str) -> DataFrame:
+    """A catalog as ``write_segments`` left it; ``reach`` and ``day`` let an overlap prune its folders."""
+    schema = "feed_key string, playlist string, start_ms long, end_ms long, reach int, day long, feed string"
+    return spark.read.schema(schema).parquet(path).drop("feed")
+
+
 def is_present(objects: DataFrame) -> Column:
     """An object counts if it was answered with success, has a body, and is not a web page."""
     return (

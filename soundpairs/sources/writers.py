@@ -14,6 +14,7 @@ from soundpairs import schemas
 from soundpairs.functions.names import json_array
 from soundpairs.functions.times import day_key
 from soundpairs.operators.detections import report_ms, sort_ms
+from soundpairs.operators.playlists import reach_and_day
 
 
 def write_envelope(
@@ -61,6 +62,16 @@ def land_detections(df: DataFrame, path: str, mode: str = "append") -> None:
     keyed.hint("rebalance", "event_day").write.mode(mode).partitionBy("event_day").parquet(path)
 
 
+def write_segments(segments: DataFrame, path: str, mode: str = "append") -> None:
+    """Typed segment catalog in folders by length class, day and feed, in time order within a file.
+
+    A scan with the time span of some windows then reads the folders of their days alone.
+    """
+    keyed = segments.select("feed_key", "playlist", "start_ms", "end_ms").withColumns(reach_and_day())
+    keyed.withColumn("feed", F.col("feed_key")).hint("rebalance", "reach", "day", "feed").sortWithinPartitions(
+        "reach", "day", "feed", "start_ms").write.mode(mode).partitionBy("reach", "day", "feed").parquet(path)
+
+
 def csv_rows(pairs: DataFrame, form: str) -> DataFrame:
     """Header-ordered text columns; arrays as JSON text, null as empty text."""
     def text(name: str):

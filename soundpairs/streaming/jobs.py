@@ -2,8 +2,12 @@
 
 Every ``foreachBatch`` sink writes batch N of a checkpoint to a folder of its own in overwrite
 mode: a batch run again after a lost driver or executor replaces its own output, so appends
-are exactly-once. Where keys must stay unique, the other folders are read back for the keys
-they hold (one column); that also covers a run started over with a new checkpoint.
+are exactly-once. Where keys must stay unique they are remembered in keyed state (see ``state``), so
+no batch reads what earlier ones wrote; a run started over with a new checkpoint takes the keys of
+the target first.
+
+Rows that lacked something when they came are resolved again by ``resolve_again``, which leaves what
+was written and adds a newer version; ``latest_pairs`` reads the newest of each row.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -23,6 +27,8 @@ from soundpairs.operators.common import first_row
 from soundpairs.operators.detections import has_id
 from soundpairs.operators.playlists import direct_plan
 from soundpairs.plans.playlist_pairs import playlist_pairs, playlist_windows
+from soundpairs.session import settled
+from soundpairs.streaming.state import first_arrivals, use_keyed_store
 
 
 def stream_detections(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -71,14 +77,19 @@ class _Sink:
         return done.where((F.col("run") != self.run) | (F.col("batch_id") != batch_id)).select(key)
 
     def only_new(self, batch: DataFrame, batch_id: int, key: str) -> DataFrame:
+        """Rows of a batch that stands by itself, without a stream's state, whose key is nowhere else."""
         first = first_row(batch, [key], ["pos"])
         seen = self.others(batch, batch_id, key)
         return first if seen is None else first.join(seen, key, "left_anti")
 
-    def start(self, sdf: DataFrame, make: Callable[[DataFrame, int], DataFrame]) -> StreamingQuery:
+    def start(self, sdf: DataFrame, key: str, make: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> StreamingQuery:
+        """Write what ``make`` gives for the rows of each batch whose key is new."""
+        use_keyed_store(sdf.sparkSession)
+        sdf = first_arrivals(sdf, key, self.target)
+
         def each(batch: DataFrame, n: int) -> None:
             self.named(batch.sparkSession)
-            self.write(make(batch, n), n)
+            self.write(make(batch), n)
 
         return (
             sdf.writeStream.foreachBatch(each)
@@ -88,8 +99,7 @@ class _Sink:
 
 def stream_dedupe(sdf: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Exact first-wins by id: inside the batch by position, across batches by arrival."""
-    sink = _Sink(target, checkpoint)
-    return sink.start(sdf, lambda batch, n: sink.only_new(has_id(batch), n, "id"))
+    return _Sink(target, checkpoint).start(has_id(sdf), "id")
 
 
 def watermark_dedupe(sdf: DataFrame, delay: str = "30 days") -> DataFrame:
@@ -113,15 +123,81 @@ def stream_resolve(
     """The full cascade per micro-batch; one pair row per detection, told apart by ``pos``.
 
     A micro-batch spans little time, so the segment scan is filtered by its span. Detections that
-    the target holds already are not resolved again, also under a new checkpoint.
+    the target holds already are not resolved again, also under a new checkpoint; see
+    ``resolve_again`` for those that were left without a clip.
     """
     options.setdefault("prune", True)
-    sink = _Sink(target, checkpoint)
-    return sink.start(
-        sdf, lambda batch, n: playlist_pairs(sink.only_new(batch, n, "pos"), streams, segments, **options))
+    # the cascade reads its rows more than once, the state must be run once
+    return _Sink(target, checkpoint).start(
+        sdf, "pos", lambda rows: playlist_pairs(settled(rows), streams, segments, **options))
 
 
 def stream_append(sdf: DataFrame, target: str, checkpoint: str, key: str = "clip_key") -> StreamingQuery:
     """Append rows whose clip key the target does not hold yet."""
-    sink = _Sink(target, checkpoint)
-    return sink.start(sdf, lambda batch, n: sink.only_new(batch.where(F.col(key).isNotNull()), n, key))
+    return _Sink(target, checkpoint).start(sdf, key)
+
+
+_AGAIN = "again-"
+
+
+def is_open(status: str = "status") -> Column:
+    """Rows that may get a clip when more of the catalog, or more objects, have landed."""
+    return (F.col(status) == "no_segments") | F.col(status).startswith("error_")
+
+
+def _versions(spark: SparkSession, target: str) -> DataFrame:
+    """All rows under ``target`` with their version: 0 from a stream, then one more for each retry."""
+    rows = spark.read.parquet(target)
+    number = F.regexp_extract(F.col("run").cast("string"), f"^{_AGAIN}([0-9]+)$", 1)
+    return rows.withColumn("_version", F.when(number != "", number.try_cast("long")).otherwise(F.lit(0))).drop("run", "batch_id")
+
+
+def latest_pairs(spark: SparkSession, target: str) -> DataFrame:
+    """The newest version of every row that a stream or a retry wrote.
+
+    Retries hold few rows, so the streams' rows are only held against their positions.
+    """
+    rows = _versions(spark, target)
+    again = first_row(rows.where("_version > 0"), ["pos"], [F.col("_version").desc()])
+    return rows.where("_version = 0").join(again.select("pos"), "pos", "left_anti").unionByName(again).drop("_version")
+
+
+def resolve_again(
+    det: DataFrame, streams: DataFrame, segments: DataFrame, target: str, **options
+) -> int:
+    """Resolve the open rows of ``target`` with the catalog as it is now; the version written, or 0 for none.
+
+    ``det`` is the landed detections. Only rows that come out differently are written, as one version
+    more; a run that fails leaves no version, so it can simply be run again. Not for two runs at a time.
+    """
+    spark = det.sparkSession
+    rows = settled(latest_pairs(spark, target).where(is_open()))
+    if rows.isEmpty():
+        return 0
+    new = playlist_pairs(det.join(rows.select("pos"), "pos", "left_semi"), streams, segments, **options)
+    both = rows.select("pos", F.xxhash64(*sorted(f"`{c}`" for c in rows.columns)).alias("_was"))
+    now = F.xxhash64(*sorted(f"`{c}`" for c in new.columns))
+    changed = settled(new.join(both, "pos").where(now != F.col("_was")).drop("_was"))
+    if changed.isEmpty():
+        return 0
+    version = _versions(spark, target).agg(F.max("_version")).first()[0] + 1
+    changed.write.mode("overwrite").parquet(f"{target}/run={_AGAIN}{version}/batch_id=0")
+    return version
+
+
+def compact_again(spark: SparkSession, target: str) -> int:
+    """Fold all retries into one, latest wins; the version it has, or 0 where there is nothing to fold.
+
+    The folded rows are written as a version more before the older ones go, so readers see every row at any time.
+    """
+    rows = _versions(spark, target).where("_version > 0")
+    known = [r._version for r in rows.select("_version").distinct().collect()]        # one a retry
+    if len(known) < 2:
+        return 0
+    version = max(known) + 1
+    first_row(rows, ["pos"], [F.col("_version").desc()]).drop("_version").write.mode("overwrite").parquet(
+        f"{target}/run={_AGAIN}{version}/batch_id=0")
+    for old in known:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/run={_AGAIN}{old}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return version
