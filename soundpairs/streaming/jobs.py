@@ -140,9 +140,13 @@ def stream_append(sdf: DataFrame, target: str, checkpoint: str, key: str = "clip
 _AGAIN = "again-"
 
 
-def is_open(status: str = "status") -> Column:
-    """Rows that may get a clip when more of the catalog, or more objects, have landed."""
-    return (F.col(status) == "no_segments") | F.col(status).startswith("error_")
+def is_open() -> Column:
+    """Rows that may come out otherwise when more of the catalog, or more objects, have landed.
+
+    A row whose clip an earlier run made is open only as long as it has no segments.
+    """
+    bare = (F.col("status") == "resume_skip_in_csv") & (F.size("chunkFiles") == 0)
+    return (F.col("status") == "no_segments") | F.col("status").startswith("error_") | bare
 
 
 def _versions(spark: SparkSession, target: str) -> DataFrame:

@@ -66,7 +66,7 @@ def c_archive_build(v):
     return _as_text(plans.archive_pairs(v.det, v.manifest, stored, out_dir="out/"), "chunkFiles")
 
 
-def _resolved(df):
+def resolved(df):
     """pos, playlists and segment URLs as text, for rows that got any."""
     return df.where(F.size("plan") > 0).select(
         "pos", F.array_join(playlists.plan_playlists(), ",").alias("playlists"),
@@ -80,9 +80,12 @@ def _plan_sql(plan, extra=""):
 _OWN = "mine as (select pos, playlist, 0 as first_start, f, l from own),"
 
 
-@query("c_stage1", _plan_sql("mine", _OWN))
+STAGE1_SQL = _plan_sql("mine", _OWN)
+
+
+@query("c_stage1", STAGE1_SQL)
 def c_stage1(v):
-    return _resolved(playlists.direct_plan(usable(v), v.streams))
+    return resolved(playlists.direct_plan(usable(v), v.streams))
 
 
 @query("c_stage2", _plan_sql("multi"))
@@ -90,19 +93,19 @@ def c_stage2(v):
     rows = usable(v)
     found = playlists.overlap_plan(rows.select(*playlists.WINDOW).distinct(), v.streams, v.segments)
     joined = rows.join(found, playlists.WINDOW).withColumnRenamed("found", "plan")
-    return _resolved(joined)
+    return resolved(joined)
 
 
 @query("c_stage3", _plan_sql("last", """
 last as (select * from multi union all
   select pos, playlist, 0, f, l from own where pos not in (select pos from multi)),"""))
 def c_stage3(v):
-    return _resolved(playlists.resolve_segments(usable(v), v.streams, v.segments, prefer_playlist=False))
+    return resolved(playlists.resolve_segments(usable(v), v.streams, v.segments, prefer_playlist=False))
 
 
 @query("c_cascade", _plan_sql("plan"))
 def c_cascade(v):
-    return _resolved(playlists.resolve_segments(usable(v), v.streams, v.segments))
+    return resolved(playlists.resolve_segments(usable(v), v.streams, v.segments))
 
 
 _STATUS = f"""
@@ -151,6 +154,73 @@ def c_status(v):
     return playlist_rows(v).select("pos", "status", "errorStage", "errorMessage", "flacPath")
 
 
+_BROKEN = "playlist like '%4%' and feed_key = 'feed_5'"
+_GONE = "%17.ts"
+
+#: Status of every row where pieces of the catalog, objects and building steps fail
+_OUTCOMES = f"""
+bad_lists as (select feed_key, playlist from str where {_BROKEN}),
+bad_own as (select w.pos from win w join bad_lists b on b.feed_key = w.feed_key and b.playlist = w.playlist),
+bad_found as (select distinct l.pos from lapped l join win w using (pos)
+  join bad_lists b on b.feed_key = w.feed_key and b.playlist = l.playlist),
+built as (select '{PREFIX}' || flac as clip_key, bool_or(value > 12) as enc, bool_or(value > 8) as up from clips group by all),
+judged as (
+  select r.pos, r.clip_key, r.status as before, r."errorMessage" as said, r."flacPath",
+    r.pos in (select pos from bad_own) or (
+      r.pos in (select pos from bad_found) and r.pos not in (select pos from own)) as broken,
+    list_filter(string_split(coalesce(r.urls, ''), ','), lambda u: u like '{_GONE}')[1] as gone, b.enc, b.up
+  from rows r left join built b on b.clip_key = r.clip_key),
+told as (
+  select pos, clip_key, said, case
+      when before in ('invalid_input', 'error', 'resume_skip_in_csv') then before
+      when broken then 'error_no_segments' when before <> 'uploaded' then before
+      when gone is not null then 'error_download' when enc then 'error_encode' when up then 'error_upload'
+      else 'uploaded' end as status, gone
+  from judged),
+final as (
+  select pos, status, case status when 'invalid_input' then 'validate' when 'error' then 'unexpected'
+      when 'error_no_segments' then 'segments' when 'error_download' then 'download'
+      when 'error_encode' then 'encode' when 'error_upload' then 'upload' else '' end as "errorStage",
+    case status when 'error_no_segments' then 'lookup failed' when 'error_download' then 'HTTP 404 for ' || gone
+      when 'error_encode' then 'encoder failed' when 'error_upload' then 'upload failed' else said end as "errorMessage",
+    case when status = 'uploaded' or status like 'skipped_exists%' then '{URL_ROOT}' || clip_key else '' end as "flacPath"
+  from told)
+"""
+
+
+def _failing(v):
+    """Streams with failed lookups, the objects that exist, and how building each clip went."""
+    error = F.when(F.expr(_BROKEN), F.lit("lookup failed")).cast("string")
+    urls = playlist_rows(v).select(F.explode("chunkFiles").alias("url")).where(~F.col("url").like(_GONE))
+    went = v.clips("flac", "true").select(F.concat(F.lit(PREFIX), "clip").alias("clip_key"))
+    value = v.clips("flac", "value > 12").select(F.concat(F.lit(PREFIX), "clip").alias("clip_key"), F.lit("encoder failed").alias("e"))
+    up = v.clips("flac", "value > 8").select(F.concat(F.lit(PREFIX), "clip").alias("clip_key"), F.lit("upload failed").alias("u"))
+    outcomes = went.distinct().join(value.distinct(), "clip_key", "left").join(up.distinct(), "clip_key", "left").select(
+        "clip_key", F.col("e").alias("encode_error"), F.col("u").alias("upload_error"))
+    return v.streams.withColumn("error", error), urls, outcomes
+
+
+def failing_rows(v, **options):
+    found, objects, outcomes = _failing(v)
+    return plans.playlist_pairs(
+        v.det, found, v.segments, v.stored, v.fresh, v.prior, objects=objects, outcomes=outcomes,
+        url_root=URL_ROOT, prefix=PREFIX, **options)
+
+
+@query("c_status_failures", PAIR_SQL + "," + _OUTCOMES + 'select * from final')
+def c_status_failures(v):
+    """Lookups, downloads, encoding and uploads fail for some rows."""
+    return failing_rows(v).select("pos", "status", "errorStage", "errorMessage", "flacPath")
+
+
+@query("c_status_local", PAIR_SQL + f"""
+select pos, case status when 'uploaded' then 'saved_local' else status end as status,
+  case status when 'uploaded' then 'clips/' || substr(clip_key, {len(PREFIX) + 1}) else "flacPath" end as "flacPath" from rows""")
+def c_status_local(v):
+    """Clips are kept in a folder instead of being uploaded."""
+    return playlist_rows(v, upload=False).select("pos", "status", "flacPath")
+
+
 @query("a_status_tally", PAIR_SQL + """
 select status, "errorStage", count(*) as rows from rows group by all""")
 def a_status_tally(v):

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from soundpairs import schemas, streaming
 from soundpairs.functions.times import iso_ms
-from soundpairs.operators import clips, pairs
+from soundpairs.operators import clips, pairs, playlists
 from soundpairs.operators.common import numbered
 from soundpairs.plans import archive_pairs, select_detections
 from soundpairs.session import scratch_path
 from soundpairs.sources import readers, writers
 from soundpairs.workload.composed import (
-    CLIP_SQL, PAIR_COLUMNS, PAIR_SQL, archive_jobs, chunk_payloads, playlist_rows,
+    CLIP_SQL, PAIR_COLUMNS, PAIR_SQL, STAGE1_SQL, archive_jobs, chunk_payloads, playlist_rows, resolved,
 )
 from soundpairs.workload.registry import PHASES, iso, query
 from soundpairs.workload.scalars import q
+from soundpairs.workload.sets import OVERLAP_SQL, clip_pairs, usable
 from soundpairs.workload.views import PREFIX, URL_ROOT
 
 _FLAT = """pos, id, "feedId", "listenerCount", category, description, "playerOffset", "playlistTimestamp",
@@ -235,11 +236,36 @@ def st_ingest(v):
     return _flat(v.spark.read.schema(schemas.LANDED).parquet(target))
 
 
-@query("st_dedupe", q("select id, count(*) as rows from (select distinct id from det where id <> '') t group by id"))
+@query("st_dedupe", q("select id, min(pos) as pos, 1 as rows from det where id <> '' group by id"))
 def st_dedupe(v):
-    target = scratch_path(v.spark, "deduped")
-    streaming.stream_dedupe(_landed_stream(v), target, scratch_path(v.spark, "ck")).awaitTermination()
-    return v.spark.read.parquet(target).groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
+    """Late copies land after the stream has stopped once; then all comes again, as after a lost checkpoint."""
+    source, target, ck = (scratch_path(v.spark, n) for n in ("detections", "deduped", "ck"))
+    late = F.col("category") == "dup"
+    for rows, mark in ((v.det.where(~F.coalesce(late, F.lit(False))), ck), (v.det.where(late), ck), (None, ck + "-new")):
+        if rows is not None:
+            writers.write_detection_lines(rows, source, mode="append")
+        streaming.stream_dedupe(
+            streaming.stream_detections(v.spark, source, max_files=2), target, mark).awaitTermination()
+    return v.spark.read.parquet(target).groupBy("id").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).cast("int").alias("rows"))
+
+
+@query("st_watermark", q("select id, 1 as rows from det where id <> '' group by id"))
+def st_watermark(v):
+    """All files in one micro-batch, so that none is late."""
+    target = scratch_path(v.spark, "marked")
+    rows = streaming.watermark_dedupe(streaming.stream_detections(v.spark, landed_lines(v)))
+    (rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", scratch_path(v.spark, "ck"))
+     .trigger(availableNow=True).start().awaitTermination())
+    return v.spark.read.schema("id string").parquet(target).groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("rows"))
+
+
+@query("st_stage1", STAGE1_SQL)
+def st_stage1(v):
+    target = scratch_path(v.spark, "staged")
+    rows = streaming.stream_stage1(_landed_stream(v), v.streams).where("w0 is not null").select("pos", "node", "plan")
+    (rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", scratch_path(v.spark, "ck"))
+     .trigger(availableNow=True).start().awaitTermination())
+    return resolved(v.spark.read.schema(rows.schema).parquet(target))
 
 
 @query("st_resolve", PAIR_SQL + f"select pos, {PAIR_COLUMNS} from rows")
@@ -255,10 +281,36 @@ def st_resolve(v):
     return done.withColumns({a: F.array_join(a, ",") for a in ("playlistTimestamps", "chunkFiles")})
 
 
+@query("st_resolve_again", PAIR_SQL + f"select pos, {PAIR_COLUMNS} from rows")
+def st_resolve_again(v):
+    """The catalog lands feed by feed: a stream meets the first three, retries the next two and then all."""
+    target, options = scratch_path(v.spark, "resolved"), {
+        "stored": v.stored, "fresh": v.fresh, "prior": v.prior, "url_root": URL_ROOT, "prefix": PREFIX}
+
+    def landed(feeds):
+        known = F.substring_index("feed_key", "_", -1).cast("int") < feeds
+        return v.streams.where(known), v.segments.where(known)
+
+    streaming.stream_resolve(
+        _landed_stream(v), *landed(3), target, scratch_path(v.spark, "ck"), **options).awaitTermination()
+    for feeds in (5, 8):
+        streaming.resolve_again(v.det, *landed(feeds), target, **options)
+    streaming.compact_again(v.spark, target)
+    done = streaming.latest_pairs(v.spark, target)
+    return done.withColumns({a: F.array_join(a, ",") for a in ("playlistTimestamps", "chunkFiles")})
+
+
+@query("j_overlap_landed", OVERLAP_SQL)
+def j_overlap_landed(v):
+    """The catalog in folders by length, day and feed, pruned by the windows' time span."""
+    path = scratch_path(v.spark, "catalog")
+    writers.write_segments(v.segments, path)
+    return playlists.overlap(usable(v).drop("playlist"), readers.read_landed_segments(v.spark, path), prune=True).select(
+        "pos", F.col("seg_playlist").alias("playlist"), "s0", "s1")
+
+
 @query("st_append", q("select clip_key, count(*) as rows from (select distinct clip_key from win) t group by all"))
 def st_append(v):
-    from soundpairs.workload.sets import clip_pairs
-
     source, target = scratch_path(v.spark, "clip_pairs"), scratch_path(v.spark, "appended")
     rows = clip_pairs(v)
     rows.write.json(source)

@@ -36,17 +36,17 @@ def j_lookup(v):
         "pos", "playlist", "stream_start", "stream_end")
 
 
-_OVERLAP = q("""select w.pos, s.playlist, s.s0, s.s1
+OVERLAP_SQL = q("""select w.pos, s.playlist, s.s0, s.s1
 from win w join seg s on w.feed_key = s.feed_key and s.s0 <= w.w1 and s.s1 >= w.w0""")
 
 
-@query("j_overlap", _OVERLAP)
+@query("j_overlap", OVERLAP_SQL)
 def j_overlap(v):
     return playlists.overlap(usable(v).drop("playlist"), v.segments).select(
         "pos", F.col("seg_playlist").alias("playlist"), "s0", "s1")
 
 
-@query("j_overlap_bucketed", _OVERLAP)
+@query("j_overlap_bucketed", OVERLAP_SQL)
 def j_overlap_bucketed(v):
     """Narrow buckets and a pruned catalog: the same pairs."""
     return playlists.overlap(usable(v).drop("playlist"), v.segments, 600, prune=True).select(

@@ -238,3 +238,24 @@ def test_equal_starts_have_one_winner(spark):
     rows = [("p", 0, 99_999), ("p", 0, 10), ("p", 0, None)]
     for order in (rows, rows[::-1]):
         assert [r["end_ms"] for r in playlists.first_streams(streams(spark, *order)).collect()] == [10]
+
+
+def test_landed_catalog_is_read_by_its_days(spark, tmp_path):
+    """Rows of all lengths, swapped and missing ends; the scan leaves out folders of other days."""
+    day = 86_400_000
+    rows = [("p", d * day + 1000 * i, d * day + 1000 * i + 10_000) for d in range(-3, 40) for i in range(3)]
+    rows += [("long", 2 * day, 50 * day), ("endless", -day, 2_932_896 * day), ("swapped", 11 * day, 9 * day),
+             ("blank", None, 5 * day), ("open", 5 * day, None), ("half", 9 * day + 1, 10 * day)]
+    path = str(tmp_path / "catalog")
+    writers.write_segments(segments(spark, *rows), path)
+    landed = readers.read_landed_segments(spark, path)
+    assert sorted(map(str, landed.drop("reach", "day").collect())) == sorted(map(str, segments(spark, *rows).collect()))
+    windows = spark.createDataFrame([("feed_a", 10 * day - 5000, 10 * day + 2000), ("feed_a", 10 * day + 50_000, 10 * day + 60_000)],
+                                    "feed_key string, w0 long, w1 long")
+    want = sorted(map(str, playlists.overlap(windows, segments(spark, *rows)).collect()))
+    found = playlists.overlap(windows, landed, prune=True)
+    assert sorted(map(str, found.collect())) == want and any("endless" in w for w in want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "day#" in plan.split("PartitionFilters")[1][:400]
+    near = playlists.pruned(landed, windows).select(F.input_file_name().alias("f")).distinct().count()
+    assert near < 8 < landed.select(F.input_file_name().alias("f")).distinct().count()

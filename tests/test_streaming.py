@@ -1,7 +1,7 @@
 import json
 import os
 
-from soundpairs import streaming
+from soundpairs import schemas, streaming
 from soundpairs.operators.detections import first_wins, has_id
 from soundpairs.operators.playlists import direct_plan
 from soundpairs.plans import playlist_pairs, playlist_windows
@@ -140,3 +140,66 @@ def test_resolve_again_adds_nothing(spark, tmp_path):
         got = sorted(map(str, spark.read.parquet(target).drop("run", "batch_id").collect()))
         assert want is None or got == want
         want = got
+
+
+def test_no_batch_reads_what_earlier_ones_wrote(spark, tmp_path):
+    """Fifty batches, and a restart: every batch's input is its own file, and after a restart what was written since."""
+    src, target, ck = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "ck")
+    for n in range(50):
+        land(src, f"f{n}", [detection(3 * n + i, id=f"d{max(0, 2 * n + i - 1)}") for i in range(3)])
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        q = streaming.stream_dedupe(streaming.stream_detections(spark, str(src), 1), target, ck)
+        q.awaitTermination()
+        read = [sum(s["numInputRows"] for s in p["sources"]) for p in q.recentProgress if p["numInputRows"]]
+        assert len(read) == 50 and max(read) <= 3
+        land(src, "f90", [detection(1000, id="d3"), detection(1001, id="new")])
+        q = streaming.stream_dedupe(streaming.stream_detections(spark, str(src), 1), target, ck)
+        q.awaitTermination()
+        held = {r["id"]: r["pos"] for r in spark.read.parquet(target).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    want = {}
+    for n in range(50):
+        for i in range(3):
+            want.setdefault(f"d{max(0, 2 * n + i - 1)}", 3 * n + i)
+    assert held == {**want, "new": 1001}
+
+
+def test_rows_pass_the_state_unchanged(spark, tmp_path):
+    """Large numbers, nulls and odd texts; copies within a file fold to the first position, null before all."""
+    src, target = tmp_path / "in", str(tmp_path / "t")
+    odd = detection(2**62 + 1, id="a", pt=10**16 + 1, description='line\n"quoted" \\   é', feed_id=None)
+    plain = detection(5, id="b", candidate=None, feed=None)
+    land(src, "f0", [detection(2**62 + 2, id="a")] * 3 + [odd, plain, detection(None, id="c"), detection(-7, id="c")])
+    streaming.stream_dedupe(streaming.stream_detections(spark, str(src)), target, str(tmp_path / "ck")).awaitTermination()
+    got = {r["id"]: r.asDict(True) for r in spark.read.schema(schemas.LANDED).parquet(target).drop("run", "batch_id").collect()}
+    assert got["a"] == odd and got["b"] == plain and got["c"]["pos"] is None and len(got) == 3
+
+
+def test_open_rows_are_resolved_when_the_catalog_grows(spark, tmp_path):
+    src, rows = files(tmp_path)
+    cat, segs = streams(spark, ("100", T - 30_000, None)), segments(spark, ("100", T, T + 10_000))
+    target, det = str(tmp_path / "t"), detections(spark, *rows)
+    streaming.stream_resolve(streaming.stream_detections(spark, str(src), 2), cat.where("false"), segs.where("false"),
+                             target, str(tmp_path / "ck"), url_root="https://x/").awaitTermination()
+    first = spark.read.parquet(target)
+    assert {r["status"] for r in first.collect()} <= {"no_segments", "error_no_segments", "invalid_input", "error"}
+    assert streaming.resolve_again(det, cat.where("false"), segs.where("false"), target, url_root="https://x/") == 0
+    assert streaming.resolve_again(det, cat, segs.where("false"), target, url_root="https://x/") == 1
+    streaming.resolve_again(det, cat, segs, target, url_root="https://x/")
+    want = sorted(map(str, playlist_pairs(det, cat, segs, url_root="https://x/").collect()))
+    assert sorted(map(str, streaming.latest_pairs(spark, target).collect())) == want
+    # a retry that wrote its files twice over, or a fold cut short, changes nothing
+    streaming.resolve_again(det, cat, segs, target, url_root="https://x/")
+    folded = streaming.compact_again(spark, target)
+    assert sorted(map(str, streaming.latest_pairs(spark, target).collect())) == want
+    assert len([d for d in os.listdir(target) if "again" in d]) <= 1 and streaming.compact_again(spark, target) == 0
+    assert folded in (0, 3)
+    # the stream goes on, and takes nothing twice
+    land(src, "f9", [detection(99, pt=100), detection(3, pt=100)])
+    streaming.stream_resolve(streaming.stream_detections(spark, str(src), 2), cat, segs, target, str(tmp_path / "ck"),
+                             url_root="https://x/").awaitTermination()
+    got = streaming.latest_pairs(spark, target)
+    assert got.count() == len(rows) + 1 and got.where("pos = 99").first()["status"] == "uploaded"
