@@ -174,7 +174,7 @@ def jaccard_links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) ->
     left = settled(sieved(nodes, percent))
     texts = settled(texts_of(docs, nodes)(left.select("node")))
     keys = settled(keyed_nodes(left, ordered_tokens(texts), percent))
-    return linked(keys, lambda wanted: texts.join(wanted, "node", "left_semi"), percent, WORDS, few=False)
+    return linked(keys, lambda wanted: texts.join(wanted, "node", "left_semi"), percent, WORDS)
 
 
 def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

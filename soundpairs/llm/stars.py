@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from soundpairs.llm.common import body_hashes, byte_chunks, mix
@@ -29,6 +29,8 @@ MORE_HUBS = 32
 SALT_ROWS = 500
 #: Members of a bucket that meet its hubs in one task, about.
 PART_ROWS = 1000
+#: Earlier buckets of a node that are looked at to make a pair once.
+BACK = 24
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -118,12 +120,10 @@ def _enough(both: str, a: str, b: str, percent: int) -> str:
     return f"{100 + percent} * {both} >= {percent} * ({a} + {b})"
 
 
-def linked(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, words: int,
-           few: bool = True) -> DataFrame | None:
+def linked(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, words: int) -> DataFrame | None:
     """(node, component) of linked ``nodes`` (node, n, buckets), or None where no bucket is shared.
 
-    ``fetch`` gives (node, text), once each, of wanted nodes (node). With ``few`` buckets a node, a pair of a later round is
-    made in the first bucket that it shares; else it is made in all of them, and repeats are folded.
+    ``fetch`` gives (node, text), once each, of wanted nodes (node).
     """
     rows = nodes.where("buckets is not null").select("node", "n", F.explode("buckets").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -131,12 +131,15 @@ def linked(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: i
     if shared.isEmpty():
         return None
     weight = shared.groupBy("node").agg(F.sum("size").alias("weight"))
-    members = settled(shared.join(weight, "node").select("bucket", "node", "n", "weight"))
+    parts = F.ceil(F.col("size") / PART_ROWS).cast("int")           # a large bucket is dealt in parts from here on
+    members = settled(shared.join(weight, "node").select(
+        "bucket", "node", "n", "weight", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part")))
     texts = settled(fetch(weight.select("node")))
     order = [F.col("weight").desc(), F.col("node")]
-    hubs = first_row(members, ["bucket"], order).select("bucket", F.col("node").alias("hub"), F.col("n").alias("m"))
-    pairs = members.join(hubs, "bucket").where((F.col("node") != F.col("hub")) & alike_size("n", "m", percent)).select(
-        "hub", F.col("node").alias("member")).distinct()
+    hubs = _dealt(first_row(members, ["bucket"], order).select(
+        "bucket", "parts", F.col("node").alias("hub"), F.col("n").alias("m")))
+    pairs = members.join(hubs, ["bucket", "part"]).where(
+        (F.col("node") != F.col("hub")) & alike_size("n", "m", percent)).select("hub", F.col("node").alias("member")).distinct()
     links = confirmed(pairs, texts, percent, words)
     found, done, more, common = components(links), 1, MORE_HUBS, None
     while True:
@@ -146,26 +149,22 @@ def linked(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: i
             open_ = settled(open_)
             common = settled(shared_shingles(open_.select("node").distinct(), texts, words))
         open_ = open_.join(common, "node").withColumn("c", F.col("n") - F.col("alone"))
-        least = open_.groupBy("bucket").agg(F.min("n").alias("_least"))
-        able = open_.join(least, "bucket").where(F.expr(_enough("c", "n", "_least", percent))).drop("_least", "alone")
-        able = settled(_mixed(able, 1).withColumn("parts", F.ceil(F.col("size") / PART_ROWS).cast("int")))
+        least = _dealt(open_.groupBy("bucket").agg(F.min("n").alias("_least"), F.max("parts").alias("parts")))
+        able = open_.join(least, ["bucket", "part"]).where(
+            F.expr(_enough("c", "n", "_least", percent))).drop("_least", "alone")
+        able = settled(_mixed(able, 1).withColumn("before", _before("node")))
         if able.isEmpty():
             return found
         hubs = top_k(able, ["bucket"], order, more).select(
-            "bucket", F.col("node").alias("hub"), F.col("n").alias("m"), F.col("c").alias("d"),
-            F.col("component").alias("other"), F.col("weight").alias("heavy"), "parts")
-        hubs = settled(hubs)
+            "bucket", "parts", F.col("node").alias("hub"), F.col("n").alias("m"), F.col("c").alias("d"),
+            F.col("component").alias("other"), F.col("weight").alias("heavy"))
+        hubs = settled(hubs.withColumn("led", _before("hub")))
+        # of two members the one that is better everywhere leads; a pair is made where none of the last buckets is shared
         later = (F.col("weight") < F.col("heavy")) | ((F.col("weight") == F.col("heavy")) & (F.col("node") > F.col("hub")))
         apart = (F.col("component") != F.col("other")) & F.expr(_enough("least(c, d)", "n", "m", percent))
-        left = able.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-        right = hubs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - F.lit(1).cast("long")))).drop("parts")
-        if few:         # the better of two leads in all the buckets they share, up to its own last
-            mine = able.groupBy("node").agg(F.collect_list("bucket").alias("mine"))
-            led = hubs.groupBy("hub").agg(F.collect_list("bucket").alias("led"))
-            left, right = left.join(mine, "node"), right.join(led, "hub")
-            apart = apart & (F.array_min(F.array_intersect("mine", "led")) == F.col("bucket"))
-        pairs = left.join(right, ["bucket", "part"]).where(later & apart).select("hub", F.col("node").alias("member"))
-        new = confirmed(pairs if few else pairs.distinct(), texts, percent, words)
+        pairs = able.join(_dealt(hubs), ["bucket", "part"]).where(
+            later & apart & ~F.arrays_overlap("before", "led")).select("hub", F.col("node").alias("member")).distinct()
+        new = confirmed(pairs, texts, percent, words)
         if not new.isEmpty():
             links = settled(links.unionByName(new))
             found = components(links)
@@ -176,12 +175,26 @@ def linked(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: i
         more *= MORE_HUBS
 
 
+def _dealt(per_bucket: DataFrame) -> DataFrame:
+    """A row of each bucket for every one of its parts."""
+    return per_bucket.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
+def _before(node: str):
+    """The last ``BACK`` buckets of a node before each of its own, in the order of their numbers.
+
+    The first bucket that two nodes share has no shared one before it. So a pair that is made only where neither
+    knows of one is always made, and seldom more than once however many buckets they share.
+    """
+    return F.collect_list("bucket").over(Window.partitionBy(node).orderBy("bucket").rowsBetween(-BACK, -1))
+
+
 def _mixed(rows: DataFrame, done: int) -> DataFrame:
     """Rows of buckets with several components and more than ``done`` members, with the bucket's ``size``."""
     mixed = rows.groupBy("bucket").agg(
-        F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where(
-        (F.col("a") < F.col("b")) & (F.col("size") > done)).select("bucket", "size")
-    return rows.drop("size").join(mixed, "bucket")
+        F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"),
+        F.max("parts").alias("parts")).where((F.col("a") < F.col("b")) & (F.col("size") > done)).drop("a", "b")
+    return rows.drop("size").join(_dealt(mixed), ["bucket", "part"])
 
 
 def shared_shingles(wanted: DataFrame, texts: DataFrame, words: int) -> DataFrame:
