@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from soundpairs.llm.common import mix, shuffle_parts
 
 EXACT, SKETCH, RUN = 16, 128, 8
+#: Text bytes of one range of documents, about.
+RANGE_BYTES = 64 << 20
 _SHIFTS = np.arange(RUN, dtype=np.uint64) * np.uint64(8)
 
 
@@ -109,13 +112,16 @@ def with_blocks(docs: DataFrame, blocks: int) -> DataFrame:
 def fingerprint_documents(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, which borrows from the next document.
 
-    Documents are dealt into ranges of doc_id, each sorted on its own; a range also gets a copy of the
-    first document of the next range, so that texts are shuffled once. Rows with equal doc_id are all
-    followed by the first (by text) of the next larger doc_id; a null doc_id comes before all. The
-    only document is followed by itself.
+    Documents are dealt into ranges of doc_id of about ``RANGE_BYTES`` of text, each sorted on its own; a range also
+    gets a copy of the first document of the next range, so that texts are shuffled once. Ranges are read from their
+    end, so the next document is known and no row waits. Rows with equal doc_id are all followed by the first (by
+    text) of the next larger doc_id; a null doc_id comes before all. The only document is followed by itself.
     """
     spark = docs.sparkSession
-    ranged = with_blocks(docs, blocks or 2 * shuffle_parts(spark))
+    if blocks is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        blocks = max(2 * shuffle_parts(spark), math.ceil(size / RANGE_BYTES))
+    ranged = with_blocks(docs, blocks)
     first = ranged.groupBy("block").agg(F.min("key").alias("key"))          # at most one row per range
     order = Window.orderBy("block")
     heads = (
@@ -131,37 +137,28 @@ def fingerprint_documents(docs: DataFrame, blocks: int | None = None) -> DataFra
         lent.select(F.col("to").alias("block"), F.lit(None).cast("long").alias("doc_id"), "key", "text", F.lit(1).alias("lent")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: list[tuple] = []
-        held: list[tuple] = []      # rows of one key, which wait for the next key
-        block = None
-
-        def settle(text: str, prints: Fingerprint) -> None:
-            for doc, own, mark in held:
-                other = edited(own, text)
-                after = Fingerprint(other)
-                ready.append((doc, len(own), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(),
-                              mark.text(), after.text(), mark.likeness(after), mark.likeness(prints)))
-            held.clear()
-
-        last_key = None
+        block = key = None
+        after, follows, first = "", None, None      # the next document's text and fingerprint, the first text of this key
         for batch in batches:
-            for at, doc, key, text, is_lent in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+            ready = []
+            for at, doc, own_key, text, is_lent in zip(*[batch.column(i).to_pylist() for i in range(5)]):
                 text = text or ""
                 if at != block:
-                    assert not held, "a range without its borrowed row"
-                    block, last_key = at, None
-                prints = Fingerprint(text)
-                if held and (is_lent or key != last_key):
-                    settle(text, prints)
-                if not is_lent:
-                    held.append((doc, text, prints))
-                    last_key = key
+                    assert is_lent, "a range without its borrowed row"
+                    block, key, first = at, None, text
+                    continue
+                if own_key != key:
+                    key, after, follows = own_key, first, Fingerprint(first)
+                first = text                        # the last one of a key is its first by text
+                other, mark = edited(text, after), Fingerprint(text)
+                changed = Fingerprint(other)
+                ready.append((doc, len(text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(),
+                              mark.text(), changed.text(), mark.likeness(changed), mark.likeness(follows)))
             yield _batch(ready)
-            ready.clear()
-        assert not held, "a range without its borrowed row"
 
     return (
-        rows.repartition("block").sortWithinPartitions("block", "lent", "key", "text")
+        rows.repartition(max(shuffle_parts(spark), blocks), "block")
+        .sortWithinPartitions("block", F.desc("lent"), F.desc("key"), F.desc("text"))
         .select("block", "doc_id", "key", "text", "lent").mapInArrow(run, SCHEMA)
     )
 
