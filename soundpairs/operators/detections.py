@@ -72,3 +72,37 @@ def time_sort(df: DataFrame) -> DataFrame:
 
 def page(df: DataFrame, limit: int = 250, offset: int = 0) -> DataFrame:
     return df.orderBy("pos").offset(offset).limit(limit)
+
+
+def deep_page(df: DataFrame, limit: int, offset: int, ranges: int = 1024) -> DataFrame:
+    """The rows that ``page`` gives, however far down, without sorting what lies before them.
+
+    Rows are counted by equal ranges of ``pos`` (``ranges`` counts reach the driver), and the range that holds the
+    page is cut again until it is about as large as the page or a single position; only its rows are sorted. Rows
+    without a position come first, as in any sort.
+    """
+    lo, hi = df.agg(F.min("pos"), F.max("pos")).first()
+    if lo is None:
+        return page(df, limit, offset)
+    key, before = F.coalesce(F.col("pos"), F.lit(lo - 1).cast("long")), 0
+    lo -= 1
+    while True:
+        width = (hi - lo) // ranges + 1
+        slot = F.call_function("div", key - F.lit(lo).cast("long"), F.lit(width).cast("long"))
+        rows = df.where(key.between(lo, hi)).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()
+        first = last = None
+        seen = before
+        for r in sorted(rows):
+            if first is None and seen + r.n > offset:
+                first, skipped = r.slot, seen
+            if seen < offset + limit:
+                last = r.slot
+            seen += r.n
+        if first is None:
+            return df.where("false")
+        held = sum(r.n for r in rows if first <= r.slot <= last)
+        near, far = lo + first * width, min(hi, lo + (last + 1) * width - 1)
+        done = width == 1 or held <= 4 * limit or far - near >= hi - lo
+        lo, hi, before = near, far, skipped
+        if done:
+            return df.where(key.between(lo, hi)).orderBy("pos").offset(offset - before).limit(limit)

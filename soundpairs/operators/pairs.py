@@ -171,6 +171,33 @@ def status_tally(pairs: DataFrame, duration: str | None = None) -> DataFrame:
     return pairs.groupBy("status", "errorStage").agg(*aggs)
 
 
+def timing_sketches(pairs: DataFrame, duration: str, run: str) -> DataFrame:
+    """Per status and stage of one run: rows, and a quantile sketch of their durations that can be merged.
+
+    A sketch is a few KB whatever the number of rows; a run stores its own next to those of other runs.
+    """
+    return pairs.groupBy("status", "errorStage").agg(
+        F.count(F.lit(1)).alias("rows"), F.kll_sketch_agg_double(F.col(duration).cast("double")).alias("sketch"),
+    ).withColumn("run", F.lit(run))
+
+
+def merged_timings(sketches: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """Rows and quantiles (p50, p95, ...) over all runs, within 1.7 % of the rank; null where nothing was timed."""
+    merged = sketches.groupBy("status", "errorStage").agg(
+        F.sum("rows").alias("rows"), F.kll_merge_agg_double("sketch").alias("_all"))
+    timed = F.kll_sketch_get_n_double("_all") > 0
+    return merged.withColumns({
+        f"p{round(q * 100)}": F.when(timed, F.kll_sketch_get_quantile_double("_all", F.lit(q))) for q in quantiles
+    }).drop("_all")
+
+
+def key_totals(pairs: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row: clip keys in all rows, different ones, and those of them that are stored."""
+    keys = distinct_keys(pairs)
+    there = keys.join(distinct_keys(stored), "clip_key", "left_semi").agg(F.count(F.lit(1))).scalar()
+    return pairs.agg(F.count("clip_key").alias("rows"), F.count_distinct("clip_key").alias("keys")).withColumn("stored", there)
+
+
 def observe_progress(df: DataFrame, name: str = "progress", key: str | None = None) -> tuple[DataFrame, Observation]:
     """Count rows, and those with a ``key``, as they stream by; read ``Observation.get`` after."""
     seen = Observation(name)

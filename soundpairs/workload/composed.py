@@ -8,6 +8,7 @@ from soundpairs import plans
 from soundpairs.operators import clips, detections, pairs, playlists, similarity
 from soundpairs.functions.times import to_utc_ms
 from soundpairs.schemas import pair_columns
+from soundpairs.session import scratch_path, settled
 from soundpairs.workload.registry import PHASES, chunk, clip, iso, listing, query
 from soundpairs.workload.scalars import CUTOFF, q
 from soundpairs.workload.sets import usable
@@ -227,6 +228,27 @@ def a_status_tally(v):
     return pairs.status_tally(playlist_rows(v))
 
 
+@query("a_timings", PAIR_SQL + """
+select status, "errorStage", count(*) as rows, true as p50_ok, true as p95_ok from rows group by all""")
+def a_timings(v):
+    """Two runs store sketches of a duration; merged quantiles are held against the rank they have among all rows."""
+    rows = settled(playlist_rows(v).select("pos", "status", "errorStage", F.col("playerOffset").cast("double").alias("spent")))
+    path = scratch_path(v.spark, "timings")
+    for run in range(2):
+        pairs.timing_sketches(rows.where(F.col("pos") % 2 == run), "spent", f"run{run}").write.mode("append").parquet(path)
+    merged = pairs.merged_timings(v.spark.read.parquet(path))
+    told = rows.join(merged.drop("rows"), ["status", "errorStage"])
+
+    def near(column: str, share: float):
+        timed = F.count("spent")
+        below = F.count_if(F.col("spent") < F.col(column)) / timed
+        upto = F.count_if(F.col("spent") <= F.col(column)) / timed
+        return F.when(timed > 0, (below <= share + 0.02) & (upto >= share - 0.02)).otherwise(F.lit(True))
+
+    return told.groupBy("status", "errorStage").agg(
+        F.count(F.lit(1)).alias("rows"), near("p50", 0.5).alias("p50_ok"), near("p95", 0.95).alias("p95_ok"))
+
+
 @query("c_training", PAIR_SQL + """
 select id, "flacPath" as audio, description as text, category as label from rows
 where "flacPath" <> '' and description <> ''""")

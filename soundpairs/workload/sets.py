@@ -173,6 +173,18 @@ def o_page(v):
     return detections.page(v.det, 250, 250).select("pos", "id")
 
 
+@query("o_page_deep", q("select pos, id from det order by pos limit 250 offset (select count(*) // 2 from det)"))
+def o_page_deep(v):
+    """A page in the middle of all reports."""
+    return detections.deep_page(v.det, 250, v.det.count() // 2).select("pos", "id")
+
+
+@query("a_key_totals", q("""select count(*) as rows, count(distinct clip_key) as keys,
+  (select count(distinct clip_key) from win where clip_key in (select clip_key from stored)) as stored from win"""))
+def a_key_totals(v):
+    return pairs.key_totals(clip_pairs(v), v.stored)
+
+
 @query("u_remaining", q("select distinct clip_key from win where clip_key not in (select clip_key from stored)"))
 def u_remaining(v):
     return pairs.remaining(clip_pairs(v), v.stored)

@@ -148,3 +148,18 @@ def test_payload_files_and_clips(spark, tmp_path):
     done = writers.write_clips(assemble_clips(pairs, got), out, "https://store/")
     assert [(r["url"][:16], r["bytes"]) for r in done.collect()] == [("https://store/n_", 450)]
     assert (tmp_path / "clips" / "day=2020-01-01").is_dir()
+
+
+def test_a_clip_is_folded_over_batches(monkeypatch):
+    """Chunks of a clip lie in several batches, clips are emitted in bounded batches, and no rows give none."""
+    import pyarrow as pa
+
+    from soundpairs.operators import clips
+
+    monkeypatch.setattr(clips, "BATCH_BYTES", 10)
+    rows = [("a", b"12"), ("a", b""), ("a", b"345"), ("b", b"x" * 11), ("c", b"6"), ("c", b"7"), ("d", b"")]
+    for size in (1, 2, 3, 7):
+        batches = [pa.RecordBatch.from_pylist([{"k": k, "c": c} for k, c in rows[i:i + size]]) for i in range(0, len(rows), size)]
+        out = [tuple(r.values()) for b in clips._fold(iter(batches)) for r in b.to_pylist()]
+        assert out == [("a", 3, b"12345"), ("b", 1, b"x" * 11), ("c", 2, b"67"), ("d", 1, b"")]
+    assert sum(len(b) for b in clips._fold(iter([]))) == 0

@@ -1,4 +1,5 @@
 import json
+import random
 from pathlib import Path
 
 import pytest
@@ -133,3 +134,15 @@ def test_landed_filters_reach_the_scan(spark, tmp_path):
     assert sorted(r["pos"] for r in df.collect()) == [1, 3, 5]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(node_key,n1)" in plan and "GreaterThanOrEqual(event_ms" in plan
+
+
+def test_deep_pages(spark):
+    """Any page equals the plain one: gaps, many rows at one position, rows without one, ends and beyond."""
+    r = random.Random(3)
+    rows = [(p,) for p in [*r.sample(range(10**9), 400), *[77] * 50, *range(-20, 0), None, None, 2**62]]
+    df = spark.createDataFrame(rows, "pos long")
+    for limit, offset in ((10, 0), (5, 1), (7, 60), (30, 200), (10, 465), (50, 470), (10, 473), (10, 9999), (600, 0), (1, 472)):
+        want = [x["pos"] for x in ops.page(df, limit, offset).collect()]
+        assert [x["pos"] for x in ops.deep_page(df, limit, offset, ranges=4).collect()] == want
+        assert [x["pos"] for x in ops.deep_page(df, limit, offset).collect()] == want
+    assert ops.deep_page(df.where("false"), 5, 5).collect() == []

@@ -259,3 +259,17 @@ def test_landed_catalog_is_read_by_its_days(spark, tmp_path):
     assert "PartitionFilters" in plan and "day#" in plan.split("PartitionFilters")[1][:400]
     near = playlists.pruned(landed, windows).select(F.input_file_name().alias("f")).distinct().count()
     assert near < 8 < landed.select(F.input_file_name().alias("f")).distinct().count()
+
+
+def test_timings_merge_over_runs(spark):
+    """Quantiles of merged sketches have nearly the rank they should have; a status that was never timed has none."""
+    r = random.Random(2)
+    rows = [("uploaded", "", r.expovariate(1), i % 3) for i in range(6000)] + [("no_segments", "", None, 0)]
+    df = spark.createDataFrame(rows, "status string, errorStage string, took double, run int")
+    runs = [pairs.timing_sketches(df.where(F.col("run") == k), "took", str(k)) for k in range(3)]
+    got = {r["status"]: r for r in pairs.merged_timings(runs[0].unionByName(runs[1]).unionByName(runs[2])).collect()}
+    spent = sorted(t for _, _, t, _ in rows if t is not None)
+    for name, share in (("p50", 0.5), ("p95", 0.95)):
+        rank = sum(t <= got["uploaded"][name] for t in spent) / len(spent)
+        assert abs(rank - share) < 0.02
+    assert got["uploaded"]["rows"] == 6000 and (got["no_segments"]["rows"], got["no_segments"]["p50"]) == (1, None)
