@@ -2,13 +2,19 @@
 
 Unit vectors are cut into two halves and each half is quantised with a codebook of its own; a pair of
 centroids is a cell. A query walks the cells in the order of their summed distances, with a heap, until
-they hold ``SHARE`` of all indexed rows and ``k + 1`` at least, and reranks the rows of those cells by exact cosine.
+they hold a share of all indexed rows and ``k + 1`` at least, and reranks the rows of those cells by exact cosine.
+
+Codebooks grow with the square root of the index, so that a cell holds about ``CELL_ROWS`` rows, up to ``CENTROIDS`` a half.
+The share is measured: on the sample that the codebooks are fitted on (about ``SAMPLE`` rows), it is the one that finds ``RECALL``
+of the true neighbours of up to ``PROBES`` of its rows. Vectors with structure need little, random ones much; in a larger
+index neighbours are nearer, so the sample's share is enough.
 
 Equal vectors are indexed once, with their ``k + 1`` smallest ids, which is all that any answer can need;
 queries with equal vectors are answered once. Cells are packed into blocks of about ``BLOCK`` rows (a
-larger cell is spread over several), and a query goes to the blocks it has cells in.
+larger cell is spread over several). A query goes to the blocks it has cells in, and a block is copied only as often as
+the queries that come to it fill parts of ``QUERIES_PER_BLOCK``.
 
-Codebooks are fitted on about ``SAMPLE`` rows. Vectors that are null, zero, hold null or non-finite
+Vectors that are null, zero, hold null or non-finite
 components, or have another length than most, take no part, nor do rows without an id. Rows with equal
 ids count once per different vector; ties go to the smaller id. An empty table gives no rows.
 """
@@ -28,10 +34,10 @@ from pyspark.sql import functions as F
 from soundpairs.llm.common import about
 from soundpairs.session import settled
 
-CENTROIDS = 64
-SAMPLE = 20_000
-#: Share of the indexed rows that a query looks at. Vectors without structure need much of them.
-SHARE = 0.45
+CENTROIDS, CELL_ROWS = 512, 6
+SAMPLE, PROBES = 20_000, 256
+#: Share of true neighbours that the sample must find; the least allowed for an index is lower, as for other rows.
+RECALL = 0.95
 BLOCK = 2048
 QUERIES_PER_BLOCK = 2048
 ROUNDS = 12
@@ -113,18 +119,39 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def build(classes: DataFrame, n: int) -> Codebooks:
+def build(classes: DataFrame, n: int, k: int) -> tuple[Codebooks, float]:
+    """Codebooks, and the share of the index that a query has to look at."""
     rows = about(classes, F.col("vec_id"), SAMPLE, n).select("vec_id", "v").toArrow().sort_by("vec_id")
     x = unit(matrix(rows["v"].combine_chunks()))
-    k, h = max(1, min(CENTROIDS, n // 4)), max(1, x.shape[1] // 2)
-    return Codebooks(codebook(x[:, :h], k), codebook(x[:, h:], k) if x.shape[1] > h else np.zeros((1, 0)))
-
-
-def nearest(vectors: DataFrame, wanted, k: int = 5, share: float = SHARE) -> DataFrame:
-    """query_id, rank, vec_id, score of the ``k`` nearest rows of each row for which ``wanted`` holds."""
+    size, h = max(1, min(CENTROIDS, n // 4, round(math.sqrt(n / CELL_ROWS)))), max(1, x.shape[1] // 2)
+    books = Codebooks(codebook(x[:, :h], size), codebook(x[:, h:], size) if x.shape[1] > h else np.zeros((1, 0)))
+    return books, needed_share(books, x, k)
+
+
+def needed_share(books: Codebooks, x: np.ndarray, k: int) -> float:
+    """Share of the rows, cells in order, that holds ``RECALL`` of the ``k`` nearest of rows of ``x``."""
+    probes = np.unique(np.linspace(0, len(x) - 1, min(PROBES, len(x))).astype(int))
+    own_a, own_b = (d.argmin(axis=1) for d in books.halves(x))
+    a, b = books.halves(x[probes])
+    found = []
+    for i, row in enumerate(probes):
+        near = x @ x[row]
+        near[row] = -np.inf
+        true = np.argsort(-near, kind="stable")[:min(k, len(x) - 1)]
+        walked = np.sort(distance := a[i, own_a] + b[i, own_b])
+        found.append(np.searchsorted(walked, distance[true], "right") / len(x))
+    found = np.concatenate(found) if found else np.zeros(0)
+    return float(np.quantile(found, RECALL, method="higher")) if len(found) else 1.0
+
+
+def nearest(vectors: DataFrame, wanted, k: int = 5, share: float | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score of the ``k`` nearest rows of each row for which ``wanted`` holds.
+
+    ``share`` of the index is looked at; unless given, it is measured.
+    """
     spark = vectors.sparkSession
     rows = usable(vectors)
-    ranked = rows.withColumn("_i", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))).where(
+    ranked = rows.dropDuplicates(["vec_id", "k1", "k2"]).withColumn("_i", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))).where(
         F.col("_i") <= k + 1)
     classes = settled(ranked.groupBy("k1", "k2").agg(
         F.min_by("v", "vec_id").alias("v"), F.array_sort(F.collect_set("vec_id")).alias("ids"),
@@ -132,7 +159,8 @@ def nearest(vectors: DataFrame, wanted, k: int = 5, share: float = SHARE) -> Dat
     n = classes.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    books = spark.sparkContext.broadcast(build(classes, n))
+    made, measured = build(classes, n, k)
+    books, share = spark.sparkContext.broadcast(made), measured if share is None else share
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,8 +187,6 @@ def nearest(vectors: DataFrame, wanted, k: int = 5, share: float = SHARE) -> Dat
         classes.select("k1", "k2", F.col("vec_id").alias("node")), ["k1", "k2"]).select("query_id", "node").distinct()
     asked = settled(asked)
     nodes = asked.select("node").distinct()
-    count = nodes.count()
-    blocks_q = max(1, math.ceil(count / QUERIES_PER_BLOCK))
     queries = classes.join(nodes, classes["vec_id"] == nodes["node"]).select("node", "v")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,18 +198,23 @@ def nearest(vectors: DataFrame, wanted, k: int = 5, share: float = SHARE) -> Dat
             for i in range(len(batch)):
                 cells = walk(a[i], b[i], held, max(math.ceil(share * n), k + 1))
                 cells = cells[held[cells] > 0]
-                bits = np.zeros(len(held), bool)
-                bits[cells] = True
-                to = np.unique(np.concatenate(
-                    [first[cells]] + [np.arange(first[c], first[c] + parts[c]) for c in cells[parts[cells] > 1]]))
-                one = [pa.array([x.as_py()] * len(to)) for x in (batch.column(0)[i],)]
+                # a cell of several blocks goes to all of them
+                to = np.repeat(first[cells], parts[cells])
+                to += np.arange(len(to)) - np.repeat(np.cumsum(parts[cells]) - parts[cells], parts[cells])
+                cells = np.repeat(cells, parts[cells])
+                order = np.lexsort((cells, to))
+                to, cells = to[order], cells[order]
+                cut = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(to)), pa.int32()), pa.array(cells, pa.int64()))
+                at = pa.array(np.full(len(cut), i))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(to), *one, batch.column(1).take(pa.array(np.full(len(to), i))),
-                     pa.array([np.packbits(bits).tobytes()] * len(to), pa.binary())], ["block", "node", "v", "cells"])
+                    [pa.array(to[cut]), batch.column(0).take(at), batch.column(1).take(at), lists],
+                    ["block", "node", "v", "cells"])
 
-    sent = queries.select("node", "v").mapInArrow(
-        route, "block long, node long, v array<double>, cells binary").withColumn(
-        "part", F.pmod(F.xxhash64("node"), F.lit(blocks_q)))
+    sent = settled(queries.select("node", "v").mapInArrow(
+        route, "block long, node long, v array<double>, cells array<long>"))
+    loads = sent.groupBy("block").agg(F.ceil(F.count("*") / QUERIES_PER_BLOCK).cast("int").alias("parts"))
+    sent = sent.join(loads, "block").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, first, parts = plan.value
@@ -193,8 +224,8 @@ def nearest(vectors: DataFrame, wanted, k: int = 5, share: float = SHARE) -> Dat
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(first[cell] + spread % parts[cell])], ["ids", "v", "cell", "block"])
 
-    entries = index.mapInArrow(place, "ids array<long>, v array<double>, cell long, block long").withColumn(
-        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks_q - 1).cast("long"))))
+    entries = index.mapInArrow(place, "ids array<long>, v array<double>, cell long, block long").join(
+        loads, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         nodes, ids, scores = [], [], []
@@ -207,8 +238,7 @@ def nearest(vectors: DataFrame, wanted, k: int = 5, share: float = SHARE) -> Dat
             x = x / scale[:, None]
             norm = np.sqrt((x * x).sum(axis=1))
             for q, v, cells in zip(right["node"].to_pylist(), matrix(right["v"].combine_chunks()), right["cells"].to_pylist()):
-                bits = np.unpackbits(np.frombuffer(cells, np.uint8))
-                at = np.flatnonzero(bits[cell])
+                at = np.flatnonzero(np.isin(cell, cells))
                 if not len(at):
                     continue
                 v = v / np.abs(v).max()

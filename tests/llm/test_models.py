@@ -116,6 +116,23 @@ def test_large_cells_are_spread_over_blocks(llm_spark, monkeypatch):
     assert got == brute_nearest(data)
 
 
+def test_repeated_rows_count_once(llm_spark):
+    data = [(1, [1.0, 0.0])] * 12 + [(i, [1.0, 0.0]) for i in range(2, 9)] + [(50, [1.0, 0.1])] * 3
+    df = llm_spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(df, ann.every_fiftieth(), share=1.0).orderBy("rank").collect()]
+    assert got == [(50, i + 1, i + 1) for i in range(5)]
+
+
+def test_the_share_follows_the_vectors():
+    """Clustered vectors need a small part of the index, random ones in many dimensions much more."""
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(40, 32))
+    near = ann.unit(centres[r.integers(0, 40, 4000)] + 0.05 * r.normal(size=(4000, 32)))
+    far = ann.unit(r.normal(size=(4000, 32)))
+    shares = [ann.needed_share(ann.Codebooks(ann.codebook(x[:, :16], 26), ann.codebook(x[:, 16:], 26)), x, 5) for x in (near, far)]
+    assert shares[0] < 0.1 < shares[1] <= 1
+
+
 def test_recall_of_the_query(llm_spark):
     table = llm_spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = {(r.query_id, r.vec_id) for r in registered.QUERIES["op10_inverted_multi_index"](llm_spark, "/root/testdata/sf0.1").collect()}
