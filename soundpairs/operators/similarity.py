@@ -21,6 +21,8 @@ QUERY_BLOCK = 2048         # rows of one query block; also the most that is ever
 CORPUS_BLOCK = 32_768      # rows of one corpus block
 STRIPE = 1024              # corpus rows per matrix product
 SCORE_BLOCK = 1024         # rows a side of a score block: a block is emitted whole
+BUCKET_ROWS = 32           # corpus rows of one hash bucket, about
+PROBE_SCALE = 1 << 20      # hash planes see components as whole numbers of this many parts
 TIE_DIGITS = 9             # sums differ in the last bits between blocks; equal to here is a tie
 
 
@@ -288,6 +290,75 @@ def nearest_approx(
     return enough.unionByName(rest)
 
 
+def probe_bits(rows: int) -> int:
+    """Bits of a bucket number, so that a bucket of a corpus of ``rows`` holds about ``BUCKET_ROWS``."""
+    return max(4, (rows // BUCKET_ROWS).bit_length())
+
+
+def integer_planes(count: int, d: int) -> np.ndarray:
+    """``count`` fixed hyperplanes of whole numbers, from a formula that other engines can repeat."""
+    x = np.arange(count, dtype=np.int64)[:, None] * d + np.arange(1, d + 1)
+    x = x * 2_654_435_761 % 4_294_967_296 * 48_271 % 2_147_483_647
+    return x * x % 2_147_483_647 % 2001 - 1000
+
+
+def _probed(df: DataFrame, tables: int, bits: int, flips: int) -> DataFrame:
+    """Rows (id, vec, t, bucket): of each table the vector's own bucket and those of its ``flips`` least certain bits."""
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            m = np.floor(np.stack([np.asarray(v, np.float64) for v in batch["vec"]]) * PROBE_SCALE)
+            margin = (m @ integer_planes(tables * bits, m.shape[1]).T).reshape(len(m), tables, bits)
+            code = ((margin >= 0) << np.arange(bits)).sum(axis=2)
+            doubtful = np.argsort(np.abs(margin), axis=2, kind="stable")[:, :, :flips]
+            mask = np.zeros((len(m), tables, 1), np.int64)
+            for i in range(doubtful.shape[2]):              # every subset of them, nearest buckets first
+                mask = np.concatenate([mask, mask | (1 << doubtful[:, :, i:i + 1])], axis=2)
+            yield pd.DataFrame({"id": batch["id"], "vec": batch["vec"], "buckets": [
+                [t.tolist() for t in row] for row in code[:, :, None] ^ mask]})
+
+    vec_type = df.schema["vec"].dataType.simpleString()
+    kind = df.schema["id"].dataType.simpleString()
+    made = df.mapInPandas(place, f"id {kind}, vec {vec_type}, buckets array<array<bigint>>")
+    return made.select("id", "vec", F.posexplode("buckets").alias("t", "_b")).select(
+        "id", "vec", "t", F.explode("_b").alias("bucket"))
+
+
+def nearest_probed(
+    queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "audio_id",
+    corpus_id: str = "audio_id", vec: str = "embedding", tables: int = 8, flips: int = 3,
+    exclude_self: bool = True,
+) -> DataFrame:
+    """k nearest among vectors in the buckets that a query probes, ranked by exact cosine.
+
+    A bucket is the side of every one of a table's hyperplanes that a vector lies on; there are more planes, and so
+    more buckets, the larger the corpus is. A query looks into its own bucket of each table and into those behind the ``flips`` planes
+    that it lies nearest to, in any combination. Signs are taken on whole numbers (components times ``PROBE_SCALE``, rounded
+    down), so they are the same wherever they are computed. A bucket however full is cut into blocks on both sides. A
+    query has fewer than ``k`` rows where its buckets hold fewer.
+    """
+    q, c = _vectors(queries, query_id, vec), _vectors(corpus, corpus_id, vec)
+    bits = probe_bits(c.count())
+    qs, cs = _probed(q, tables, bits, flips), _probed(c, tables, bits, 0)
+
+    def sizes(df: DataFrame, block: int, name: str) -> DataFrame:
+        return df.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+
+    cut = settled(sizes(qs, QUERY_BLOCK, "r_n").join(sizes(cs, CORPUS_BLOCK, "c_n"), ["t", "bucket"]))
+    cell = ["t", "bucket", "r", "c"]
+    left = (qs.join(cut, ["t", "bucket"])
+            .withColumn("r", F.pmod(F.xxhash64("id"), F.col("r_n")).cast("int"))
+            .withColumn("c", F.explode(F.sequence(F.lit(0), F.col("c_n") - 1))))
+    right = (cs.join(cut, ["t", "bucket"])
+             .withColumn("c", F.pmod(F.xxhash64("id"), F.col("c_n")).cast("int"))
+             .withColumn("r", F.explode(F.sequence(F.lit(0), F.col("r_n") - 1))))
+    hits = (left.select("id", "vec", *cell).groupBy(*cell)
+            .cogroup(right.select("id", "vec", *cell).groupBy(*cell))
+            .applyInPandas(_cell_best(k, exclude_self), _hit(q)))
+    return _final(hits.groupBy("query_id", "neighbor_id").agg(F.max("sim").alias("sim")), k)
+
+
 def embed(df: DataFrame, column: str, model_factory: Callable[[], Callable],
           out: str = "embedding") -> DataFrame:
     """Apply a user's model to a column; the model is loaded once per task.

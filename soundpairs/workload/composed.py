@@ -346,6 +346,34 @@ def n_nearest_approx(v):
     return similarity.nearest_approx(v.audio, v.audio, 5, complete=True)
 
 
+_PROBED = f"""{_VECTORS},
+wide as (select greatest(4, case when count(*) < {similarity.BUCKET_ROWS} then 0
+  else cast(floor(log2(count(*) // {similarity.BUCKET_ROWS})) as integer) + 1 end) as bits, max(len(v)) as d from emb),
+series as (select i, bits, d from wide, unnest(generate_series(0, 8 * bits - 1)) as g(i)),
+seeds as (select i, bits, list_transform(generate_series(1, d), lambda j:
+  (i * d + j) * 2654435761 % 4294967296 * 48271 % 2147483647) as h from series),
+planes as (select i, bits, list_transform(h, lambda x: cast(x * x % 2147483647 % 2001 - 1000 as double)) as p from seeds),
+whole as (select vec_id, list_transform(v, lambda x: floor(x * {similarity.PROBE_SCALE})) as z from emb),
+margins as (select vec_id, i // bits as t, i % bits as b, list_dot_product(z, p) as m from whole, planes),
+codes as (select vec_id, t, cast(sum(case when m >= 0 then cast(1 as bigint) << b else 0 end) as bigint) as code
+  from margins group by all),
+doubtful as (select vec_id, t, b, row_number() over (partition by vec_id, t order by abs(m), b) as r from margins),
+masks as (select vec_id, t, s, cast(sum(case when (s >> (r - 1)) & 1 = 1 then cast(1 as bigint) << b else 0 end) as bigint) as mask
+  from doubtful, unnest(generate_series(0, 7)) as g(s) where r <= 3 group by all),
+probes as (select vec_id, t, xor(code, mask) as code from masks join codes using (vec_id, t)),
+met as (select distinct p.vec_id as query_id, c.vec_id as neighbor_id from probes p join codes c using (t, code)
+  where p.vec_id <> c.vec_id),
+ranked as (select query_id, neighbor_id, round(list_cosine_similarity(q.v, c.v), 9) as sim,
+  row_number() over (partition by query_id order by round(list_cosine_similarity(q.v, c.v), 9) desc, neighbor_id) as rank
+  from met join emb q on q.vec_id = query_id join emb c on c.vec_id = neighbor_id)
+select query_id, neighbor_id, sim, rank from ranked where rank <= 5"""
+
+
+@query("n_nearest_probed", _PROBED)
+def n_nearest_probed(v):
+    return similarity.nearest_probed(v.audio, v.audio, 5)
+
+
 def text_stats():
     """A tiny stand-in model: length, blanks and lines of a text."""
     return lambda texts: [[len(t), t.count(" "), t.count("\n")] for t in texts]

@@ -108,3 +108,24 @@ def test_embed_loads_once_per_task(spark, tmp_path):
     got = similarity.embed(df, "text", factory).collect()
     assert all(list(r["embedding"]) == [len(r["text"])] * 2 for r in got) and len(got) == 50
     assert len(list(log.iterdir())) == 2
+
+
+def test_probed_neighbours_have_the_recall(spark):
+    """Of the exact nearest, without any completion; and the hash planes are those of the formula."""
+    audio = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id as audio_id", "embedding")
+    near = {(r["query_id"], r["neighbor_id"]) for r in similarity.nearest(audio, audio, 5).collect()}
+    found = {(r["query_id"], r["neighbor_id"]) for r in similarity.nearest_probed(audio, audio, 5).collect()}
+    assert len(near & found) / len(near) >= 0.9
+    assert [similarity.probe_bits(n) for n in (0, 31, 32 * 15, 32 * 16, 2000, 10**9)] == [4, 4, 4, 5, 6, 25]
+
+
+def test_one_full_bucket_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "CORPUS_BLOCK", 7)
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", 5)
+    df = spark.createDataFrame([(f"c{i:03}", [1.0, 0.5, 0.25]) for i in range(60)], "audio_id string, embedding array<double>")
+    got = {}
+    for r in similarity.nearest_probed(df, df, 3).collect():
+        got.setdefault(r["query_id"], []).append(r["neighbor_id"])
+    for q, near in got.items():
+        assert sorted(near) == [f"c{i:03}" for i in range(5) if f"c{i:03}" != q][:3]
+    assert len(got) == 60
