@@ -50,7 +50,10 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 @stage
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies, once; all without a doc_id."""
+    """Of each group of near copies (Jaccard similarity of 5-word shingles 0.85 and more) the row with the smallest doc_id.
+
+    Rows are told apart by doc_id and text; all rows without a doc_id, or without a word, stay.
+    """
     return near_dup.keep_one(docs)
 
 
@@ -80,7 +83,8 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: Trained models, suffix arrays and packing are beyond SQL; a test holds every stage against brute force.
+#: Trained models, suffix arrays and packing are beyond SQL. Tests hold the near-copy, passage and packing stages against
+#: brute force, and the two learned stages against their operators, whose accuracy on held-out rows is tested.
 ORACLE_SQL = None
 
 
