@@ -108,16 +108,20 @@ def first_builder(pairs: DataFrame, clip: str = "clip_key", pos: str = "pos") ->
 def missing_objects(pairs: DataFrame, objects: DataFrame) -> DataFrame:
     """Add ``download_error`` naming the first segment URL that is not among ``objects``.
 
-    Only rows still to be built are looked at.
+    Only rows still to be built are looked at, and each different list of a clip once, however many rows ask for it.
     """
-    todo = pairs.where(~(F.col("in_prior") | F.col("in_stored") | F.col("in_fresh")))
-    need = todo.select("pos", F.posexplode("chunkFiles").alias("_i", "url"))
+    listed = pairs.withColumn("_list", F.xxhash64("chunkFiles"))
+    todo = listed.where(~(F.col("in_prior") | F.col("in_stored") | F.col("in_fresh")) & (F.size("chunkFiles") > 0))
+    once = todo.groupBy("clip_key", "_list").agg(F.any_value("chunkFiles").alias("chunkFiles"))
+    need = once.select("clip_key", "_list", F.posexplode("chunkFiles").alias("_i", "url"))
     gone = (
         need.join(objects.select("url").distinct(), "url", "left_anti")
-        .groupBy("pos").agg(F.min(F.struct("_i", "url")).alias("_gone"))
-        .select("pos", F.concat(F.lit("HTTP 404 for "), F.col("_gone.url")).alias("download_error"))
+        .groupBy("clip_key", "_list").agg(F.min(F.struct("_i", "url")).alias("_gone"))
+        .select("clip_key", "_list", F.concat(F.lit("HTTP 404 for "), F.col("_gone.url")).alias("_error"))
     )
-    return pairs.join(gone, "pos", "left")
+    ask = ~(F.col("in_prior") | F.col("in_stored") | F.col("in_fresh"))
+    return listed.join(gone, ["clip_key", "_list"], "left").withColumn(
+        "download_error", F.when(ask, F.col("_error"))).drop("_list", "_error")
 
 
 def with_status(

@@ -124,7 +124,7 @@ outcome as (
 rows as (
   select *, case status when 'invalid_input' then 'validate' when 'error' then 'unexpected' else '' end
       as "errorStage",
-    case status when 'invalid_input' then 'Missing timestamp, feedId, or feed.nodeName'
+    case status when 'invalid_input' then '{pairs.INVALID_MESSAGE}'
       when 'error' then 'Invalid date: ' || "timestamp" else '' end as "errorMessage",
     case when status = 'uploaded' or status like 'skipped_exists%' then '{URL_ROOT}' || clip_key else '' end
       as "flacPath"

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from soundpairs.functions.names import BASE_URL
+from soundpairs.operators.archive import PROBE_FIRST
 from soundpairs.workload.views import LATER, PREFIX, ROGUE, SLOT_S, URL_ROOT, Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,7 +161,7 @@ PHASES = f"""
 minutes as (
   select site, start_ms // 60000 * 60000 as mn, arg_min(sec, place) as sec from (
     select site, start_ms, start_ms // 1000 % 60 as sec,
-      coalesce(list_position([2, 8, 21, 22, 32, 38, 51, 52], start_ms // 1000 % 60), 100 + start_ms // 1000 % 60)
+      coalesce(list_position({PROBE_FIRST}, start_ms // 1000 % 60), 100 + start_ms // 1000 % 60)
         as place from man) q group by all),
 centred as (
   select d.*, utc_ms // 60000 * 60000 as mn, utc_ms // 86400000 as dy, m.sec,
