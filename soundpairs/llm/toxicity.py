@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from soundpairs.llm.common import about, byte_chunks, fold_of, texts
-from soundpairs.llm.near_dup import shingles
+from soundpairs.llm.near_dup import WORDS
+from soundpairs.llm.stars import shingles
 from soundpairs.session import settled
 
 FOLDS = 3
@@ -121,7 +122,8 @@ def mine(sample: DataFrame) -> list[str]:
 
     def copies(batches):
         for batch in batches:
-            keys = [int(own[0]) if len(own) else 0 for _, at, raw in byte_chunks(batch.column(0)) for own in shingles(at, raw)]
+            keys = [int(own[0]) if len(own) else 0
+                    for _, at, raw in byte_chunks(batch.column(0)) for own in shingles(at, raw, WORDS)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(np.array(keys, np.uint64).view(np.int64))], ["text", "toxic", "copy"])
 

@@ -60,6 +60,16 @@ def test_toxicity_of_held_out_documents(llm_spark):
     assert auc > 0.9
 
 
+def test_copies_of_a_toxic_text_count_once(llm_spark):
+    """A word of many copies of one text is no entry, a word of as many different texts is."""
+    rows = [("one vexcopy text that comes again and again", 1)] * 20 + [(None, 1), ("", 1)]
+    rows += [(f"a grubbish remark number w{'x' * i} of many others", 1) for i in range(20)]
+    rows += [(f"a kind remark w{'y' * i} of many", 0) for i in range(20)]
+    found = toxicity.mine(llm_spark.createDataFrame(rows, "text string, toxic int"))
+    assert any("grubbish".startswith(e.strip()) for e in found)
+    assert not any("vexcopy".startswith(e.strip()) for e in found)
+
+
 def test_toxicity_of_odd_rows(odd_docs, no_docs, llm_spark):
     labels = llm_spark.createDataFrame([(3, 0, 1), (3, 0, 0), (None, 0, 1), (4, 0, None)], "doc_id long, quality int, toxic int")
     for marks in (labels, labels.where("false")):
