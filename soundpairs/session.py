@@ -39,12 +39,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Run ``df`` once and go on from its rows, written to the shared folder.
+def settled(df: DataFrame, session: SparkSession | None = None) -> DataFrame:
+    """Run ``df`` once and go on from its rows, written to the shared folder, in ``session`` if one is given.
 
     This cuts the lineage, survives lost executors, and gives the planner a true size: the
     table is broadcast only where it stays under ``spark.sql.autoBroadcastJoinThreshold``.
     """
     path = scratch_path(df.sparkSession, "settled")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (session or df.sparkSession).read.schema(df.schema).parquet(path)

@@ -28,7 +28,7 @@ from soundpairs.operators.detections import has_id
 from soundpairs.operators.playlists import direct_plan
 from soundpairs.plans.playlist_pairs import playlist_pairs, playlist_windows
 from soundpairs.session import settled
-from soundpairs.streaming.state import first_arrivals, use_keyed_store
+from soundpairs.streaming.state import first_arrivals, state_parts, use_keyed_store
 
 
 def stream_detections(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -84,17 +84,20 @@ class _Sink:
 
     def start(self, sdf: DataFrame, key: str, make: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> StreamingQuery:
         """Write what ``make`` gives for the rows of each batch whose key is new."""
-        use_keyed_store(sdf.sparkSession)
-        sdf = first_arrivals(sdf, key, self.target)
+        spark = sdf.sparkSession
+        use_keyed_store(spark)
 
         def each(batch: DataFrame, n: int) -> None:
-            self.named(batch.sparkSession)
-            self.write(make(batch), n)
+            # the state is run once; the session of a stateful stream plans without AQE, the caller's may have it
+            rows = settled(batch, spark)
+            self.named(spark)
+            self.write(make(rows), n)
 
-        return (
-            sdf.writeStream.foreachBatch(each)
-            .option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
-        )
+        with state_parts(spark):
+            return (
+                first_arrivals(sdf, key, self.target).writeStream.foreachBatch(each)
+                .option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
+            )
 
 
 def stream_dedupe(sdf: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
@@ -127,9 +130,8 @@ def stream_resolve(
     ``resolve_again`` for those that were left without a clip.
     """
     options.setdefault("prune", True)
-    # the cascade reads its rows more than once, the state must be run once
     return _Sink(target, checkpoint).start(
-        sdf, "pos", lambda rows: playlist_pairs(settled(rows), streams, segments, **options))
+        sdf, "pos", lambda rows: playlist_pairs(rows, streams, segments, **options))
 
 
 def stream_append(sdf: DataFrame, target: str, checkpoint: str, key: str = "clip_key") -> StreamingQuery:

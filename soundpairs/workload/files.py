@@ -270,6 +270,7 @@ def st_stage1(v):
 
 @query("st_resolve", PAIR_SQL + f"select pos, {PAIR_COLUMNS} from rows")
 def st_resolve(v):
+    v.landed("streams", "segments", "stored", "fresh", "prior")      # every micro-batch reads them
     target = scratch_path(v.spark, "resolved")
     source = landed_lines(v)
     for _ in range(2):      # a second run over the same files, as after a lost checkpoint, adds nothing
@@ -284,6 +285,7 @@ def st_resolve(v):
 @query("st_resolve_again", PAIR_SQL + f"select pos, {PAIR_COLUMNS} from rows")
 def st_resolve_again(v):
     """The catalog lands feed by feed: a stream meets the first three, retries the next two and then all."""
+    v.landed("streams", "segments", "stored", "fresh", "prior")      # every micro-batch and retry reads them
     target, options = scratch_path(v.spark, "resolved"), {
         "stored": v.stored, "fresh": v.fresh, "prior": v.prior, "url_root": URL_ROOT, "prefix": PREFIX}
 

@@ -167,6 +167,25 @@ def test_no_batch_reads_what_earlier_ones_wrote(spark, tmp_path):
     assert held == {**want, "new": 1001}
 
 
+def test_keys_pass_no_python_function_one_by_one(spark, tmp_path):
+    """Many different keys cost no Python call each, and few state stores; the caller's settings stay."""
+    src, target = tmp_path / "in", str(tmp_path / "t")
+    land(src, "f0", [{"pos": i, "clip_key": f"k{i % 3000}"} for i in range(6000)])
+    sdf = spark.readStream.schema("pos long, clip_key string").json(str(src))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        q = streaming.stream_append(sdf, target, str(tmp_path / "ck"))
+        q.awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "200"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    (state,) = q.lastProgress["stateOperators"]
+    assert state["operatorName"] == "dedupe" and state["numShufflePartitions"] <= 2 * spark.sparkContext.defaultParallelism
+    assert state["numRowsTotal"] == 3000
+    assert sorted(r["pos"] for r in spark.read.parquet(target).collect()) == list(range(3000))
+
+
 def test_rows_pass_the_state_unchanged(spark, tmp_path):
     """Large numbers, nulls and odd texts; copies within a file fold to the first position, null before all."""
     src, target = tmp_path / "in", str(tmp_path / "t")
