@@ -24,6 +24,8 @@ SCORE_BLOCK = 1024         # rows a side of a score block: a block is emitted wh
 BUCKET_ROWS = 32           # corpus rows of one hash bucket, about
 PROBE_SCALE = 1 << 20      # hash planes see components as whole numbers of this many parts
 TIE_DIGITS = 9             # sums differ in the last bits between blocks; equal to here is a tie
+TIE = 2 * 10.0 ** -TIE_DIGITS   # sums further apart than this are no tie
+NONE = -2.0                # below every similarity
 
 
 
@@ -49,40 +51,53 @@ def _sims(queries: np.ndarray, corpus: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """Best k per query so far: similarity first, then the smaller id."""
+    """Best k per query so far: similarity first, then the smaller id.
+
+    A query's k-th best so far bounds what may still enter, so of a product all but a few cells are
+    passed over by one comparison; only those that may enter are rounded and ordered.
+    """
 
     def __init__(self, ids: np.ndarray, units: np.ndarray, k: int, exclude_self: bool):
         self.ids, self.units, self.k, self.exclude = ids, units, k, exclude_self
-        self.sim = np.empty((len(ids), 0))
-        self.nid = np.empty((len(ids), 0), dtype=ids.dtype)
+        self.by_id = np.argsort(ids, kind="stable")
+        self.row, self.sim = np.empty(0, dtype=np.int64), np.empty(0)
+        self.nid = np.empty(0, dtype=ids.dtype)
+        self.bound = np.full(len(ids), NONE)
 
     def add(self, ids: np.ndarray, units: np.ndarray) -> None:
         for at in range(0, len(ids), STRIPE):
             part = ids[at:at + STRIPE]
-            sim = _sims(self.units, units[at:at + STRIPE])
-            sim[np.isnan(sim)] = -np.inf            # a zero vector is near nothing
+            with np.errstate(invalid="ignore"):
+                sim = self.units @ units[at:at + STRIPE].T
             if self.exclude:
-                sim[self.ids[:, None] == part[None, :]] = -np.inf
-            self._keep(np.hstack([self.sim, sim]),
-                       np.hstack([self.nid, np.broadcast_to(part, sim.shape)]))
-
-    def _keep(self, sim: np.ndarray, nid: np.ndarray) -> None:
-        if sim.shape[1] > self.k:
-            # everything at least as good as the k-th stays until ties are ordered by id
-            kth = -np.partition(-sim, self.k - 1, axis=1)[:, self.k - 1:self.k]
-            width = int((sim >= kth).sum(axis=1).max())
-            if width < sim.shape[1]:
-                near = np.argpartition(-sim, width - 1, axis=1)[:, :width]
-                sim, nid = np.take_along_axis(sim, near, 1), np.take_along_axis(nid, near, 1)
-        order = np.lexsort((nid, -sim), axis=1)[:, :self.k]
-        self.sim, self.nid = np.take_along_axis(sim, order, 1), np.take_along_axis(nid, order, 1)
+                self._exclude(sim, part)
+            bound, short = self.bound.copy(), np.nonzero(self.bound == NONE)[0]
+            if len(short) and len(part) > self.k:               # with fewer than k so far, the stripe's own k-th best
+                own = sim[short]
+                own[np.isnan(own)] = -np.inf
+                bound[short] = np.maximum(NONE, np.partition(own, -self.k, axis=1)[:, -self.k] - TIE)
+            row, column = np.nonzero(sim >= bound[:, None])     # a zero vector is near nothing: NaN is never taken
+            if len(row):
+                self._keep(row, part[column], np.round(np.clip(sim[row, column], -1.0, 1.0), TIE_DIGITS))
+
+    def _exclude(self, sim: np.ndarray, part: np.ndarray) -> None:
+        known = self.ids[self.by_id]
+        first, last = np.searchsorted(known, part, "left"), np.searchsorted(known, part, "right")
+        for column in np.nonzero(last > first)[0]:
+            sim[self.by_id[first[column]:last[column]], column] = -np.inf
+
+    def _keep(self, row: np.ndarray, nid: np.ndarray, sim: np.ndarray) -> None:
+        row, nid, sim = (np.concatenate(x) for x in ((self.row, row), (self.nid, nid), (self.sim, sim)))
+        order = np.lexsort((nid, -sim, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        order = order[place < self.k]
+        self.nid, self.sim, self.row = nid[order], sim[order], row[place < self.k]
+        full = place == self.k - 1
+        self.bound[row[full]] = self.sim[place[place < self.k] == self.k - 1] - TIE
 
     def rows(self) -> pd.DataFrame:
-        real = self.sim > -np.inf
-        return pd.DataFrame({
-            "query_id": np.repeat(self.ids, self.sim.shape[1])[real.ravel()],
-            "neighbor_id": self.nid[real], "sim": self.sim[real],
-        })
+        return pd.DataFrame({"query_id": self.ids[self.row], "neighbor_id": self.nid, "sim": self.sim})
 
 
 def _vectors(df: DataFrame, key: str, vec: str) -> DataFrame:

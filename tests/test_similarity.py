@@ -129,3 +129,22 @@ def test_one_full_bucket_is_cut(spark, monkeypatch):
     for q, near in got.items():
         assert sorted(near) == [f"c{i:03}" for i in range(5) if f"c{i:03}" != q][:3]
     assert len(got) == 60
+
+
+def test_few_cells_are_ordered(monkeypatch):
+    """Once k neighbours are known, cells that can't enter are passed over, also with ties, twins and zero vectors."""
+    kept, real = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys, **how: kept.append(np.size(keys[0])) or real(keys, **how))
+    monkeypatch.setattr(np, "partition", lambda a, *rest, f=np.partition, **how: kept.append(np.size(a)) or f(a, *rest, **how))
+    m = np.random.default_rng(5).standard_normal((10 * similarity.STRIPE, 16))
+    m[40], m[9000], m[50] = m[30], m[30], 0
+    ids = np.arange(len(m)) // 2 * 2                                    # ids come twice
+    with np.errstate(invalid="ignore"):
+        unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    best = similarity._Best(ids[:60], unit[:60], 5, True)
+    best.add(ids, unit)
+    assert sum(kept) < 0.2 * 60 * len(m)
+    sims = np.round(np.clip(unit[:60] @ unit.T, -1, 1), similarity.TIE_DIGITS)
+    want = [(ids[i], ids[j], sims[i, j]) for i in range(60) for j in sorted(
+        (j for j in range(len(m)) if ids[j] != ids[i] and sims[i, j] > -2), key=lambda j: (-sims[i, j], ids[j]))[:5]]
+    assert sorted(best.rows().itertuples(index=False, name=None)) == sorted(want)
