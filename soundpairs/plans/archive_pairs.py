@@ -13,6 +13,7 @@ from soundpairs.operators.archive import (
 from soundpairs.operators.common import spread_null_ms, spread_null_text
 from soundpairs.operators.pairs import distinct_keys
 from soundpairs.schemas import pair_columns
+from soundpairs.session import settled
 
 JOB = ["site", "w0", "phase"]
 
@@ -33,7 +34,8 @@ def archive_pairs(
         "site": F.lit(site) if site else F.col("feed.nodeName"),
         "center_ms": F.when(F.lit(buffer_s > 0), to_utc_ms("timestamp")),
     })
-    rows = day_phase(window_bounds(rows, buffer_s), manifest, hints, default_phase)
+    # read for the phases, the jobs and the rows themselves
+    rows = day_phase(settled(window_bounds(rows, buffer_s)), manifest, hints, default_phase)
     starts = F.when(F.col("site").isNotNull(), chunk_starts("w0", "w1", F.col("phase")))
     names = F.coalesce(chunk_names("site", starts), F.array().cast("array<string>"))
     if list_only:

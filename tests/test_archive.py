@@ -163,3 +163,15 @@ def test_a_clip_is_folded_over_batches(monkeypatch):
         out = [tuple(r.values()) for b in clips._fold(iter(batches)) for r in b.to_pylist()]
         assert out == [("a", 3, b"12345"), ("b", 1, b"x" * 11), ("c", 2, b"67"), ("d", 1, b"")]
     assert sum(len(b) for b in clips._fold(iter([]))) == 0
+
+
+def test_windows_are_worked_out_once(spark, tmp_path):
+    """Phases, jobs and rows read kept windows, not the reports again."""
+    path = str(tmp_path / "reports")
+    detections(spark, detection(0), detection(1, timestamp=None), detection(1)).write.parquet(path)
+    for listing in (True, False):
+        out = archive_pairs(
+            spark.read.parquet(path), manifest(spark, SITE, ms("2019-05-10T17:52:32")), list_only=listing)
+        assert not [f for f in out.inputFiles() if "/reports/" in f]
+        assert sorted((r["pos"], len(r["chunkFiles"])) for r in out.collect()) == [
+            (0, 3 if listing else 1), (1, 0), (1, 3)]
