@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from soundpairs.functions.names import BASE_URL, clip_interval, enumerate_segments, segment_range
 from soundpairs.functions.times import DAY_MS, col, day_start, whole
-from soundpairs.operators.common import first_row, spread_null_ms, spread_null_text
+from soundpairs.operators.common import first_row, spread_null_text
+from soundpairs.session import settled
 
 BUCKET_S = 600
 # a landed catalog keeps rows of up to one day, of up to 64 days, and all others in folders of their own
@@ -240,21 +241,23 @@ def resolve_segments(
 
     ``det`` has pos, feed_key, playlist, w0, w1 (null w0: nothing to resolve). Adds ``plan``
     and ``plan_error``. Only windows the first stage left open are overlapped, each distinct
-    window once, however many detections share it.
+    window once, however many detections share it; the other rows are not shuffled for them.
+    Windows and their own streams are worked out once and kept in the shared folder.
     """
-    own = lookup_streams(det, streams)
+    own = settled(lookup_streams(det, streams))
     open_ = F.col("w0").isNotNull() & F.col("feed_key").isNotNull()
     if prefer_playlist:
         open_ = open_ & ~stream_meets() & F.col("stream_error").isNull()
-    todo = own.where(open_).select(*WINDOW).distinct()
-    found = overlap_plan(todo, streams, segments, bucket_s, prune).withColumnRenamed("w0", "_w0")
-    # settled rows have keys of their own, which find nothing
-    keyed = own.withColumn("_w0", spread_null_ms(F.when(open_, F.col("w0")), F.col("pos")))
+    marked = own.withColumn("_open", open_)
+    todo = marked.where("_open")
+    found = overlap_plan(todo.select(*WINDOW).distinct(), streams, segments, bucket_s, prune)
     hit = (F.size("found") > 0) | F.col("found_error").isNotNull()
-    return keyed.join(found, ["feed_key", "_w0", "w1"], "left").withColumns({
+    looked = todo.join(found, WINDOW, "left").withColumns({
         "plan": F.when(hit, F.col("found")).otherwise(_own_plan()),
         "plan_error": F.when(hit, F.col("found_error")).otherwise(F.col("stream_error")),
-    }).drop("_w0", "stream_start", "stream_end", "stream_error", "found", "found_error")
+    }).drop("found", "found_error")
+    rest = marked.where("not _open").withColumns({"plan": _own_plan(), "plan_error": F.col("stream_error")})
+    return rest.unionByName(looked).drop("_open", "stream_start", "stream_end", "stream_error")
 
 
 def chunk_array(node, plan="plan", base: str = BASE_URL) -> Column:

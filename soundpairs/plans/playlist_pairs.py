@@ -47,13 +47,14 @@ def playlist_pairs(
     rows = resolve_segments(
         playlist_windows(det, buffer_s), streams, segments, prefer_playlist,
         bucket_s, prune)
+    # plans are a few numbers a row, so they cross the shuffle of the keys; URLs are written out behind it
+    rows = rows.withColumn("clip_name", clip_name("node", "w0", "w1", "flac")).withColumn(
+        "clip_key", F.concat(F.lit(prefix), F.col("clip_name")))
+    rows = flag_known(rows, known_keys(stored, fresh, prior, url_root))
     rows = rows.withColumns({
-        "clip_name": clip_name("node", "w0", "w1", "flac"),
         "chunkFiles": F.coalesce(chunk_array("node", base=base), F.array().cast("array<string>")),
         "playlistTimestamps": plan_playlists(),
-    }).withColumn("clip_key", F.concat(F.lit(prefix), F.col("clip_name")))
-
-    rows = flag_known(rows, known_keys(stored, fresh, prior, url_root))
+    })
     if skip_rows:
         rows = rows.where(~F.col("in_prior"))
     no_note = F.lit(None).cast("string")

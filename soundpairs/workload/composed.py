@@ -133,6 +133,7 @@ rows as (
 
 
 def playlist_rows(v, **options):
+    v.landed("streams", "segments", "stored", "fresh", "prior")      # the cascade reads them several times
     return plans.playlist_pairs(
         v.det, v.streams, v.segments, v.stored, v.fresh, v.prior,
         url_root=URL_ROOT, prefix=PREFIX, **options)

@@ -29,16 +29,18 @@ def _long(value: int):
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = use_utc(spark), sf_dir.rstrip("/")
+        self._landed: set[str] = set()
 
     def landed(self, *names: str) -> Views:
         """Write the named views to the shared folder once and read them from there on."""
-        for name in names:
+        for name in [n for n in names if n not in self._landed]:
             path = scratch_path(self.spark, name)
             rows = getattr(self, name)
             if name == "det":       # the events come as one small file; give every core some
                 rows = rows.repartition(self.spark.sparkContext.defaultParallelism)
             rows.write.parquet(path)
             self.__dict__[name] = self.spark.read.parquet(path)
+            self._landed.add(name)
         return self
 
     def table(self, name: str) -> DataFrame:

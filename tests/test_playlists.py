@@ -273,3 +273,16 @@ def test_timings_merge_over_runs(spark):
         rank = sum(t <= got["uploaded"][name] for t in spent) / len(spent)
         assert abs(rank - share) < 0.02
     assert got["uploaded"]["rows"] == 6000 and (got["no_segments"]["rows"], got["no_segments"]["p50"]) == (1, None)
+
+
+def test_windows_are_worked_out_once(spark, tmp_path):
+    """What follows reads kept windows, not the reports again; rows whose own playlist serves are not looked up further."""
+    path = str(tmp_path / "reports")
+    rows = [detection(0, pt=100), detection(1, pt=7), detection(2, timestamp=None), detection(3), detection(3, pt=100)]
+    detections(spark, *rows).write.parquet(path)
+    out = playlist_pairs(
+        spark.read.parquet(path), streams(spark, ("100", T - 30_000, None)),
+        segments(spark, ("100", T - 60_000, T)), url_root=ROOT)
+    assert not [f for f in out.inputFiles() if "/reports/" in f]
+    got = sorted((r["pos"], r["status"], len(r["chunkFiles"])) for r in out.collect())
+    assert got == [(0, "uploaded", 6), (1, "uploaded", 6), (2, "invalid_input", 0), (3, "uploaded", 6), (3, "uploaded", 6)]
