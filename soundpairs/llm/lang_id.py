@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soundpairs.llm.common import byte_chunks, fold_of
+from soundpairs.llm.common import byte_chunks, fold_of, with_text
 
 DIM = 4096
 CENTROIDS = 4
@@ -183,12 +183,13 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
                        + ["lang_pred string", "score double", "rejected boolean"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows, at = with_text(docs, keep)
 
     def run(batches):
         model = shared.value
         for batch in batches:
             langs, scores, rejected = [], [], []
-            for _, counts, lettered in counts_of(batch.column(len(keep))):
+            for _, counts, lettered in counts_of(batch.column(at)):
                 a, b, c = model.classify(counts, lettered)
                 langs += a
                 scores += b.tolist()
@@ -197,7 +198,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 [*batch.columns[:len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
                  pa.array(rejected, pa.bool_())], [*keep, "lang_pred", "score", "rejected"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soundpairs.llm.common import about, byte_chunks, fold_of, texts
+from soundpairs.llm.common import about, byte_chunks, fold_of, texts, with_text
 from soundpairs.llm.near_dup import WORDS
 from soundpairs.llm.stars import shingles
 from soundpairs.session import settled
@@ -250,18 +250,19 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["score double", "predicted int"])
     lex, weights = model.lex, model.weights
+    rows, at = with_text(docs, keep)
 
     def run(batches):
         automaton, k = lex.automaton(), lex.voters
         for batch in batches:
-            marks = [features(t, automaton, lex) for t in texts(batch.column(len(keep)))]
+            marks = [features(t, automaton, lex) for t in texts(batch.column(at))]
             x = np.stack(marks) if marks else np.zeros((0, k + PATTERNS), np.float32)
             p = 1 / (1 + np.exp(-np.clip(damped(x) @ weights[:-1] + weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(keep)], pa.array(p, pa.float64()),
                  pa.array((p >= THRESHOLD).astype(np.int32), pa.int32())], [*keep, "score", "predicted"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

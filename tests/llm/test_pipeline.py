@@ -1,9 +1,12 @@
 """Every stage of the pipeline against brute force, on the table and on odd rows."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from soundpairs.llm import lang_id, toxicity
+from soundpairs.llm.common import BATCH_BYTES
 from tests.llm.conftest import SF
 from tests.llm.test_dedup import brute_near
 from tests.llm.test_tokens import check_packing
@@ -68,3 +71,30 @@ def test_odd_rows_and_no_rows(llm_spark, odd_docs, no_docs):
             out = step(llm_spark, df, SF)
             assert out.columns == df.columns and out.count() <= df.count(), name
         assert cp.STAGES[-1][1](llm_spark, df, SF).count() >= df.count()
+
+
+def test_batches_are_bounded_by_bytes(llm_spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    size, rows = 100_000, 300
+    docs = llm_spark.range(0, rows, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a"), size).alias("text"))
+    step = cp.stage(lambda spark, df, sf_dir: df.mapInArrow(sizes, "n long, bytes long"))
+    got = step(llm_spark, docs, SF).collect()
+    assert sum(r.n for r in got) == rows and max(r.bytes for r in got) < BATCH_BYTES + 2 * size
+
+
+def test_a_text_goes_to_the_workers_once(llm_spark, docs):
+    clash = docs.select("doc_id", "text", F.lit("clash").alias("_text"))
+    lex = toxicity.lexicon([])
+    for name, fn, model in (
+            ("predicted", toxicity.score, toxicity.Model(lex, np.ones(lex.voters + toxicity.PATTERNS + 1))),
+            ("rejected", lang_id.predict, lang_id.Model(
+                np.ones(lang_id.DIM, np.float32), np.zeros((0, lang_id.DIM), np.float32), [], np.zeros(32)))):
+        whole = fn(docs, model, ["doc_id", "text"])
+        assert "_text" not in whole._jdf.queryExecution().toString()
+        for keep in (["doc_id", "text"], ["_text", "text", "doc_id"], ["doc_id"]):
+            out = fn(clash, model, keep)
+            assert out.columns[:len(keep)] == keep
+            assert by_id(out.select("doc_id", name)) == by_id(whole.select("doc_id", name))
